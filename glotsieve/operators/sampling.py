@@ -23,48 +23,48 @@ class ShortGroup(ValueError):
     """A class holds fewer rows than its quota, or has no quota."""
 
 
-def _hash_cuts(df: DataFrame, key: str, group: str, targets: DataFrame, seed: int) -> DataFrame:
-    """``(group, n, k, cut)``: rows of a group with hash <= cut are its k lowest.
+def _count_ranges(df: DataFrame, key: str, group: str, seed: int) -> DataFrame:
+    """``(group, range, n_range)``: the one pass over all rows that counts them."""
+    head = F.substring(seeded_hash(key, seed), 1, _RANGE_DIGITS)
+    counts = df.groupBy(group, head.alias("range")).agg(F.count("*").alias("n_range"))
+    return settle(counts, "hash-ranges")
 
-    ``targets`` holds ``(group, n, k)``. ``cut`` is null where k is 0.
+
+def _flag(
+    df: DataFrame, key: str, group: str, ranges: DataFrame, wanted: Column, seed: int
+) -> DataFrame:
+    """Add ``chosen``: whether a row is among the ``wanted`` lowest of its group.
+
+    ``wanted`` may use the group's size ``n`` and other columns of ``ranges``.
     """
-    hashed = df.select(group, seeded_hash(key, seed).alias("hash"))
-    ranges = hashed.groupBy(group, F.substring("hash", 1, _RANGE_DIGITS).alias("range")).agg(
-        F.count("*").alias("n_range")
-    )
-    so_far = Window.partitionBy(group).orderBy("range")
-    edges = settle(
-        ranges.select(
-            group,
-            "range",
-            (F.sum("n_range").over(so_far) - F.col("n_range")).alias("before"),
-            "n_range",
-        )
-        .join(targets.select(group, "k"), group)
-        .filter((F.col("before") < F.col("k")) & (F.col("before") + F.col("n_range") >= F.col("k")))
-        .select(group, "range", (F.col("k") - F.col("before")).alias("need")),
-        "hash-edges",
+    whole = Window.partitionBy(group)
+    so_far = whole.orderBy("range")
+    before = F.sum("n_range").over(so_far) - F.col("n_range")
+    edges = (
+        ranges.withColumn("n", F.sum("n_range").over(whole))
+        .withColumn("need", wanted - before)
+        .filter((F.col("need") > 0) & (F.col("need") <= F.col("n_range")))
+        .select(group, "range", "need")
     )
+    groups = ranges.select(group).distinct().count()
+    hashed = df.select(group, seeded_hash(key, seed).alias("hash"))
     in_edge = attach(
         hashed.withColumn("range", F.substring("hash", 1, _RANGE_DIGITS)),
         edges,
         [group, "range"],
         spread_by="hash",
         how="inner",
+        rows=groups,
     )
     rank = F.row_number().over(Window.partitionBy(group, "range").orderBy("hash"))
-    cuts = in_edge.withColumn("rank", rank).filter(F.col("rank") == F.col("need"))
-    return settle(
-        targets.join(cuts.select(group, F.col("hash").alias("cut")), group, "left"), "hash-cuts"
+    cuts = (
+        in_edge.withColumn("rank", rank)
+        .filter(F.col("rank") == F.col("need"))
+        .select(group, F.col("hash").alias("cut"))
     )
-
-
-def _flag(df: DataFrame, key: str, group: str, targets: DataFrame, seed: int) -> DataFrame:
-    """Add ``chosen``: whether a row is among the k lowest of its group."""
-    cuts = _hash_cuts(df, key, group, targets, seed).select(group, "cut")
     chosen = F.coalesce(seeded_hash(key, seed) <= F.col("cut"), F.lit(False))
-    flagged = attach(df, cuts, group, spread_by=key)
-    return flagged.withColumn("chosen", chosen).select(*df.columns, "chosen")
+    flagged = attach(df, cuts, group, spread_by=key, rows=groups)
+    return flagged.select(*df.columns, chosen.alias("chosen"))
 
 
 def split_train_test(
@@ -75,9 +75,8 @@ def split_train_test(
     seed: int = SEED,
 ) -> DataFrame:
     """Label rows train or test, to exact sizes within every source."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     test = F.col("n") - F.bround(F.col("n") * F.lit(float(train_share))).cast("long")
-    flagged = _flag(df, key, group, settle(sizes.withColumn("k", test), "split-sizes"), seed)
+    flagged = _flag(df, key, group, _count_ranges(df, key, group, seed), test, seed)
     split = F.when(F.col("chosen"), "test").otherwise("train")
     return flagged.select(*df.columns, split.alias("split"))
 
@@ -96,18 +95,17 @@ def flag_sampled(
     quota or with fewer rows than it is an error; else all its rows are taken,
     or none where there is no quota.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    wanted = settle(
-        sizes.join(quotas.select(group, "quota"), group, "left"), "quota-sizes"
+    ranges = _count_ranges(df, key, group, seed).join(
+        quotas.select(group, "quota"), group, "left"
     )
-    short = wanted.filter(F.col("quota").isNull() | (F.col("quota") > F.col("n")))
     if strict:
-        bad = short.orderBy(group).first()
+        sizes = ranges.groupBy(group, "quota").agg(F.sum("n_range").alias("n"))
+        short = F.col("quota").isNull() | (F.col("quota") > F.col("n"))
+        bad = sizes.filter(short).orderBy(group).first()
         if bad is not None:
             raise ShortGroup(f"{bad[group]!r} holds {bad['n']} rows, quota {bad['quota']}")
-    k = F.least(F.coalesce(F.col("quota"), F.lit(0)).cast("long"), F.col("n"))
-    flagged = _flag(df, key, group, wanted.withColumn("k", k).select(group, "n", "k"), seed)
-    return flagged.withColumnRenamed("chosen", "sampled")
+    wanted = F.least(F.coalesce(F.col("quota"), F.lit(0)).cast("long"), F.col("n"))
+    return _flag(df, key, group, ranges, wanted, seed).withColumnRenamed("chosen", "sampled")
 
 
 def sample_per_language(df: DataFrame, key: str, quotas: DataFrame, **options) -> DataFrame:
@@ -122,9 +120,9 @@ def unseen_rows(population: DataFrame, sample: DataFrame, key: str) -> DataFrame
 def sample_n(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
     """Exactly n rows, or all if there are fewer."""
     whole = df.withColumn("_all", F.lit(1))
-    sizes = whole.groupBy("_all").agg(F.count("*").alias("n"))
-    targets = settle(sizes.withColumn("k", F.least(F.col("n"), F.lit(n))), "sample-size")
-    return _flag(whole, key, "_all", targets, seed).filter("chosen").drop("chosen", "_all")
+    ranges = _count_ranges(whole, key, "_all", seed)
+    wanted = F.least(F.col("n"), F.lit(n))
+    return _flag(whole, key, "_all", ranges, wanted, seed).filter("chosen").drop("chosen", "_all")
 
 
 def fold_of(key: Column | str, folds: int = FOLDS, seed: int = SEED) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from glotsieve.operators.vocabulary import word_counts
 from glotsieve.session import settle
+from glotsieve.sources.texts import spread
 from glotsieve.values import VOCABULARY_SIZE
 
 WORD_START = "▁"  # marks the first piece of a word
@@ -144,7 +145,8 @@ def token_pieces(vocabulary: SubwordVocabulary) -> DataFrame:
 
 def _words(df: DataFrame, text: str) -> DataFrame:
     marked = F.concat(F.lit(WORD_START), F.col("word")).alias("word")
-    return settle(word_counts(df, text).select(marked, "n"), "words")
+    # Read back into as many parts as there is work: the passes are Python.
+    return spread(settle(word_counts(df, text).select(marked, "n"), "words"), "word")
 
 
 def _seed_pieces(words: DataFrame, seed_size: int, coverage: float) -> DataFrame:
@@ -247,7 +249,9 @@ def _prune(pieces: DataFrame, keep: int) -> DataFrame:
             yield batch.assign(worth=gains)
 
     schema = "piece STRING, required BOOLEAN, n DOUBLE, score DOUBLE, worth DOUBLE"
-    ranked = pieces.select("piece", "required", "n", "score").mapInPandas(worth, schema)
+    ranked = spread(pieces, "piece").select("piece", "required", "n", "score").mapInPandas(
+        worth, schema
+    )
     best = ranked.orderBy(F.desc("required"), F.desc("worth"), "piece").limit(keep)
     return settle(best.drop("worth"), "pruned")
 
