@@ -359,11 +359,11 @@ def _cv_scores(alphas) -> str:
 alphas (alpha) AS (SELECT unnest([{', '.join(f"{a!r}::DOUBLE" for a in alphas)}])),
 gains AS (
   SELECT k.doc_id, m.model, m.language, alpha, sum(k.n * (ln(m.n + alpha) - ln(alpha))) AS gain
-  FROM tokens k JOIN known m USING (token), alphas WHERE k.split = 'train' GROUP BY ALL),
+  FROM tokens k JOIN known m USING (token) CROSS JOIN alphas WHERE k.split = 'train' GROUP BY ALL),
 cv_joint AS (
   SELECT doc_id, truth, fold, text_length, model, class_sizes.language, alpha,
          prior + n * (ln(alpha) - ln(n_tokens + alpha * 50000)) + coalesce(gain, 0) AS j
-  FROM text_sizes, class_sizes, alphas
+  FROM text_sizes CROSS JOIN class_sizes CROSS JOIN alphas
   LEFT JOIN gains USING (doc_id, model, language, alpha)),
 cv AS (
   SELECT truth, text_length, model, alpha,
