@@ -118,6 +118,23 @@ def _canonical_singles() -> tuple[str, str]:
     return "".join(before), "".join(after)
 
 
+@lru_cache(maxsize=1)
+def _may_compose() -> str:
+    """A short class that holds all those letters, and conjoining jamo.
+
+    Letters less than 32 apart share a range: the class only spares texts the
+    slower replacements, so it may hold more than it must.
+    """
+    codes = sorted({*map(ord, _canonical_singles()[0]), *range(0x1100, 0x1200)})
+    ranges = [[codes[0], codes[0]]]
+    for code in codes[1:]:
+        if code - ranges[-1][1] < 32:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in ranges) + "]"
+
+
 # Conjoining jamo: a leading consonant, a vowel and perhaps a final consonant
 # make one Hangul syllable; so do a syllable without final and a final.
 _JAMO_SYLLABLE = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?"
@@ -139,7 +156,7 @@ def compose_letters(col: Column | str) -> Column:
     replaced = F.translate(col, before, after)
     jamo = F.regexp_replace(replaced, _SYLLABLE_FINAL, _SYLLABLE)
     jamo = F.regexp_replace(jamo, _JAMO_SYLLABLE, _SYLLABLE)
-    return F.when(col.rlike(r"[^\x00-\x{33F}]"), jamo).otherwise(col)
+    return F.when(col.rlike(_may_compose()), jamo).otherwise(col)
 
 
 def nfc(col: Column | str) -> Column:

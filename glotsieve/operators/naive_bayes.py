@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glotsieve.functions.scores import confidence_threshold
+from glotsieve.operators.vocabulary import word_counts
 from glotsieve.session import attach, settle
 from glotsieve.values import ALPHA, ENGLISH, THRESHOLD, UNKNOWN
 
@@ -45,16 +46,14 @@ class NaiveBayesModel:
         return [math.log(n + self.alpha * self.vocabulary.size) for n in self.tokens]
 
 
-def count_terms(df: DataFrame, text: str, by: list[str], vocabulary) -> DataFrame:
-    """``(*by, token, n)``: occurrences of every token in every class.
+def count_terms(counts: DataFrame, by: list[str], vocabulary) -> DataFrame:
+    """``(*by, token, n)`` from the ``word_counts`` of classes.
 
-    Units are counted before ids are looked up, so a frequent word is joined
-    once a class and not once an occurrence.
+    Only distinct words are turned into tokens, not every occurrence.
     """
-    units = df.select(*by, F.explode(vocabulary.units(text)).alias("unit"))
-    counted = units.groupBy(*by, "unit").agg(F.count("*").alias("n"))
+    units = counts.select(*by, "n", F.explode(vocabulary.units("word")).alias("unit"))
     return (
-        vocabulary.with_tokens(counted, "unit")
+        vocabulary.with_tokens(units, "unit")
         .filter(F.col("token").between(0, vocabulary.size - 1))
         .groupBy(*by, "token")
         .agg(F.sum("n").alias("n"))
@@ -67,9 +66,13 @@ def nb_fit(
     text: str = "text",
     language: str = "language",
     alpha: float = ALPHA,
+    counts: DataFrame | None = None,
 ) -> NaiveBayesModel:
+    """``counts``: word counts by ``language``, if they were made before."""
     labelled = df.select(F.col(language).alias("language"), text)
-    terms = settle(count_terms(labelled, text, ["language"], vocabulary), "nb-terms")
+    if counts is None:
+        counts = word_counts(labelled, text, ["language"])
+    terms = settle(count_terms(counts, ["language"], vocabulary), "nb-terms")
     return model_of_counts(class_docs(labelled), terms, vocabulary, alpha)
 
 

@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glotsieve.operators.vocabulary import word_counts
 from glotsieve.session import settle
 from glotsieve.sources.texts import spread
 from glotsieve.values import VOCABULARY_SIZE
@@ -143,10 +142,11 @@ def token_pieces(vocabulary: SubwordVocabulary) -> DataFrame:
     return vocabulary.table.filter(mapped).select("token", "piece")
 
 
-def _words(df: DataFrame, text: str) -> DataFrame:
+def _words(counts: DataFrame) -> DataFrame:
+    """Distinct words, marked, in as many parts as there is work for Python."""
+    totals = counts.groupBy("word").agg(F.sum("n").alias("n"))
     marked = F.concat(F.lit(WORD_START), F.col("word")).alias("word")
-    # Read back into as many parts as there is work: the passes are Python.
-    return spread(settle(word_counts(df, text).select(marked, "n"), "words"), "word")
+    return spread(settle(totals.select(marked, "n"), "words"), "word")
 
 
 def _seed_pieces(words: DataFrame, seed_size: int, coverage: float) -> DataFrame:
@@ -257,20 +257,19 @@ def _prune(pieces: DataFrame, keep: int) -> DataFrame:
 
 
 def train_subwords(
-    df: DataFrame,
-    text: str = "text",
+    counts: DataFrame,
     size: int = VOCABULARY_SIZE,
     seed_size: int | None = None,
     shrink: float = 0.75,
     steps: int = 2,
     coverage: float = COVERAGE,
 ) -> SubwordVocabulary:
-    """Train ``size`` ids, the three special ones included.
+    """Train ``size`` ids, the three special ones included, on ``word_counts``.
 
     The vocabulary is smaller only if the corpus has too few substrings.
     """
     seed_size = min(seed_size or 4 * size, MAX_PIECES)
-    words = _words(df, text)
+    words = _words(counts)
     pieces = settle(_scored(_seed_pieces(words, seed_size, coverage)), "seeds")
     goal = size - len(SPECIAL)
     if pieces.filter("required").count() > goal:
@@ -287,7 +286,7 @@ def train_subwords(
     ids = best.select(
         (place + len(SPECIAL) - 1).alias("token"), "piece", "score"
     )
-    special = df.sparkSession.createDataFrame(
+    special = counts.sparkSession.createDataFrame(
         [(i, piece, 0.0) for i, piece in enumerate(SPECIAL)],
         "token INT, piece STRING, score DOUBLE",
     )

@@ -18,6 +18,7 @@ from glotsieve.operators.metrics import rates
 from glotsieve.operators.naive_bayes import MAX_CELLS, count_terms
 from glotsieve.operators.rule import rule_label
 from glotsieve.operators.sampling import fold_of
+from glotsieve.operators.vocabulary import word_counts
 from glotsieve.session import attach, settle
 from glotsieve.values import (
     ALPHA,
@@ -30,8 +31,6 @@ from glotsieve.values import (
     UNKNOWN,
 )
 
-_NO_CLASS = -1
-
 
 def cv_predictions(
     df: DataFrame,
@@ -49,14 +48,11 @@ def cv_predictions(
     (test) or trained on (train).
     """
     spark = df.sparkSession
-    folded = df.select(
-        key,
-        F.col(language).alias("language"),
-        F.col(text).alias("text"),
-        fold_of(key, folds, seed).alias("fold"),
-    )
-    terms = settle(count_terms(folded, "text", ["language", "fold"], vocabulary), "fold-terms")
-    docs = folded.groupBy("language", "fold").agg(F.count("*").alias("docs"))
+    fold = fold_of(key, folds, seed).alias("fold")
+    texts = df.select(key, F.col(language).alias("language"), F.col(text).alias("text"), fold)
+    counts = word_counts(texts, "text", ["language", "fold"])
+    terms = settle(count_terms(counts, ["language", "fold"], vocabulary), "fold-terms")
+    docs = texts.groupBy("language", "fold").agg(F.count("*").alias("docs"))
     tokens = terms.groupBy("language", "fold").agg(F.sum("n").alias("tokens"))
     classes = docs.join(tokens, ["language", "fold"], "left").collect()
     names = sorted({r.language for r in classes})
@@ -66,52 +62,41 @@ def cv_predictions(
     )
     known = _held_out_counts(terms, names, folds)
 
-    # Each text gets one null unit more, which carries an empty entry for
-    # every model: a text scores even where none of its tokens is known.
-    units = F.coalesce(vocabulary.units("text"), F.array())
-    text_columns = [key, "truth", "text_length", "n_tokens", "fold"]
-    occurrences = vocabulary.with_tokens(
-        folded.select(
-            key,
-            F.col("language").alias("truth"),
-            F.length("text").alias("text_length"),
-            F.size(units).alias("n_tokens"),
-            "fold",
-            F.explode(F.concat(units, F.array(F.lit(None)))).alias("unit"),
-        ),
-        key,
+    units = texts.select(key, F.explode(vocabulary.units("text")).alias("unit"))
+    counted = vocabulary.with_tokens(units, key).groupBy(key, "token").agg(
+        F.count("*").alias("m")
     )
-    counted = occurrences.groupBy(*text_columns, "token").agg(F.count("*").alias("m"))
     cells = vocabulary.size * folds * len(names)
     found = attach(
-        counted, known, "token", key,
+        counted, known, "token", key, how="inner",
         rows=vocabulary.size,
         max_rows=vocabulary.size if cells <= MAX_CELLS else 0,
     )
-    nothing = F.array(
-        *[
-            F.struct(
-                F.lit(model).alias("model"),
-                F.lit(_NO_CLASS).alias("id"),
-                F.lit(0).cast("long").alias("n"),
-            )
-            for model in range(folds)
-        ]
-    )
-    entries = F.when(F.col("token").isNull(), nothing).otherwise(F.col("entries"))
-    sums = [
-        F.sum(F.col("m") * (F.log(F.col("n") + a) - F.lit(math.log(a)))) for a in alphas
-    ]
+
+    # A class and a text meet once; models and values tried are columns.
+    def gain(model: int, alpha: float) -> Column:
+        logs = F.log(F.col(f"n{model}") + alpha) - F.lit(math.log(alpha))
+        return F.sum(F.col("m") * logs)
+
+    gains = F.array(*[F.array(*[gain(m, a) for a in alphas]) for m in range(folds)])
     matched = (
-        found.select(*text_columns, "m", F.inline(entries))
-        .groupBy(*text_columns, "model", "id")
-        .agg(F.array(*sums).alias("gains"))
-        .groupBy(*text_columns, "model")
+        found.select(key, "m", F.inline("entries"))
+        .groupBy(key, "id")
+        .agg(gains.alias("gains"))
+        .groupBy(key)
         .agg(F.map_from_entries(F.collect_list(F.struct("id", "gains"))).alias("gains"))
     )
+    sizes = texts.select(
+        key,
+        F.col("language").alias("truth"),
+        F.length("text").alias("text_length"),
+        F.coalesce(F.size(vocabulary.units("text")), F.lit(0)).alias("n_tokens"),
+        "fold",
+    )
 
     def joint(c: Column) -> Column:
-        gain = F.get(F.try_element_at("gains", c["id"]), F.col("place"))
+        of_class = F.try_element_at("gains", c["id"])
+        gain = F.get(F.get(of_class, F.col("model")), F.col("place"))
         score = c["prior"] + F.col("n_tokens") * c["base"] + F.coalesce(gain, F.lit(0.0))
         # Of equal scores the class first in name is the greatest.
         return F.struct(score.alias("score"), (-c["id"]).alias("order"))
@@ -119,8 +104,11 @@ def cv_predictions(
     best = F.col("best.score")
     total = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + F.exp(s["score"] - best))
     labels = F.array(*[F.lit(x) for x in names])
+    each_model = F.explode(F.array(*[F.lit(m) for m in range(folds)])).alias("model")
     return (
-        matched.join(F.broadcast(models), "model")
+        sizes.join(matched.hint("shuffle_hash"), key, "left")
+        .select("*", each_model)
+        .join(F.broadcast(models), "model")
         .withColumn("scores", F.transform("classes", joint))
         .withColumn("best", F.array_max("scores"))
         .select(
@@ -158,24 +146,25 @@ def _model_rows(classes, names, size: int, alphas, folds: int) -> list[tuple]:
 
 
 def _held_out_counts(terms: DataFrame, names: list[str], folds: int) -> DataFrame:
-    """``(token, entries)``: counts of a token by held-out model and class.
+    """``(token, entries)``: for each class of a token, its count by held-out model.
 
-    One row a token and at most ``folds * classes`` entries in it, so never
-    more than the vocabulary times the number of models.
+    One row a token and at most one entry a class in it, so never more than
+    the vocabulary times the number of classes.
     """
-    per_fold = F.map_from_entries(F.collect_list(F.struct("fold", "n")))
-    totals = terms.groupBy("token", "language").agg(
-        F.sum("n").alias("total"), per_fold.alias("per_fold")
-    )
+    by_fold = [
+        F.coalesce(F.sum(F.when(F.col("fold") == m, F.col("n"))), F.lit(0)).alias(f"f{m}")
+        for m in range(folds)
+    ]
     ids = F.create_map(*[F.lit(x) for pair in ((n, i) for i, n in enumerate(names)) for x in pair])
-    left = F.col("total") - F.coalesce(F.try_element_at("per_fold", F.col("model")), F.lit(0))
-    models = F.explode(F.array(*[F.lit(m) for m in range(folds)])).alias("model")
+    left = [(F.col("total") - F.col(f"f{m}")).alias(f"n{m}") for m in range(folds)]
     return (
-        totals.select("token", "language", "total", "per_fold", models)
-        .select("token", "model", F.try_element_at(ids, F.col("language")).alias("id"), left.alias("n"))
-        .filter(F.col("n") > 0)
+        terms.groupBy("token", "language")
+        .agg(F.sum("n").alias("total"), *by_fold)
+        .select("token", F.try_element_at(ids, F.col("language")).alias("id"), *left)
         .groupBy("token")
-        .agg(F.collect_list(F.struct("model", "id", "n")).alias("entries"))
+        .agg(
+            F.collect_list(F.struct("id", *[f"n{m}" for m in range(folds)])).alias("entries")
+        )
     )
 
 

@@ -43,32 +43,34 @@ class WordVocabulary:
         return self.table.join(by_token, "token", "left").drop("token")
 
 
-def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """How often each word occurs; combined within tasks before it moves."""
+def word_counts(df: DataFrame, text: str = "text", by: list[str] | None = None) -> DataFrame:
+    """``(*by, word, n)``: how often each word occurs, in a class or over all.
+
+    Counts are combined within tasks before they move. Vocabularies and models
+    are made from this table, so a corpus is read for it once.
+    """
+    by = by or []
     return (
-        df.select(F.explode(words(text)).alias("word"))
-        .groupBy("word")
+        df.select(*by, F.explode(words(text)).alias("word"))
+        .groupBy(*by, "word")
         .agg(F.count("*").alias("n"))
     )
 
 
-def word_vocabulary(
-    df: DataFrame, text: str = "text", size: int = VOCABULARY_SIZE
-) -> DataFrame:
+def word_vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
     """``(token, word, n)``: ids by falling frequency, equal ones by word.
 
-    Each task keeps its own ``size - 1`` best words, so that the ordering that
-    assigns ids sees a bounded number of rows.
+    ``counts`` are ``word_counts``. Each task keeps its own ``size - 1`` best
+    words, so that the ordering that assigns ids sees a bounded number of rows.
     """
-    best = word_counts(df, text).orderBy(F.desc("n"), "word").limit(size - 1)
+    totals = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    best = totals.orderBy(F.desc("n"), "word").limit(size - 1)
     token = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
     return best.select(token.alias("token"), "word", "n")
 
 
-def train_word_vocabulary(
-    df: DataFrame, text: str = "text", size: int = VOCABULARY_SIZE
-) -> WordVocabulary:
-    table = word_vocabulary(df, text, size).select(F.col("word").alias("unit"), "token")
+def train_word_vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> WordVocabulary:
+    table = word_vocabulary(counts, size).select(F.col("word").alias("unit"), "token")
     return WordVocabulary(settle(table, "vocabulary"), size)
 
 

@@ -13,7 +13,8 @@ from glotsieve.operators.naive_bayes import NaiveBayesModel, nb_fit, nb_predict
 from glotsieve.operators.ngrams import Templates, train_ngrams
 from glotsieve.operators.rule import rule_inputs, rule_label
 from glotsieve.operators.subwords import SubwordVocabulary, train_subwords
-from glotsieve.operators.vocabulary import WordVocabulary, train_word_vocabulary
+from glotsieve.operators.vocabulary import WordVocabulary, train_word_vocabulary, word_counts
+from glotsieve.session import settle
 from glotsieve.sources.blocks import jvm_blocks
 from glotsieve.values import (
     ALPHA,
@@ -47,13 +48,14 @@ def train_detector(
 ) -> Detector:
     """Train on the rows given, usually the train split.
 
-    ``tokens`` is ``subword`` or ``word``.
+    ``tokens`` is ``subword`` or ``word``. Texts are read twice, to count words
+    and to count n-grams; the rest works on those counts.
     """
     cleaned = df.select(clean_text(text).alias("text"), F.col(language).alias("language"))
     train = {"subword": train_subwords, "word": train_word_vocabulary}[tokens]
-    vocabulary = train(cleaned, "text", size)
+    counts = settle(word_counts(cleaned, by=["language"]), "word-counts")
     return Detector(
-        nb_fit(cleaned, vocabulary, alpha=alpha),
+        nb_fit(cleaned, train(counts, size), alpha=alpha, counts=counts),
         train_ngrams(cleaned, n=GRAM_SIZE, k=TEMPLATE_SIZE),
         threshold,
         margin,

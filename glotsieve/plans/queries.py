@@ -29,7 +29,7 @@ from glotsieve.operators import (
 )
 from glotsieve.plans import corpus as cp
 from glotsieve.plans import detect as dt
-from glotsieve.session import scratch_path
+from glotsieve.session import scratch_path, settle
 from glotsieve.sources import blocks as sb
 from glotsieve.sources import texts as st
 
@@ -339,12 +339,17 @@ def _scalar(function: Callable[[str], Column], name: str = "text"):
 
 def word_vocabulary(spark, sf):
     train = ds.filter_split(labelled(spark, sf), "train")
-    return vo.word_vocabulary(train).select(F.col("token").cast("long"), "word", "n")
+    return vo.word_vocabulary(vo.word_counts(train)).select(F.col("token").cast("long"), "word", "n")
+
+
+def _counts(docs):
+    train = ds.filter_split(docs, "train")
+    return settle(vo.word_counts(train, by=["language"]), "word-counts")
 
 
 def _with_vocabulary(spark, sf):
     docs = labelled(spark, sf)
-    return docs, vo.train_word_vocabulary(ds.filter_split(docs, "train"))
+    return docs, vo.train_word_vocabulary(_counts(docs))
 
 
 def tokenize(spark, sf):
@@ -361,7 +366,7 @@ def vectorize(spark, sf):
 
 def _subwords(spark, sf):
     docs = labelled(spark, sf)
-    return docs, sw.train_subwords(ds.filter_split(docs, "train"), size=SUBWORDS)
+    return docs, sw.train_subwords(_counts(docs), SUBWORDS)
 
 
 def train_tokenizer(spark, sf):
@@ -380,9 +385,15 @@ def token_pieces(spark, sf):
 # Naive Bayes
 
 
+def _bayes(docs):
+    counts = _counts(docs)
+    train = ds.filter_split(docs, "train")
+    return nb.nb_fit(train, vo.train_word_vocabulary(counts), counts=counts)
+
+
 def _fitted(spark, sf):
-    docs, words = _with_vocabulary(spark, sf)
-    return docs, nb.nb_fit(ds.filter_split(docs, "train"), words)
+    docs = labelled(spark, sf)
+    return docs, _bayes(docs)
 
 
 def _predicted(spark, sf, t=scores.THRESHOLD):
@@ -523,7 +534,7 @@ def closest_distance(spark, sf):
 def unicode_predict(spark, sf):
     docs = in_scripts(labelled(spark, sf))
     train, test = ds.filter_split(docs, "train"), ds.filter_split(docs, "test")
-    model = nb.nb_fit(train, vo.train_word_vocabulary(train))
+    model = _bayes(docs)
     predicted = nb.nb_predict(test, KEY, "text", model, STRICT)
     return rl.unicode_predict(
         test, predicted, KEY, "text", sb.jvm_blocks(spark), ng.train_ngrams(train)
@@ -560,7 +571,7 @@ def metrics_report(spark, sf):
 def stage_comparison(spark, sf):
     docs = in_scripts(labelled(spark, sf))
     train, test = ds.filter_split(docs, "train"), ds.filter_split(docs, "test")
-    model = nb.nb_fit(train, vo.train_word_vocabulary(train))
+    model = _bayes(docs)
     predicted = nb.nb_predict(test, KEY, "text", model, STRICT).join(
         test.select(KEY, "language"), KEY
     )
