@@ -11,11 +11,13 @@ a single word is Python.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,19 +35,25 @@ MAX_PIECES = 1_000_000
 _UNKNOWN_PENALTY = 10.0
 _CACHED_WORDS = 200_000
 
+# Tasks get the helpers below along with the functions that use them, so that
+# workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _edges(word: str, scores: dict[str, float], floor: float):
     """``(start, end, score, known)`` of pieces in a word, by end position.
 
     A character that is no piece still gets an edge, at a low score.
     """
+    edges = []
     for end in range(1, len(word) + 1):
         for start in range(max(0, end - MAX_PIECE), end):
             score = scores.get(word[start:end])
             if score is not None:
-                yield start, end, score, True
+                edges.append((start, end, score, True))
             elif start == end - 1:
-                yield start, end, floor, False
+                edges.append((start, end, floor, False))
+    return edges
 
 
 def best_pieces(word: str, scores: dict[str, float], floor: float, split: bool = False):
@@ -65,24 +73,33 @@ def best_pieces(word: str, scores: dict[str, float], floor: float, split: bool =
 
 
 def expected_pieces(word: str, scores: dict[str, float], floor: float):
-    """``(piece, probability)`` over all segmentations of a word."""
-    edges = list(_edges(word, scores, floor))
+    """``(piece, probability)`` over all segmentations of a word.
+
+    Sums are relative to the best path up to each position, so that neither
+    long words nor unlikely ones underflow.
+    """
+    edges = _edges(word, scores, floor)
     size = len(word) + 1
-    ahead = [-math.inf] * size
-    behind = [-math.inf] * size
-    ahead[0] = behind[-1] = 0.0
+    best = [0.0] + [-math.inf] * (size - 1)
     for start, end, score, _ in edges:
-        ahead[end] = _log_add(ahead[end], ahead[start] + score)
-    for start, end, score, _ in sorted(edges, reverse=True):
-        behind[start] = _log_add(behind[start], behind[end] + score)
-    for start, end, score, known in edges:
-        if known:
-            yield word[start:end], math.exp(ahead[start] + score + behind[end] - ahead[-1])
-
-
-def _log_add(a: float, b: float) -> float:
-    low, high = min(a, b), max(a, b)
-    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+        if best[start] + score > best[end]:
+            best[end] = best[start] + score
+    weighed = [
+        (start, end, math.exp(best[start] + score - best[end]), known)
+        for start, end, score, known in edges
+    ]
+    ahead = [1.0] + [0.0] * (size - 1)
+    for start, end, weight, _ in weighed:
+        ahead[end] += ahead[start] * weight
+    behind = [0.0] * (size - 1) + [1.0]
+    # Edges come by end position, so backwards every end is complete.
+    for start, end, weight, _ in reversed(weighed):
+        behind[start] += weight * behind[end]
+    return [
+        (word[start:end], ahead[start] * weight * behind[end] / ahead[-1])
+        for start, end, weight, known in weighed
+        if known
+    ]
 
 
 def _floor(scores: dict[str, float]) -> float:
@@ -143,10 +160,11 @@ def token_pieces(vocabulary: SubwordVocabulary) -> DataFrame:
 
 
 def _words(counts: DataFrame) -> DataFrame:
-    """Distinct words, marked, in as many parts as there is work for Python."""
+    """Distinct words, marked, in files enough for every core: the passes are Python."""
     totals = counts.groupBy("word").agg(F.sum("n").alias("n"))
     marked = F.concat(F.lit(WORD_START), F.col("word")).alias("word")
-    return spread(settle(totals.select(marked, "n"), "words"), "word")
+    parts = 2 * counts.sparkSession.sparkContext.defaultParallelism
+    return settle(totals.select(marked, "n").repartition(parts, "word"), "words")
 
 
 def _seed_pieces(words: DataFrame, seed_size: int, coverage: float) -> DataFrame:

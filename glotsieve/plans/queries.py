@@ -66,10 +66,15 @@ def named(spark: SparkSession, sf: str) -> DataFrame:
     return docs.withColumn("text", tx.clean_text("text"))
 
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
+def split(spark: SparkSession, sf: str) -> DataFrame:
     return sm.split_train_test(named(spark, sf), KEY)
 
 
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """The split corpus as a written table, which training reads several times."""
+    return settle(split(spark, sf), "labelled", by="split")
+
+
 def _by_language(english: str, french: str, german: str, spanish: str) -> Column:
     column = F.col("language")
     return (
@@ -146,7 +151,7 @@ def load_blocks(spark, sf):
 
 def write_dataset(spark, sf):
     path = scratch_path(spark, "dataset")
-    st.write_dataset(labelled(spark, sf), path)
+    st.write_dataset(split(spark, sf), path)
     return spark.read.parquet(path).select(KEY, "source", "language", "split", "text")
 
 
@@ -160,7 +165,7 @@ def write_unseen(spark, sf):
 
 def write_corpus(spark, sf):
     path = scratch_path(spark, "corpus")
-    st.write_corpus(labelled(spark, sf), path)
+    st.write_corpus(split(spark, sf), path)
     lines = spark.read.text(path).withColumnRenamed("value", "text")
     return lines.groupBy("text").agg(F.count("*").alias("n"))
 
@@ -240,7 +245,7 @@ def relabelled_rows(spark, sf):
 
 
 def filter_split(spark, sf):
-    return ds.filter_split(labelled(spark, sf), "test").select(KEY, "language", "text")
+    return ds.filter_split(split(spark, sf), "test").select(KEY, "language", "text")
 
 
 def union_sources(spark, sf):
@@ -267,7 +272,7 @@ def count_removed(spark, sf):
 
 
 def split_train_test(spark, sf):
-    return labelled(spark, sf).select(KEY, "source", "split")
+    return split(spark, sf).select(KEY, "source", "split")
 
 
 def sample_per_language(spark, sf):
@@ -338,7 +343,7 @@ def _scalar(function: Callable[[str], Column], name: str = "text"):
 
 
 def word_vocabulary(spark, sf):
-    train = ds.filter_split(labelled(spark, sf), "train")
+    train = ds.filter_split(split(spark, sf), "train")
     return vo.word_vocabulary(vo.word_counts(train)).select(F.col("token").cast("long"), "word", "n")
 
 
@@ -490,7 +495,7 @@ def char_ngrams(spark, sf):
 
 
 def train_ngrams(spark, sf):
-    grams = ng.char_ngrams(ds.filter_split(labelled(spark, sf), "train"), ["language"])
+    grams = ng.char_ngrams(ds.filter_split(split(spark, sf), "train"), ["language"])
     return grams.select("language", "gram", "n", F.col("rank").cast("long"))
 
 
@@ -549,7 +554,7 @@ def language_counts(spark, sf):
 
 
 def split_shares(spark, sf):
-    shares = mt.split_shares(labelled(spark, sf).select("split"))
+    shares = mt.split_shares(split(spark, sf).select("split"))
     return shares.select("split", *_six("share"))
 
 

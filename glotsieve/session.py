@@ -49,16 +49,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write an aggregate once to shared storage and read it back.
+def settle(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table once to shared storage and read it back.
 
     It is used for results that several later steps read, such as counts of a
     model: losing an executor then costs a re-read, not a second pass over
-    the corpus, and the size of the table is known from its files.
+    the corpus, and the size of the table is known from its files. ``by``
+    names a column of few values to keep apart, so that filters on it skip
+    files.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def attach(
