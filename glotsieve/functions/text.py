@@ -10,6 +10,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,7 +166,6 @@ def nfc(col: Column | str) -> Column:
     Spark has no such function, so the texts that may need it go through an
     Arrow batch; all others are sent as nulls and kept as they are.
     """
-    import pandas as pd
 
     @F.pandas_udf("string")
     def compose(texts: pd.Series) -> pd.Series:

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from glotsieve.session import scratch_path
-
 LABELLED = "text STRING, language STRING"
 
 
@@ -16,12 +14,16 @@ def scan_texts(
     path: str | list[str],
     format: str = "parquet",
     schema: str | StructType | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
-    """Read a text table; CSV needs a declared schema, so files are read once."""
+    """Read a text table; CSV takes a declared schema, so files are read once.
+
+    CSV fields may hold line breaks, and then a file is one task. Turn
+    ``multiline`` off for large files whose fields hold none.
+    """
     if format == "csv":
         reader = spark.read.schema(schema or LABELLED)
-        # Quoted fields may hold line breaks and doubled quotes.
-        return reader.csv(path, header=True, multiLine=True, quote='"', escape='"')
+        return reader.csv(path, header=True, multiLine=multiline, quote='"', escape='"')
     reader = spark.read.format(format)
     return (reader.schema(schema) if schema else reader).load(path)
 
@@ -56,10 +58,3 @@ def write_unseen(population: DataFrame, sample: DataFrame, key: str, path: str)
 def write_corpus(df: DataFrame, path: str, split: str = "train") -> None:
     """Write the texts of one split, one a line, without header."""
     df.filter(F.col("split") == split).select("text").write.text(path)
-
-
-def read_back(spark: SparkSession, name: str, write) -> str:
-    """Run a writer on a fresh folder in shared storage and return the folder."""
-    path = scratch_path(spark, name)
-    write(path)
-    return path
