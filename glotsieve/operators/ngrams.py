@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glotsieve.functions import text as tx
-from glotsieve.session import settle
+from glotsieve.session import attach, settle
 from glotsieve.values import CANDIDATES, GRAM_SIZE, TEMPLATE_SIZE
 
 
@@ -91,9 +91,9 @@ def rank_distances(
 ) -> DataFrame:
     """``(*by, distances)`` with ``ARRAY<STRUCT<language, distance>>``.
 
-    ``by`` identifies a text and includes its ``script`` group. All grams of
-    the text are ranked, then matched with the broadcast templates (at most k
-    rows a candidate). A gram the text lacks costs k: rather than listing the
+    ``by`` identifies a text, by its key first, and includes its ``script``
+    group. All grams of the text are ranked, then matched with the templates,
+    which are broadcast (at most k rows a candidate). A gram the text lacks costs k: rather than listing the
     missing ones, each match lowers k times the template's size. A text with
     null grams keeps its row.
     """
@@ -101,13 +101,9 @@ def rank_distances(
     width = max((len(names) for names in usable.values()), default=0)
     places = [(g, c, i) for g, names in usable.items() for i, c in enumerate(names)]
     spark = df.sparkSession
-    lookup = F.broadcast(
-        templates.table.join(
-            F.broadcast(
-                spark.createDataFrame(places, f"{script} STRING, language STRING, place INT")
-            ),
-            "language",
-        ).select(script, "gram", "place", F.col("rank").alias("template_rank"))
+    places_table = spark.createDataFrame(places, f"{script} STRING, language STRING, place INT")
+    lookup = templates.table.join(F.broadcast(places_table), "language").select(
+        script, "gram", "place", F.col("rank").alias("template_rank")
     )
     counts = (
         df.select(*by, F.explode_outer(grams).alias("gram"))
@@ -115,8 +111,12 @@ def rank_distances(
         .agg(F.count("*").alias("n"))
     )
     order = Window.partitionBy(*by).orderBy(F.desc("n"), "gram")
-    matched = counts.withColumn("rank", F.row_number().over(order)).join(
-        lookup, [script, "gram"], "left"
+    matched = attach(
+        counts.withColumn("rank", F.row_number().over(order)),
+        lookup,
+        [script, "gram"],
+        spread_by=by[0],
+        rows=sum(templates.sizes[language] for _, language, _ in places),
     )
     gain = F.abs(F.col("rank") - F.col("template_rank")) - F.lit(templates.k)
     gains = [

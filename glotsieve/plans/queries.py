@@ -540,9 +540,11 @@ def unicode_predict(spark, sf):
     docs = in_scripts(labelled(spark, sf))
     train, test = ds.filter_split(docs, "train"), ds.filter_split(docs, "test")
     model = _bayes(docs)
-    predicted = nb.nb_predict(test, KEY, "text", model, STRICT)
+    # Three steps read the texts by key; one exchange serves them all.
+    texts = test.select(KEY, "text").repartition(KEY)
+    predicted = nb.nb_predict(texts, KEY, "text", model, STRICT)
     return rl.unicode_predict(
-        test, predicted, KEY, "text", sb.jvm_blocks(spark), ng.train_ngrams(train)
+        texts, predicted, KEY, "text", sb.jvm_blocks(spark), ng.train_ngrams(train)
     )
 
 
