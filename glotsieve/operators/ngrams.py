@@ -102,8 +102,16 @@ def rank_distances(
     places = [(g, c, i) for g, names in usable.items() for i, c in enumerate(names)]
     spark = df.sparkSession
     places_table = spark.createDataFrame(places, f"{script} STRING, language STRING, place INT")
-    lookup = templates.table.join(F.broadcast(places_table), "language").select(
-        script, "gram", "place", F.col("rank").alias("template_rank")
+    # One row a gram and a column a candidate, so a match never multiplies rows.
+    lookup = (
+        templates.table.join(F.broadcast(places_table), "language")
+        .groupBy(script, "gram")
+        .agg(
+            *[
+                F.max(F.when(F.col("place") == i, F.col("rank"))).alias(f"rank{i}")
+                for i in range(width)
+            ]
+        )
     )
     counts = (
         df.select(*by, F.explode_outer(grams).alias("gram"))
@@ -118,9 +126,9 @@ def rank_distances(
         spread_by=by[0],
         rows=sum(templates.sizes[language] for _, language, _ in places),
     )
-    gain = F.abs(F.col("rank") - F.col("template_rank")) - F.lit(templates.k)
     gains = [
-        F.sum(F.when(F.col("place") == i, gain)).alias(f"gain{i}") for i in range(width)
+        F.sum(F.abs(F.col("rank") - F.col(f"rank{i}")) - F.lit(templates.k)).alias(f"gain{i}")
+        for i in range(width)
     ]
     summed = matched.groupBy(*by).agg(F.count("gram").alias("n_grams"), *gains)
     distances = F.lit(None).cast("array<struct<language:string,distance:bigint>>")

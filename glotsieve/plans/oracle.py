@@ -534,8 +534,7 @@ SELECT doc_id, margin, {_nearest('margin')} AS nearest
 FROM reduced JOIN ties USING (doc_id), margins""",
     "closest_distance": f"""{_SCRIPTED}, {GRAMS}, {DISTANCES}
 SELECT scripts.doc_id, CASE WHEN least IS NULL THEN 'UNKNOWN' ELSE {_nearest('0.006')} END AS closest
-FROM scripts LEFT JOIN reduced USING (doc_id) LEFT JOIN ties USING (doc_id)
-WHERE scripts.doc_id IN (SELECT doc_id FROM ranked)""",
+FROM scripts LEFT JOIN reduced USING (doc_id) LEFT JOIN ties USING (doc_id)""",
     "unicode_predict": f"""{_detected(q.STRICT, SCRIPT_DOCS)}
 SELECT doc_id, nb_predict, unicode_predict FROM final""",
     "language_counts": f"WITH {NAMED} SELECT language, count(*) AS n FROM named GROUP BY language",

@@ -470,11 +470,13 @@ def script_of_block(spark, sf):
 
 
 def _with_script(spark, sf):
-    texts = in_scripts(labelled(spark, sf))
+    # Texts are moved by key, so that work on them is shared out by their
+    # size; the narrow script table is hashed next to them.
+    texts = in_scripts(labelled(spark, sf)).repartition(KEY)
     top = bl.highest_block(
         bl.count_blocks(texts, KEY, "text", sb.jvm_blocks(spark)), KEY
     ).select(KEY, bl.script_of_block("top_block").alias("script"))
-    return texts.join(top, KEY)
+    return texts.join(top.hint("shuffle_hash"), KEY)
 
 
 def cjk_rule(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}  # folders of local sessions that name none
 
 
 def build_session(master: str | None = None, name: str = "glotsieve", **conf: str) -> SparkSession:
@@ -39,13 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="glotsieve-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="glotsieve-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    app = spark.conf.get("spark.app.id", "app")
+    app = spark.sparkContext.applicationId
     return f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex}"
 
 
