@@ -21,6 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glotsieve.operators.topk import largest_rows
 from glotsieve.session import settle
 from glotsieve.sources.texts import spread
 from glotsieve.values import VOCABULARY_SIZE
@@ -197,11 +198,11 @@ def _seed_pieces(words: DataFrame, seed_size: int, coverage: float) -> DataFrame
         .filter("needed")
         .select("piece", "n", F.lit(True).alias("required"))
     )
-    longer = (
-        counts.filter(F.length("piece") > 1)
-        .orderBy(F.desc(F.col("n") * F.length("piece")), "piece")
-        .limit(seed_size)
-        .select("piece", "n", F.lit(False).alias("required"))
+    weighed = counts.filter(F.length("piece") > 1).withColumn(
+        "weight", F.col("n") * F.length("piece")
+    )
+    longer = largest_rows(weighed, "weight", "piece", seed_size).select(
+        "piece", "n", F.lit(False).alias("required")
     )
     return characters.union(longer)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glotsieve.functions.text import words
+from glotsieve.operators.topk import largest_rows
 from glotsieve.session import attach, settle
 from glotsieve.values import VOCABULARY_SIZE
 
@@ -60,11 +61,11 @@ def word_counts(df: DataFrame, text: str = "text", by: list[str] | None = None)
 def word_vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
     """``(token, word, n)``: ids by falling frequency, equal ones by word.
 
-    ``counts`` are ``word_counts``. Each task keeps its own ``size - 1`` best
-    words, so that the ordering that assigns ids sees a bounded number of rows.
+    ``counts`` are ``word_counts``, settled. The ordering that assigns ids sees
+    the chosen words only.
     """
     totals = counts.groupBy("word").agg(F.sum("n").alias("n"))
-    best = totals.orderBy(F.desc("n"), "word").limit(size - 1)
+    best = largest_rows(totals, "n", "word", size - 1)
     token = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
     return best.select(token.alias("token"), "word", "n")
 

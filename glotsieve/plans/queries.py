@@ -343,8 +343,8 @@ def _scalar(function: Callable[[str], Column], name: str = "text"):
 
 
 def word_vocabulary(spark, sf):
-    train = ds.filter_split(split(spark, sf), "train")
-    return vo.word_vocabulary(vo.word_counts(train)).select(F.col("token").cast("long"), "word", "n")
+    words = vo.word_vocabulary(_counts(split(spark, sf)))
+    return words.select(F.col("token").cast("long"), "word", "n")
 
 
 def _counts(docs):

@@ -144,3 +144,13 @@ def test_one_split_table_is_spread_by_key(spark):
     spread = st.spread(df, "id")
     assert spread.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert spread.count() == 100
+
+
+@pytest.mark.parametrize("k", [1, 7, 99, 100, 150, 500])
+def test_largest_rows_are_the_top_k(spark, k):
+    from glotsieve.operators.topk import largest_rows
+
+    rows = [(f"w{i:03d}", 1 + (i * 37) % 50 if i < 100 else 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "word STRING, n LONG")
+    expected = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+    assert sorted(map(tuple, largest_rows(df, "n", "word", k).collect())) == sorted(expected)
