@@ -115,13 +115,12 @@ def _weights(model: NaiveBayesModel) -> tuple[DataFrame, list[float]]:
     def weight(i: int) -> Column:
         return F.log(F.coalesce(F.col(f"n{i}"), F.lit(0)) + model.alpha) - F.lit(totals[i])
 
-    columns = [f"n{i}" for i in range(len(totals))]
     by_unit = model.vocabulary.by_unit(counts)
     table = by_unit.select("unit", *[weight(i).alias(f"w{i}") for i in range(len(totals))])
-    default = [0] * len(totals)
-    if model.vocabulary.default is not None:
-        row = counts.filter(F.col("token") == model.vocabulary.default).first()
-        default = [(row[c] or 0) if row else 0 for c in columns]
+    # Any other unit has the default token, if there is one; a row a class.
+    seen = model.terms.filter(F.col("token").eqNullSafe(F.lit(model.vocabulary.default)))
+    by_language = {r.language: r.n for r in seen.limit(MAX_CLASSES).collect()}
+    default = [by_language.get(language, 0) for language in model.languages]
     return table, [math.log(n + model.alpha) - t for n, t in zip(default, totals)]
 
 

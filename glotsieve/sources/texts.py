@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from glotsieve.session import settle
+
 LABELLED = "text STRING, language STRING"
 
 
@@ -41,6 +43,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(2 * cores, key)
 
 
+def add_key(df: DataFrame, key: str) -> DataFrame:
+    """Number the rows of a table that has no unique column.
+
+    The numbers depend on how rows lie in partitions, so the table is written
+    with them: a task that runs again must not number its rows anew.
+    """
+    return settle(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
 def write_dataset(df: DataFrame, path: str) -> None:
     """Write a labelled corpus, one folder a split.
 
