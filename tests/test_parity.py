@@ -6,6 +6,7 @@ from conftest import DATA
 from parity import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from glotsieve.plans.queries import QUERIES
 
 CHOSEN = [
     "union_sources", "dedup_first", "split_train_test", "flag_sampled", "clean_text", "tokenize",
@@ -26,7 +27,7 @@ def test_query(spark, db, name):
 
 def test_registry():
     assert set(oracle_sql()) <= set(queries())
-    untold = set(queries()) - set(oracle_sql())
+    untold = set(QUERIES) - set(oracle_sql())
     assert untold == {"train_tokenizer", "tokenize_subwords", "token_pieces", "detect_subwords"}
 
 
