@@ -55,3 +55,32 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
         edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, limit: int, key: str, text: str, max_bytes: int | None = None
+) -> DataFrame:
+    """(key, text, label): up to ``limit`` labelled rows a class that a model may learn from.
+
+    Rows whose ``crc32(key) mod 5`` is 0 are held out and never among them;
+    those with the smallest hashes of the key are taken, so a rerun agrees.
+    Labels other than 0 and 1 are left out, as are null texts and, if
+    ``max_bytes`` is given, texts longer than that. A key that occurs often
+    counts once. The chosen keys are at most ``2 * limit`` narrow rows, which
+    is why they may be broadcast.
+    """
+    usable = labels.filter(F.col(key).isNotNull() & ~held_out(key) & F.col(label).isin(0, 1))
+    usable = usable.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label"))
+    order = [F.xxhash64("_key"), F.col("_key"), F.col("label")]
+    chosen = [usable.filter(F.col("label") == c).orderBy(*order).limit(limit) for c in (0, 1)]
+    chosen = chosen[0].union(chosen[1]).groupBy("_key").agg(F.max("label").alias("label"))
+    given = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter("text is not null")
+    if max_bytes is not None:
+        given = given.filter(F.octet_length("text") <= max_bytes)
+    return given.join(F.broadcast(chosen), "_key").dropDuplicates(["_key"])
+
+
+def class_counts(labels: DataFrame, label: str, key: str) -> tuple[int, int]:
+    """Rows of class 0 and of class 1 among all labels a model may learn from."""
+    usable = labels.filter(F.col(key).isNotNull() & ~held_out(key))
+    return tuple(usable.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first())

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotsieve.llm import byte_bpe, hilbert, url_trie, wu_manber
-from glotsieve.llm.common import table
+from glotsieve.llm import byte_bpe, embedding_tiles, hilbert, quality_cnn, toxicity_ftrl, url_trie, wu_manber
+from glotsieve.llm.common import held_out, table
 
+QUALITY = 0.3  # texts scored below are rejected
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -26,10 +27,31 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_tiles.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def _judged(scores: DataFrame, least: float) -> DataFrame:
+    predicted = (F.col("score") >= least).cast("int").alias("predicted")
+    return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted)
+
+
+def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_ftrl.fit(docs, table(spark, sf_dir, "labels"))
+    return _judged(toxicity_ftrl.score(docs, model), 0.5)
+
+
 def op5_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
+    return _judged(quality_cnn.score(docs, model), QUALITY)
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wu_manber.benchmark_overlaps(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -57,13 +79,39 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_hilbert_shards": op2_hilbert_shards,
+    "op3_embedding_tiles": op3_embedding_tiles,
+    "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op5_url_trie": op5_url_trie,
+    "op6_quality_cnn": op6_quality_cnn,
     "op8_wu_manber": op8_wu_manber,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 SQL: dict[str, str] = {}
 
+SQL["op3_embedding_tiles"] = """
+WITH RECURSIVE given AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), usable AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM given WHERE list_dot_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+), reach AS (
+  SELECT a AS vec_id, a AS far FROM links
+  UNION
+  SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.far = links.a
+), least AS (
+  SELECT vec_id, min(far) AS component_id FROM reach GROUP BY vec_id
+), counts AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+       coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts USING (vec_id) LEFT JOIN least USING (vec_id)
+"""
+
 SQL["op5_url_trie"] = r"""
 WITH given AS (
   SELECT page_id,

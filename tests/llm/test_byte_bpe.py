@@ -8,10 +8,11 @@ from hypothesis import strategies as st
 
 from conftest import DATA
 from glotsieve.llm import queries
-from glotsieve.llm.byte_bpe import ByteBpe, encode_documents, merge_piece, read_ranks
+from glotsieve.llm.byte_bpe import ByteBpe, Merger, encode_documents, merge_piece, read_ranks
 
 PATH = public_tokenizers.path(queries.TOKENIZER)
 RANKS = read_ranks(PATH)
+MERGER = Merger(RANKS)
 KNOWN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
@@ -21,6 +22,14 @@ def test_pieces(piece):
     assert b"".join(KNOWN.decode_single_token_bytes(i) for i in merge_piece(piece, RANKS)) == piece
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.text(alphabet="abcdehilnorst éß日🙂", min_size=1, max_size=40), min_size=1, max_size=30))
+def test_many_at_once(pieces):
+    got = MERGER.encode(pieces)
+    for piece in pieces:
+        assert got[piece] == merge_piece(piece.encode(), RANKS) == KNOWN._encode_single_piece(piece)
+
+
 @pytest.mark.parametrize("piece", ["a" * 5000, "abcabd" * 700, "é" * 999, "thereth" * 300, "x"])
 def test_long_pieces(piece):
     assert merge_piece(piece.encode(), RANKS) == KNOWN.encode_ordinary(piece)
