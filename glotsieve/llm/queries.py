@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotsieve.llm import byte_bpe, embedding_tiles, hilbert, quality_cnn, toxicity_ftrl, url_trie, wu_manber
+from glotsieve.llm import byte_bpe, embedding_tiles, hilbert, html_subsequence, ngram_jaccard, pii_boosting, quality_cnn, toxicity_ftrl, url_trie, wu_manber
 from glotsieve.llm.common import held_out, table
 
 QUALITY = 0.3  # texts scored below are rejected
@@ -18,6 +18,10 @@ def byte_bpe_of(spark: SparkSession, name: str = TOKENIZER) -> byte_bpe.ByteBpe:
     return byte_bpe.ByteBpe(spark, public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards by rows: counts at most one apart, so `grown_shard` is null."""
     placed = hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
@@ -52,6 +56,19 @@ def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality_cnn.score(docs, model), QUALITY)
 
 
+def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii_boosting.personal_data(docs, pii_boosting.fit(docs))
+    counts = [
+        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{kind}")
+        for i, kind in enumerate(pii_boosting.KINDS)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii_boosting.as_text(F.col("base")), 256).alias("base_sha256"),
+        pii_boosting.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wu_manber.benchmark_overlaps(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -67,6 +84,12 @@ def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = html_subsequence.extract(pages, html_subsequence.fit(pages))
+    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), byte_bpe_of(spark))
     return coded.select(
@@ -78,17 +101,41 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_embedding_tiles": op3_embedding_tiles,
     "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op5_url_trie": op5_url_trie,
     "op6_quality_cnn": op6_quality_cnn,
+    "op7_pii_boosting": op7_pii_boosting,
     "op8_wu_manber": op8_wu_manber,
+    "op9_html_subsequence": op9_html_subsequence,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 SQL: dict[str, str] = {}
 
+SQL["op1_ngram_jaccard"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN generate_series(1, len(w) - 4)]) END AS s
+  FROM words
+), grams AS (
+  SELECT doc_id, hash(g) AS g, len(s) AS n FROM (SELECT doc_id, s, unnest(s) AS g FROM sets)
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a AS doc_id, a AS far FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.far = links.a
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM sets LEFT JOIN (SELECT doc_id, min(far) AS low FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
 SQL["op3_embedding_tiles"] = """
 WITH RECURSIVE given AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
