@@ -92,7 +92,7 @@ def join_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _pair(threshold: float):
-    def compare(key, rows: pa.Table) -> pa.Table:
+    def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         block = rows["block"].to_numpy()
         uid = rows["uid"].to_numpy()
         flat = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)

@@ -176,8 +176,8 @@ def fit(
         values = [v.ravel().astype(float).tolist() for v in found.values()]
         return pa.table({"name": list(found), "value": values})
 
-    chosen = chosen.select(F.xxhash64("_key").alias("at"), "label", "text")
-    parts = chosen.groupBy(F.lit(0)).applyInArrow(learn, "name string, value array<double>").collect()
+    chosen = chosen.select(F.lit(0).alias("all"), F.xxhash64("_key").alias("at"), "label", "text")
+    parts = chosen.groupBy("all").applyInArrow(learn, "name string, value array<double>").collect()
     for row in parts:
         if row.name in p:
             p[row.name] = np.array(row.value, np.float32).reshape(p[row.name].shape)

@@ -139,7 +139,7 @@ FROM sets LEFT JOIN (SELECT doc_id, min(far) AS low FROM reach GROUP BY doc_id)
 SQL["op3_embedding_tiles"] = """
 WITH RECURSIVE given AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), usable AS (
   SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM given WHERE list_dot_product(e, e) > 0
 ), links AS (

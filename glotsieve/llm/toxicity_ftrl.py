@@ -113,7 +113,8 @@ def fit(
     if not zero or not one:
         return np.empty(0, np.int32), np.empty(0), 35.0 if one else -35.0
     chosen = labelled_sample(docs, labels, label, sample, key, text)
-    chosen = chosen.select(F.xxhash64("_key").alias("at"), "label", _features(bits)("text").alias("row"))
+    row = _features(bits)("text").alias("row")
+    chosen = chosen.select(F.lit(0).alias("all"), F.xxhash64("_key").alias("at"), "label", row)
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by("at")
@@ -125,7 +126,7 @@ def fit(
         bias += np.log(one / zero) - np.log(y.sum() / (len(y) - y.sum()))
         return pa.table({"at": np.append(at, -1).astype(np.int32), "weight": np.append(weight, bias)})
 
-    model = chosen.groupBy(F.lit(0)).applyInArrow(learn, "at int, weight double").toArrow().sort_by("at")
+    model = chosen.groupBy("all").applyInArrow(learn, "at int, weight double").toArrow().sort_by("at")
     if not len(model):  # no text of a labelled row is at hand
         return np.empty(0, np.int32), np.empty(0), float(np.log(one / zero))
     at, weight = model["at"].to_numpy(), model["weight"].to_numpy()
