@@ -46,6 +46,7 @@ FEW = 8  # sets in an n-gram that still become pairs
 BLOCK = 256  # sets in a block
 BROADCAST = 300_000  # identifiers of 8 bytes; more are joined by a shuffle
 PIECE = 1 << 20  # bytes of a text hashed at a time
+AT_ONCE = 1 << 17  # n-grams a task hands over at a time
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -137,7 +138,7 @@ class Order:
         shares = weight[-1] * np.arange(1, fragments) // fragments
         self.cuts = np.searchsorted(weight, shares, side="right").astype(np.uint64) << np.uint64(64 - bits)
         #: counters far above the mean stand for common n-grams, which are salted
-        self.counters, self.common = counters, 8 * int(counters.mean()) + 4096
+        self.sorted_counts, self.common = counters[by_count], 8 * int(counters.mean()) + 4096
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         """Hashes as keys that sort by the order."""
@@ -152,12 +153,6 @@ class Order:
         salts = np.where(counts > self.common, 1 + seed % np.maximum(1, counts // 4096), 0)
         return salts.astype(np.int32)
 
-    @property
-    def sorted_counts(self) -> np.ndarray:
-        if not hasattr(self, "_sorted"):
-            self._sorted = np.sort(self.counters, kind="stable")
-        return self._sorted
-
     def split(self, keys: np.ndarray) -> list[np.ndarray]:
         return np.split(keys, np.searchsorted(keys, self.cuts))
 
@@ -214,8 +209,13 @@ def _counters(first: DataFrame) -> np.ndarray:
 def _prefixes(order, words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets of this task
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*found)]
+            return pa.record_batch(columns, ["token", "sid", "n", "salt"])
+
         for batch in batches:
-            tokens, ids, sizes, salts = [], [], [], []
+            found, held = [], 0
             for text in batch.column(0):
                 hashes = shingles(text.as_py(), words)
                 n = len(hashes)
@@ -223,33 +223,41 @@ def _prefixes(order, words: int, percent: int):
                     continue
                 seen.add(sid)
                 keys = order.value.keys(hashes)[: n - (-(-percent * n // 100)) + 1]
-                tokens.append(keys.view(np.int64))
-                ids.append(np.full(len(keys), sid))
-                sizes.append(np.full(len(keys), n))
-                salts.append(order.value.salts(keys, sid & 0x7FFFFFFF))
-            if tokens:
-                yield pa.record_batch([np.concatenate(x) for x in (tokens, ids, sizes, salts)], ["token", "sid", "n", "salt"])
+                salts = order.value.salts(keys, sid & 0x7FFFFFFF)
+                found.append((keys.view(np.int64), np.full(len(keys), sid), np.full(len(keys), n), salts))
+                held += len(keys)
+                if held > AT_ONCE:
+                    yield rows(found)
+                    found, held = [], 0
+            if found:
+                yield rows(found)
 
     return run
 
 
 def _segments(order, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            ids, numbers, parts = zip(*found)
+            ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+            values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts)))
+            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), values], ["sid", "fragment", "part"])
+
         for batch in batches:
-            ids, numbers, values = [], [], []
+            found, held = [], 0
             for sid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 hashes = shingles(text.as_py(), words)
                 if set_id(hashes) != sid:  # another text of a repeated key
                     continue
                 for f, part in enumerate(order.value.split(order.value.keys(hashes))):
                     if len(part):
-                        ids.append(sid)
-                        numbers.append(f)
-                        values.append(part.view(np.int64))
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(values, pa.list_(pa.int64()))],
-                ["sid", "fragment", "part"],
-            )
+                        found.append((sid, f, part.view(np.int64)))
+                held += len(hashes)
+                if held > AT_ONCE:
+                    yield rows(found)
+                    found, held = [], 0
+            if found:
+                yield rows(found)
 
     return run
 

@@ -59,10 +59,7 @@ def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii_boosting.personal_data(docs, pii_boosting.fit(docs))
-    counts = [
-        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{kind}")
-        for i, kind in enumerate(pii_boosting.KINDS)
-    ]
+    counts = [pii_boosting.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii_boosting.KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(pii_boosting.as_text(F.col("base")), 256).alias("base_sha256"),
         pii_boosting.as_text(F.col("spans")).alias("spans"),

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from glotsieve.llm.common import class_counts, labelled_sample
 
-BITS = 18
+BITS = 20
 SAMPLE = 5_000  # labelled rows of each class that training takes, at most
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+EPOCHS = 8
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 1.0
 WORD_CACHE = 300_000
 _WORD = re.compile(r"\w+")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
