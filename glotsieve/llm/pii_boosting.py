@@ -30,6 +30,7 @@ SUPPORT = 20  # candidates a threshold must select there at least
 
 #: marks around matches; a text's own are exchanged for a character no pattern knows
 MARK, SPARE = "\ue000", "\ue001"
+GROUP = 128  # values summed together, an even number
 _SPAN = "array<struct<start: bigint, end: bigint, span: string, before: string, after: string>>"
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -64,6 +65,32 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def running_sums(values: Column) -> Column:
+    """Sum of all values before each one. Values are taken in groups, so the cost stays near linear."""
+    none = F.array().cast("array<bigint>")
+
+    def sums(of: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+        step = lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(of, start, step, lambda s: s["out"])
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(GROUP))
+    groups = F.transform(starts, lambda i: F.slice(values, i + 1, F.lit(GROUP)))
+
+    def add(group: Column) -> Column:
+        return F.aggregate(group, F.lit(0).cast("bigint"), lambda total, v: total + v)
+
+    def joined(groups: Column) -> Column:
+        return let(
+            sums(F.transform(groups, add)),
+            lambda before: F.flatten(
+                F.transform(groups, lambda g, i: F.transform(sums(g), lambda s: s + F.get(before, i)))
+            ),
+        )
+
+    return let(groups, joined)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches of a pattern, with their place in code points and what stands around them.
 
@@ -72,35 +99,23 @@ def matches(text: Column, pattern: str) -> Column:
     """
     marked = F.regexp_replace(F.translate(text, MARK, SPARE), pattern, f"{MARK}$0{MARK}")
 
-    def step(state: Column, part: Column) -> Column:
-        past = state["at"] + F.length(part)
-        span = F.struct(
-            state["at"].alias("start"),
-            past.alias("end"),
-            part.alias("span"),
-            F.right(state["before"], F.lit(24)).alias("before"),
-            F.lit("").alias("after"),
-        )
-        return F.struct(
-            past.alias("at"),
-            (~state["odd"]).alias("odd"),
-            part.alias("before"),
-            F.when(state["odd"], F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"),
-        )
-
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("at"),
-        F.lit(False).alias("odd"),
-        F.lit("").alias("before"),
-        F.array().cast(_SPAN).alias("out"),
-    )
-
     def gather(parts: Column) -> Column:
-        found = F.aggregate(parts, start, step, lambda state: state["out"])
-        return F.transform(
-            found,
-            lambda s, i: s.withField("after", F.left(F.get(parts, 2 * i + 2), F.lit(2))),
-        )
+        numbers = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1)
+
+        def found(starts: Column) -> Column:
+            return F.transform(
+                numbers,
+                lambda i: F.struct(
+                    F.get(starts, i).alias("start"),
+                    (F.get(starts, i) + F.length(F.get(parts, i))).alias("end"),
+                    F.get(parts, i).alias("span"),
+                    F.right(F.get(parts, i - 1), F.lit(24)).alias("before"),
+                    F.left(F.get(parts, i + 1), F.lit(2)).alias("after"),
+                ),
+            )
+
+        lengths = F.transform(parts, lambda p: F.length(p).cast("bigint"))
+        return let(let(lengths, running_sums), found)
 
     return let(F.split(marked, MARK), gather)
 
@@ -372,12 +387,9 @@ def redact(text: Column, spans: Column) -> Column:
         gap = F.substr(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
         return F.struct(
             F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(apart, F.concat(state["out"], F.array(gap, F.get(names, s["kind"])))).otherwise(state["out"]).alias("out"),
+            F.when(apart, F.concat(state["out"], gap, F.get(names, s["kind"]))).otherwise(state["out"]).alias("out"),
         )
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(
-        ordered, start, step,
-        lambda state: F.concat(F.array_join(state["out"], ""), F.substr(text, (state["at"] + 1).cast("int"))),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    rest = lambda state: F.concat(state["out"], F.substr(text, (state["at"] + 1).cast("int")))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, step, rest))
