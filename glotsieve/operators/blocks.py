@@ -40,20 +40,27 @@ def _letters_by_block(
     )
 
 
-def count_blocks(df: DataFrame, key: str, text: str, blocks: DataFrame) -> DataFrame:
+def count_blocks(
+    df: DataFrame, key: str, text: str, blocks: DataFrame, keep: bool = False
+) -> DataFrame:
     """``(key, block, n, share, first_pos)``: one row for each block of a text.
 
+    A text without letters has no row, or with ``keep`` one without a block,
+    from which ``highest_block`` and ``cjk_rule`` make a row for every text.
+    Texts are exchanged once, by key, and their letters not at all.
     ``first_pos`` orders blocks by their first letter in the text. The text
     should be cleaned, or composed by ``nfc`` if it holds combining marks.
     """
-    counted = _letters_by_block(df, [key], letter_runs(text), blocks)
+    texts = df.select(key, F.col(text).alias("_text")).repartition(key)
+    counted = _letters_by_block(texts, [key], letter_runs("_text"), blocks)
     share = F.col("n") / F.sum("n").over(Window.partitionBy(key))
+    found = F.col("block_start").isNotNull()
     return (
-        counted.filter(F.col("block_start").isNotNull())
+        (counted if keep else counted.filter(found))
         .join(F.broadcast(blocks), "block_start", "left")
         .select(
             key,
-            F.coalesce("block", F.lit("No Block")).alias("block"),
+            F.when(found, F.coalesce("block", F.lit("No Block"))).alias("block"),
             "n",
             share.alias("share"),
             "first_pos",
@@ -64,8 +71,8 @@ def count_blocks(df: DataFrame, key: str, text: str, blocks: DataFrame) -> DataF
 def highest_block(profile: DataFrame, key: str) -> DataFrame:
     """``(key, top_block, top_share)``: the block of the largest share.
 
-    Equal shares go to the block seen first in the text; below 30 % the block
-    is ``UNKNOWN``.
+    Equal shares go to the block seen first in the text; below 30 %, and for a
+    text without letters, the block is ``UNKNOWN``.
     """
     top = profile.groupBy(key).agg(
         F.max_by("block", F.struct("n", -F.col("first_pos"))).alias("block"),

@@ -32,7 +32,8 @@ def filter_languages(df: DataFrame, codes: list[str], column: str = "language")
 
 
 def filter_removed(df: DataFrame, column: str = "language") -> DataFrame:
-    return df.filter(F.col(column) != REMOVE)
+    """Rows that are not struck out; a missing label stays."""
+    return df.filter(~F.col(column).eqNullSafe(REMOVE))
 
 
 def relabelled_rows(df: DataFrame, original: str = "original_language") -> DataFrame:

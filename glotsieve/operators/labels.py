@@ -12,10 +12,38 @@ from glotsieve.values import LABEL_ALIASES, LANGUAGES, UNKNOWN_CODE
 
 
 def iso_names(spark: SparkSession) -> DataFrame:
-    """ISO 639 codes of either length and their ISO names: 64 rows."""
-    rows = [(code1, name1) for _, code1, name1, *_ in LANGUAGES]
-    rows += [(code3, name3) for _, _, _, code3, name3, _ in LANGUAGES]
-    return spark.createDataFrame(rows, "code STRING, iso_name STRING")
+    """ISO 639 codes of either length and their names: some hundred rows.
+
+    The languages of the classifier have their ISO names. Every other code the
+    JVM's language data knows, all of 639-1 among them, has the English name
+    given there.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _NAMES:
+        names = _jvm_names(spark)
+        names.update((code1, name1) for _, code1, name1, *_ in LANGUAGES)
+        names.update((code3, name3) for _, _, _, code3, name3, _ in LANGUAGES)
+        _NAMES[app] = sorted(names.items())
+    return spark.createDataFrame(_NAMES[app], "code STRING, iso_name STRING")
+
+
+_NAMES: dict[str, list[tuple[str, str]]] = {}
+
+
+def _jvm_names(spark: SparkSession) -> dict[str, str]:
+    locale = spark._jvm.java.util.Locale
+    english = locale.ENGLISH
+    known = {str(x) for x in locale.getISOLanguages()}
+    known |= {str(x.getLanguage()) for x in locale.getAvailableLocales()} - {""}
+    names = {}
+    for code in sorted(known):
+        language = locale.forLanguageTag(code)
+        name = str(language.getDisplayLanguage(english))
+        if name and name != code:
+            names[code] = name
+            if len(code) == 2:
+                names[str(language.getISO3Language())] = name
+    return names
 
 
 def code_to_language(
@@ -60,8 +88,11 @@ def replace_language(language: Column | str, aliases: Mapping[str, str] = LABEL_
 
 
 def drop_rarest_language(df: DataFrame, column: str = "language") -> DataFrame:
-    """Drop the one class with the fewest rows; of equals, the first by name."""
-    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    """Drop the one class with the fewest rows; of equals, the first by name.
+
+    A missing label is no class: its rows do not count, and stay.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     # A global aggregate, so exactly one row is broadcast.
     rarest = counts.agg(F.min_by(column, F.struct("n", column)).alias(column))
     return df.join(F.broadcast(rarest), column, "left_anti")

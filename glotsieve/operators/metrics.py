@@ -21,20 +21,20 @@ def split_shares(df: DataFrame, column: str = "split") -> DataFrame:
 
 
 def accuracy(truth: Column, predicted: Column) -> Column:
-    """Percentage of right labels; UNKNOWN counts as wrong."""
-    return F.avg((truth == predicted).cast("double")) * 100
+    """Percentage of right labels; UNKNOWN and a missing prediction count as wrong."""
+    return F.avg(truth.eqNullSafe(predicted).cast("double")) * 100
 
 
 def false_negative_rate(truth: Column, predicted: Column) -> Column:
     """Percentage of English texts called anything else; null without English."""
     english = truth == ENGLISH
-    missed = F.count_if(english & (predicted != ENGLISH))
+    missed = F.count_if(english & ~predicted.eqNullSafe(ENGLISH))
     return F.try_divide(missed, F.count_if(english)) * 100
 
 
 def false_positive_rate(truth: Column, predicted: Column) -> Column:
     """Percentage of other texts called English; null without any."""
-    other = truth != ENGLISH
+    other = ~truth.eqNullSafe(ENGLISH)
     taken = F.count_if(other & (predicted == ENGLISH))
     return F.try_divide(taken, F.count_if(other)) * 100
 

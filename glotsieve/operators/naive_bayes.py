@@ -10,7 +10,7 @@ and only one row a text is exchanged, or none if rows already sit by key.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,6 @@ from glotsieve.operators.vocabulary import word_counts
 from glotsieve.session import attach, settle
 from glotsieve.values import ALPHA, ENGLISH, THRESHOLD, UNKNOWN
 
-MAX_CLASSES = 1_000
 # Cells (tokens x classes) of a weight table that is still broadcast: 256 MB.
 MAX_CELLS = 32_000_000
 
@@ -34,9 +33,6 @@ class NaiveBayesModel:
     vocabulary: object
     alpha: float = ALPHA
 
-    def with_alpha(self, alpha: float) -> NaiveBayesModel:
-        return replace(self, alpha=alpha)
-
     def log_priors(self) -> list[float]:
         total = sum(self.docs)
         return [math.log(n / total) for n in self.docs]
@@ -84,14 +80,10 @@ def model_of_counts(
     classes: DataFrame, terms: DataFrame, vocabulary, alpha: float = ALPHA
 ) -> NaiveBayesModel:
     tokens = terms.groupBy("language").agg(F.sum("n").alias("n_tokens"))
-    rows = (
-        classes.join(tokens, "language", "left")
-        .orderBy("language")
-        .limit(MAX_CLASSES + 1)
-        .collect()
-    )
-    if not 0 < len(rows) <= MAX_CLASSES:
-        raise ValueError(f"expected 1 to {MAX_CLASSES} classes")
+    # A row a class: as few as there are languages.
+    rows = classes.join(tokens, "language", "left").orderBy("language").collect()
+    if not rows:
+        raise ValueError("a model needs at least one class")
     return NaiveBayesModel(
         languages=tuple(r.language for r in rows),
         docs=tuple(r.n_docs for r in rows),
@@ -119,7 +111,7 @@ def _weights(model: NaiveBayesModel) -> tuple[DataFrame, list[float]]:
     table = by_unit.select("unit", *[weight(i).alias(f"w{i}") for i in range(len(totals))])
     # Any other unit has the default token, if there is one; a row a class.
     seen = model.terms.filter(F.col("token").eqNullSafe(F.lit(model.vocabulary.default)))
-    by_language = {r.language: r.n for r in seen.limit(MAX_CLASSES).collect()}
+    by_language = {r.language: r.n for r in seen.collect()}
     default = [by_language.get(language, 0) for language in model.languages]
     return table, [math.log(n + model.alpha) - t for n, t in zip(default, totals)]
 

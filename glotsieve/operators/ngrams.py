@@ -26,8 +26,12 @@ def char_ngrams(
     with a limit each task first drops what cannot rank, so a class that holds
     a third of the corpus still sends a few hundred grams a task to its window.
     """
+    texts = df.select(*by, F.col(text).alias("_text"))
+    if limit is None:
+        # Groups are texts here: they move once, and their grams not at all.
+        texts = texts.repartition(*by)
     counts = (
-        df.select(*by, F.explode(tx.char_ngrams(text, n)).alias("gram"))
+        texts.select(*by, F.explode(tx.char_ngrams("_text", n)).alias("gram"))
         .groupBy(*by, "gram")
         .agg(F.count("*").alias("n"))
     )
@@ -88,6 +92,7 @@ def rank_distances(
     grams: Column,
     templates: Templates,
     groups: Mapping[str, list[str]] = CANDIDATES,
+    bare: bool = False,
 ) -> DataFrame:
     """``(*by, distances)`` with ``ARRAY<STRUCT<language, distance>>``.
 
@@ -95,7 +100,8 @@ def rank_distances(
     group. All grams of the text are ranked, then matched with the templates,
     which are broadcast (at most k rows a candidate). A gram the text lacks costs k: rather than listing the
     missing ones, each match lowers k times the template's size. A text with
-    null grams keeps its row.
+    null grams keeps its row; one without any grams has null distances, or with
+    ``bare`` those of a text that lacks every gram.
     """
     usable = candidates_with_template(templates, groups)
     width = max((len(names) for names in usable.values()), default=0)
@@ -144,7 +150,9 @@ def rank_distances(
             for i, language in enumerate(names)
         ]
         if row:
-            wanted = (F.col(script) == group) & (F.col("n_grams") > 0)
+            wanted = F.col(script) == group
+            if not bare:
+                wanted = wanted & (F.col("n_grams") > 0)
             distances = F.when(wanted, F.array(*row)).otherwise(distances)
     return summed.select(*by, distances.alias("distances"))
 
@@ -152,11 +160,15 @@ def rank_distances(
 def ngram_distance(
     df: DataFrame, key: str, text: str, templates: Templates, languages: list[str] | None = None
 ) -> DataFrame:
-    """``(key, language, distance)`` from every text to every template."""
+    """``(key, language, distance)`` from every text to every template.
+
+    A text shorter than one gram lacks all of a template's. Texts are
+    exchanged once, by key, and their grams not at all.
+    """
     names = languages or sorted(templates.sizes)
-    keyed = df.select(key, text, F.lit("any").alias("script"))
+    keyed = df.select(key, text, F.lit("any").alias("script")).repartition(key)
     found = rank_distances(
         keyed, [key, "script"], "script", tx.char_ngrams(text, templates.n), templates,
-        {"any": names},
+        {"any": names}, bare=True,
     )
     return found.select(key, F.inline("distances"))

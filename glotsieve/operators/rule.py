@@ -9,6 +9,7 @@ from glotsieve.functions import text as tx
 from glotsieve.functions.scores import nearest_language
 from glotsieve.operators.blocks import cjk_language, script_of_block, top_blocks, unique_chars
 from glotsieve.operators.ngrams import Templates, rank_distances
+from glotsieve.session import settle
 from glotsieve.values import CANDIDATES, CJK, MARGIN, UNKNOWN
 
 
@@ -24,8 +25,9 @@ def closest_distance(
 
     A text shorter than one gram, or of a group without templates, is unknown.
     """
+    texts = df.select(key, script, text).repartition(key)
     found = rank_distances(
-        df, [key, script], script, tx.char_ngrams(text, templates.n), templates
+        texts, [key, script], script, tx.char_ngrams(text, templates.n), templates
     )
     return found.select(key, nearest_language("distances", margin).alias("closest"))
 
@@ -44,17 +46,19 @@ def rule_inputs(
     ``decided`` is the label so far: that of naive Bayes, of the script, or of
     a distinctive letter; null where the nearest of ``distances`` decides.
 
-    Only unknown texts are taken apart; the others pass as single rows, which
-    spares a join at the end. Every step groups or joins by ``key``: with
-    texts partitioned by it there is no exchange in here.
+    Only the unknown texts are joined and taken apart; predictions of the others
+    are added at the end, without their texts. Every step groups or joins by
+    ``key``, which is unique: with texts partitioned by it there is no exchange
+    in here.
     """
     carry = list(carry or [])
-    predictions = predictions.select(key, *carry, "nb_predict").hint("shuffle_hash")
+    # Narrow rows, written once: the plans that read them stay small, and texts
+    # are joined with the unknown ones only.
+    predictions = settle(predictions.select(key, *carry, "nb_predict"), "predictions")
     unknown = F.col("nb_predict") == UNKNOWN
-    predicted = texts.select(key, text).join(predictions, key)
     by = [key, *carry, "nb_predict"]
-    profile = top_blocks(predicted, by, F.when(unknown, tx.letter_runs(text)), blocks)
-
+    undecided = predictions.filter(unknown).hint("shuffle_hash")
+    profile = top_blocks(texts.select(key, text).join(undecided, key), by, tx.letter_runs(text), blocks)
     target = script_of_block("top_block")
     scripts = profile.select(
         *by,
@@ -63,8 +67,7 @@ def rule_inputs(
     ).hint("shuffle_hash")
     shared = F.col("script").isin(list(CANDIDATES))
     decided = (
-        F.when(~unknown, F.col("nb_predict"))
-        .when(F.col("script") == CJK, F.col("cjk_language"))
+        F.when(F.col("script") == CJK, F.col("cjk_language"))
         .when(shared, unique_chars(text, "script"))
         .otherwise(F.col("script"))
     )
@@ -73,13 +76,15 @@ def rule_inputs(
         .join(scripts, key)
         .select(*by, "script", text, decided.alias("decided"))
     )
-    return rank_distances(
+    ruled = rank_distances(
         labelled,
         [*by, "script", "decided"],
         "script",
         F.when(F.col("decided").isNull(), tx.char_ngrams(text, templates.n)),
         templates,
-    )
+    ).select(*by, "decided", "distances")
+    settled = predictions.filter(~unknown).withColumn("decided", F.col("nb_predict"))
+    return ruled.unionByName(settled, allowMissingColumns=True)
 
 
 def rule_label(margin: Column | float = MARGIN) -> Column:

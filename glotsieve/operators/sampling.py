@@ -17,6 +17,12 @@ from glotsieve.session import attach, settle
 from glotsieve.values import FOLDS, SEED, TRAIN_SHARE
 
 _RANGE_DIGITS = 4
+_GROUP = "_group"
+
+
+def _named(group: str) -> Column:
+    """A group's name for joins, in which rows without a group are a group of their own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
 
 
 class ShortGroup(ValueError):
@@ -44,26 +50,28 @@ def _flag(
         ranges.withColumn("n", F.sum("n_range").over(whole))
         .withColumn("need", wanted - before)
         .filter((F.col("need") > 0) & (F.col("need") <= F.col("n_range")))
-        .select(group, "range", "need")
+        .select(_named(group).alias(_GROUP), "range", "need")
     )
     groups = ranges.select(group).distinct().count()
-    hashed = df.select(group, seeded_hash(key, seed).alias("hash"))
+    hashed = df.select(_named(group).alias(_GROUP), seeded_hash(key, seed).alias("hash"))
     in_edge = attach(
         hashed.withColumn("range", F.substring("hash", 1, _RANGE_DIGITS)),
         edges,
-        [group, "range"],
+        [_GROUP, "range"],
         spread_by="hash",
         how="inner",
         rows=groups,
     )
-    rank = F.row_number().over(Window.partitionBy(group, "range").orderBy("hash"))
+    rank = F.row_number().over(Window.partitionBy(_GROUP, "range").orderBy("hash"))
     cuts = (
         in_edge.withColumn("rank", rank)
         .filter(F.col("rank") == F.col("need"))
-        .select(group, F.col("hash").alias("cut"))
+        .select(_GROUP, F.col("hash").alias("cut"))
     )
+    # A row a group, so what reads the flag later need not rank again.
+    cuts = settle(cuts, "cuts")
     chosen = F.coalesce(seeded_hash(key, seed) <= F.col("cut"), F.lit(False))
-    flagged = attach(df, cuts, group, spread_by=key, rows=groups)
+    flagged = attach(df.withColumn(_GROUP, _named(group)), cuts, _GROUP, spread_by=key, rows=groups)
     return flagged.select(*df.columns, chosen.alias("chosen"))
 
 

@@ -3,9 +3,10 @@
 Spark counts the words, and all that follows works on distinct words with
 their counts. Each step is a pass over that table: tasks segment their words
 under the current piece scores, expected piece counts are summed by a grouped
-aggregation, and new scores follow. The piece table has at most ``seed_size``
-rows, which bounds what is sent to the tasks. Only the walk over the pieces of
-a single word is Python.
+aggregation, and new scores follow. Counts are rounded to millionths and summed
+as whole numbers, so that a rerun agrees however tasks are ordered. The piece
+table has ``seed_size`` rows and the characters needed, which bounds what is
+sent to the tasks. Only the walk over the pieces of a single word is Python.
 """
 
 from __future__ import annotations
@@ -21,34 +22,34 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glotsieve.functions.text import char_ngrams
 from glotsieve.operators.topk import largest_rows
 from glotsieve.session import settle
-from glotsieve.sources.texts import spread
 from glotsieve.values import VOCABULARY_SIZE
 
 WORD_START = "▁"  # marks the first piece of a word
 SPECIAL = ["<unk>", "<s>", "</s>"]  # ids 0, 1, 2
 UNKNOWN_ID = 0
 FIRST_MAPPED_ID = 4
-MAX_PIECE = 16
+LONGEST_PIECE = 16
 COVERAGE = 0.9995
-MAX_PIECES = 1_000_000
 _UNKNOWN_PENALTY = 10.0
 _CACHED_WORDS = 200_000
+_UNIT = 1_000_000  # counts are summed in millionths
 
 # Tasks get the helpers below along with the functions that use them, so that
 # workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _edges(word: str, scores: dict[str, float], floor: float):
+def _edges(word: str, scores: dict[str, float], floor: float, longest: int):
     """``(start, end, score, known)`` of pieces in a word, by end position.
 
     A character that is no piece still gets an edge, at a low score.
     """
     edges = []
     for end in range(1, len(word) + 1):
-        for start in range(max(0, end - MAX_PIECE), end):
+        for start in range(max(0, end - longest), end):
             score = scores.get(word[start:end])
             if score is not None:
                 edges.append((start, end, score, True))
@@ -57,11 +58,13 @@ def _edges(word: str, scores: dict[str, float], floor: float):
     return edges
 
 
-def best_pieces(word: str, scores: dict[str, float], floor: float, split: bool = False):
+def best_pieces(
+    word: str, scores: dict[str, float], floor: float, longest: int = LONGEST_PIECE, split: bool = False
+):
     """The best segmentation and its score; with ``split``, the word itself is out."""
     best = [0.0] + [-math.inf] * len(word)
     back = [(0, True)] * (len(word) + 1)
-    for start, end, score, known in _edges(word, scores, floor):
+    for start, end, score, known in _edges(word, scores, floor, longest):
         whole = split and start == 0 and end == len(word)
         if not whole and best[start] + score > best[end]:
             best[end], back[end] = best[start] + score, (start, known)
@@ -73,13 +76,15 @@ def best_pieces(word: str, scores: dict[str, float], floor: float, split: bool =
     return pieces[::-1], best[-1]
 
 
-def expected_pieces(word: str, scores: dict[str, float], floor: float):
+def expected_pieces(
+    word: str, scores: dict[str, float], floor: float, longest: int = LONGEST_PIECE
+):
     """``(piece, probability)`` over all segmentations of a word.
 
     Sums are relative to the best path up to each position, so that neither
     long words nor unlikely ones underflow.
     """
-    edges = _edges(word, scores, floor)
+    edges = _edges(word, scores, floor, longest)
     size = len(word) + 1
     best = [0.0] + [-math.inf] * (size - 1)
     for start, end, score, _ in edges:
@@ -107,6 +112,10 @@ def _floor(scores: dict[str, float]) -> float:
     return min(scores.values(), default=0.0) - _UNKNOWN_PENALTY
 
 
+def _longest(scores: dict[str, float]) -> int:
+    return max(map(len, scores), default=1)
+
+
 @dataclass(frozen=True)
 class SubwordVocabulary:
     """``table`` holds ``(token, piece, score)``, at most ``size`` rows; settled."""
@@ -118,7 +127,8 @@ class SubwordVocabulary:
 
     @cached_property
     def _shared(self):
-        rows = self.table.filter(F.col("token") >= len(SPECIAL)).limit(self.size).collect()
+        # as many rows as the vocabulary's size
+        rows = self.table.filter(F.col("token") >= len(SPECIAL)).collect()
         pieces = {r.piece: (r.token, r.score) for r in rows}
         return self.table.sparkSession.sparkContext.broadcast(pieces)
 
@@ -130,12 +140,12 @@ class SubwordVocabulary:
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             ids = {piece: token for piece, (token, _) in shared.value.items()}
             scores = {piece: score for piece, (_, score) in shared.value.items()}
-            floor = _floor(scores)
+            floor, longest = _floor(scores), _longest(scores)
 
             @lru_cache(maxsize=_CACHED_WORDS)
             def of_word(word: str) -> tuple[int, ...]:
                 found: list[int] = []
-                for piece, known in best_pieces(WORD_START + word, scores, floor)[0]:
+                for piece, known in best_pieces(WORD_START + word, scores, floor, longest)[0]:
                     token = ids[piece] if known else UNKNOWN_ID
                     # Neighbouring unknown characters are one unknown token.
                     if known or not found or found[-1] != UNKNOWN_ID:
@@ -168,34 +178,32 @@ def _words(counts: DataFrame) -> DataFrame:
     return settle(totals.select(marked, "n").repartition(parts, "word"), "words")
 
 
-def _seed_pieces(words: DataFrame, seed_size: int, coverage: float) -> DataFrame:
+def substring_counts(words: DataFrame, longest: int = LONGEST_PIECE) -> DataFrame:
+    """``(piece, n)``: how often each substring of up to ``longest`` characters occurs.
+
+    One linear scan a length, however long a word is.
+    """
+    of_length = [char_ngrams("word", size) for size in range(1, longest + 1)]
+    pieces = words.select(F.explode(F.flatten(F.array(*of_length))).alias("piece"), "n")
+    return pieces.groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def _seed_pieces(
+    words: DataFrame, seed_size: int, coverage: float, longest: int, least: int
+) -> DataFrame:
     """``(piece, n, required)``: frequent substrings, and the characters needed."""
-    starts = F.sequence(F.lit(1), F.length("word"))
-    substrings = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(MAX_PIECE), F.length("word") - i + 1)),
-                lambda size: F.substring(F.col("word"), i, size),
-            ),
-        )
-    )
-    counts = (
-        words.select(F.explode(substrings).alias("piece"), "n")
-        .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
-    )
-    counts = settle(counts.filter((F.col("n") > 1) | (F.length("piece") == 1)), "substrings")
+    counts = substring_counts(words, longest)
+    counts = settle(counts.filter((F.col("n") >= least) | (F.length("piece") == 1)), "substrings")
     # A row a character of Unicode at most.
     by_count = Window.orderBy(F.desc("n"), "piece")
     before = F.coalesce(
         F.sum("n").over(by_count.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    total = F.sum("n").over(Window.partitionBy())
+    single = counts.filter(F.length("piece") == 1)
+    total = single.agg(F.sum("n")).first()[0] or 0
     characters = (
-        counts.filter(F.length("piece") == 1)
-        .withColumn("needed", before < total * coverage)
-        .filter("needed")
+        single.withColumn("before", before)
+        .filter(F.col("before") < F.lit(total) * coverage)
         .select("piece", "n", F.lit(True).alias("required"))
     )
     weighed = counts.filter(F.length("piece") > 1).withColumn(
@@ -208,45 +216,48 @@ def _seed_pieces(words: DataFrame, seed_size: int, coverage: float) -> DataFrame
 
 
 def _scored(counts: DataFrame) -> DataFrame:
-    """Log probabilities of expected counts; the total is over pieces, not text."""
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.withColumn("score", F.log(F.col("n") / total))
+    """Log probabilities of expected counts, given in millionths; settled."""
+    counts = settle(counts, "expected")
+    total = counts.agg(F.sum("n")).first()[0]
+    return counts.withColumn("score", F.log(F.col("n") / F.lit(total)))
 
 
 def _share_scores(pieces: DataFrame):
-    rows = pieces.select("piece", "score").limit(MAX_PIECES + 1).collect()
-    if len(rows) > MAX_PIECES:
-        raise ValueError(f"more than {MAX_PIECES} pieces")
+    """Scores of all pieces for the tasks: as many as the seed and the characters needed."""
+    rows = pieces.select("piece", "score").toLocalIterator()
     return pieces.sparkSession.sparkContext.broadcast({r.piece: r.score for r in rows})
 
 
-def _expectation(words: DataFrame, pieces: DataFrame) -> DataFrame:
+def _expectation(words: DataFrame, pieces: DataFrame, least: float) -> DataFrame:
     """One EM step: ``(piece, required, n, score)`` with new expected counts."""
     shared = _share_scores(pieces)
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = shared.value
-        floor = _floor(scores)
+        floor, longest = _floor(scores), _longest(scores)
         for batch in batches:
-            sums: dict[str, float] = {}
+            sums: dict[str, int] = {}
             for word, n in zip(batch["word"], batch["n"]):
-                for piece, p in expected_pieces(word, scores, floor):
-                    sums[piece] = sums.get(piece, 0.0) + n * p
+                for piece, p in expected_pieces(word, scores, floor, longest):
+                    sums[piece] = sums.get(piece, 0) + int(n) * round(p * _UNIT)
             yield pd.DataFrame({"piece": list(sums), "n": list(sums.values())})
 
     expected = (
-        words.mapInPandas(expect, "piece STRING, n DOUBLE")
+        words.mapInPandas(expect, "piece STRING, n BIGINT")
         .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
     )
+    floor = F.lit(int(least * _UNIT)).cast("decimal(38,0)")
     kept = (
         pieces.select("piece", "required")
         .join(expected, "piece", "left")
-        .withColumn("n", F.coalesce("n", F.lit(0.0)))
-        .filter(F.col("required") | (F.col("n") >= 0.5))
-        .withColumn("n", F.greatest("n", F.lit(0.5)))
+        .withColumn("n", F.coalesce("n", F.lit(0).cast("decimal(38,0)")))
+        .filter(F.col("required") | (F.col("n") >= floor))
+        .withColumn("n", F.greatest("n", floor))
     )
-    return settle(_scored(kept), "pieces")
+    scored = settle(_scored(kept.withColumn("n", F.col("n").cast("double"))), "pieces")
+    shared.destroy()
+    return scored
 
 
 def _prune(pieces: DataFrame, keep: int) -> DataFrame:
@@ -259,20 +270,27 @@ def _prune(pieces: DataFrame, keep: int) -> DataFrame:
 
     def worth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = shared.value
-        floor = _floor(scores)
+        floor, longest = _floor(scores), _longest(scores)
         for batch in batches:
             gains = [
-                n * (score - best_pieces(piece, scores, floor, split=True)[1])
+                n * (score - best_pieces(piece, scores, floor, longest, split=True)[1])
                 for piece, n, score in zip(batch["piece"], batch["n"], batch["score"])
             ]
             yield batch.assign(worth=gains)
 
     schema = "piece STRING, required BOOLEAN, n DOUBLE, score DOUBLE, worth DOUBLE"
-    ranked = spread(pieces, "piece").select("piece", "required", "n", "score").mapInPandas(
+    tasks = 2 * pieces.sparkSession.sparkContext.defaultParallelism
+    ranked = pieces.repartition(tasks, "piece").select("piece", "required", "n", "score").mapInPandas(
         worth, schema
     )
-    best = ranked.orderBy(F.desc("required"), F.desc("worth"), "piece").limit(keep)
-    return settle(best.drop("worth"), "pruned")
+    ranked = settle(ranked, "worth")
+    shared.destroy()
+    required = ranked.filter("required")
+    room = keep - required.count()
+    # Losses below one count all alike; `largest_rows` takes weights from 1.
+    weighed = ranked.filter("not required").withColumn("weight", F.greatest("worth", F.lit(0.0)) + 1)
+    best = largest_rows(weighed, "weight", "piece", max(room, 0))
+    return settle(required.drop("worth").unionByName(best.drop("worth", "weight")), "pruned")
 
 
 def train_subwords(
@@ -282,20 +300,27 @@ def train_subwords(
     shrink: float = 0.75,
     steps: int = 2,
     coverage: float = COVERAGE,
+    longest: int = LONGEST_PIECE,
+    least: int = 2,
+    least_expected: float = 0.5,
 ) -> SubwordVocabulary:
     """Train ``size`` ids, the three special ones included, on ``word_counts``.
 
-    The vocabulary is smaller only if the corpus has too few substrings.
+    Seeds are the ``seed_size`` heaviest substrings (four times ``size`` unless
+    given) of up to ``longest`` characters that occur ``least`` times. A piece
+    expected less often than ``least_expected`` leaves. The vocabulary is
+    smaller only if the corpus has too few substrings.
     """
-    seed_size = min(seed_size or 4 * size, MAX_PIECES)
+    seed_size = seed_size or 4 * size
     words = _words(counts)
-    pieces = settle(_scored(_seed_pieces(words, seed_size, coverage)), "seeds")
+    seeds = _seed_pieces(words, seed_size, coverage, longest, least)
+    pieces = settle(_scored(seeds.withColumn("n", F.col("n").cast("double"))), "seeds")
     goal = size - len(SPECIAL)
     if pieces.filter("required").count() > goal:
         raise ValueError(f"{goal} pieces cannot hold every character needed")
     while True:
         for _ in range(steps):
-            pieces = _expectation(words, pieces)
+            pieces = _expectation(words, pieces, least_expected)
         now = pieces.count()
         if now <= goal * 1.1:
             break

@@ -23,6 +23,7 @@ from glotsieve.session import attach, settle
 from glotsieve.values import (
     ALPHA,
     ALPHAS,
+    ENGLISH,
     FOLDS,
     MARGINS,
     SEED,
@@ -62,7 +63,9 @@ def cv_predictions(
     )
     known = _held_out_counts(terms, names, folds)
 
-    units = texts.select(key, F.explode(vocabulary.units("text")).alias("unit"))
+    # One exchange of texts serves the counts of tokens, the sums by class and the sizes.
+    moved = texts.repartition(key)
+    units = moved.select(key, F.explode(vocabulary.units("text")).alias("unit"))
     counted = vocabulary.with_tokens(units, key).groupBy(key, "token").agg(
         F.count("*").alias("m")
     )
@@ -86,7 +89,7 @@ def cv_predictions(
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_list(F.struct("id", "gains"))).alias("gains"))
     )
-    sizes = texts.select(
+    sizes = moved.select(
         key,
         F.col("language").alias("truth"),
         F.length("text").alias("text_length"),
@@ -173,8 +176,10 @@ def cv_table(predicted: DataFrame, parameter: str, truth: str, label: str) -> Da
 
     Means leave out folds without English, or without other texts.
     """
-    by_model = predicted.groupBy(parameter, "part", "model").agg(*rates(truth, label))
+    return mean_table(predicted.groupBy(parameter, "part", "model").agg(*rates(truth, label)), parameter)
 
+
+def mean_table(by_model: DataFrame, parameter: str) -> DataFrame:
     def mean(part: str, figure: str) -> Column:
         return F.avg(F.when(F.col("part") == part, F.col(figure)))
 
@@ -234,13 +239,36 @@ def unicode_tune_margin(
 
     Templates are not refitted, so distances hold for all folds and values.
     """
-    models = F.array(*[F.lit(m) for m in range(folds)])
     tried = F.array(*[F.lit(float(m)) for m in margins])
-    labelled = (
-        inputs.withColumn("margin", F.explode(tried))
-        .withColumn("label", rule_label(F.col("margin")))
-        .withColumn("model", F.explode(models))
+    labelled = inputs.withColumn("margin", F.explode(tried)).select(
+        "margin", fold_of(key, folds, seed).alias("fold"), truth,
+        rule_label(F.col("margin")).alias("label"),
+    )
+    # Counts by own fold, a row each; a model that leaves a fold out was
+    # trained on the total less that fold.
+    english, hit = F.col(truth) == ENGLISH, F.col("label") == ENGLISH
+    counts = labelled.groupBy("margin", "fold").agg(
+        F.count("*").alias("all"),
+        F.count_if(F.col(truth).eqNullSafe(F.col("label"))).alias("right"),
+        F.count_if(english).alias("english"),
+        F.count_if(english & ~F.coalesce(hit, F.lit(False))).alias("missed"),
+        F.count_if(~F.coalesce(english, F.lit(False))).alias("other"),
+        F.count_if(~F.coalesce(english, F.lit(False)) & hit).alias("taken"),
+    )
+    names = ["all", "right", "english", "missed", "other", "taken"]
+    model = F.explode(F.array(*[F.lit(m) for m in range(folds)])).alias("model")
+    # A margin may have no text of a fold; that model is tested on nothing.
+    totals = counts.groupBy("margin").agg(*[F.sum(n).alias(f"t_{n}") for n in names])
+    own = counts.withColumnRenamed("fold", "model")
+    each = totals.select("*", model).join(own, ["margin", "model"], "left").fillna(0, names)
+    parts = F.array(
+        F.struct(F.lit("test").alias("part"), *[F.col(n) for n in names]),
+        F.struct(F.lit("train").alias("part"), *[(F.col(f"t_{n}") - F.col(n)).alias(n) for n in names]),
+    )
+    by_model = each.select("margin", "model", F.inline(parts)).select(
+        "margin", "model", "part",
+        (F.try_divide("right", "all") * 100).alias("accuracy"),
+        (F.try_divide("missed", "english") * 100).alias("fnr"),
+        (F.try_divide("taken", "other") * 100).alias("fpr"),
     )
-    held_out = fold_of(key, folds, seed) == F.col("model")
-    parted = labelled.withColumn("part", F.when(held_out, "test").otherwise("train"))
-    return cv_table(parted, "margin", truth, "label")
+    return mean_table(by_model, "margin")

@@ -75,16 +75,14 @@ def train_word_vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> Wor
     return WordVocabulary(settle(table, "vocabulary"), size)
 
 
-def token_occurrences(df: DataFrame, key: str, text: str, vocabulary) -> DataFrame:
-    """``(key, position, token)``: one row a token; texts without any drop out."""
-    units = df.select(key, F.posexplode(vocabulary.units(text)).alias("position", "unit"))
-    return vocabulary.with_tokens(units, key).select(key, "position", "token")
-
-
 def tokenize(df: DataFrame, key: str, text: str, vocabulary) -> DataFrame:
-    """``(key, tokens)``: the ids of a text in order, as an array."""
-    units = df.select(
-        key, F.posexplode_outer(vocabulary.units(text)).alias("position", "unit")
+    """``(key, tokens)``: the ids of a text in order, as an array.
+
+    Texts are exchanged once, by key; their tokens stay in the task.
+    """
+    texts = df.select(key, F.col(text).alias("_text")).repartition(key)
+    units = texts.select(
+        key, F.posexplode_outer(vocabulary.units("_text")).alias("position", "unit")
     )
     ordered = F.array_sort(F.collect_list(F.struct("position", "token")))
     return (

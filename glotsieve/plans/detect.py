@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glotsieve.functions.text import clean_text
@@ -62,48 +62,55 @@ def train_detector(
     )
 
 
-def detect_labels(
-    df: DataFrame,
-    text: str,
-    key: str,
-    detector: Detector,
-    blocks: DataFrame | None = None,
-    partitioned: bool = False,
+_DIGEST = "_digest"
+
+
+def text_digest(text: str) -> Column:
+    """What the label of a text depends on: its cleaned form."""
+    return F.sha2(clean_text(text), 256)
+
+
+def label_texts(
+    df: DataFrame, text: str, detector: Detector, blocks: DataFrame | None = None
 ) -> DataFrame:
-    """``(key, predicted_language)``: the narrow result, cheapest at scale.
+    """``(_digest, predicted_language)``: one row for each different cleaned text.
 
-    Cleaned texts are exchanged once, by key, and that exchange is read by the
-    three steps that need texts; everything else stays where it is. A table
-    bucketed by key needs not even that: pass ``partitioned``.
+    Copies are merged within tasks, so a text that a third of all rows repeat
+    moves once a task. Texts are exchanged by digest, for naive Bayes and again
+    for the script rule, which joins those left unknown only.
     """
     blocks = blocks if blocks is not None else jvm_blocks(df.sparkSession)
-    # Without missing keys all three readers plan the same scan and share it.
-    texts = df.filter(F.col(key).isNotNull()).select(key, clean_text(text).alias("_clean"))
-    if not partitioned:
-        texts = texts.repartition(key)
-    predictions = nb_predict(texts, key, "_clean", detector.bayes, detector.threshold)
-    found = rule_inputs(texts, predictions, key, "_clean", blocks, detector.templates)
-    return found.select(key, rule_label(detector.margin).alias("predicted_language"))
+    texts = df.select(text_digest(text).alias(_DIGEST), clean_text(text).alias("_clean"))
+    texts = texts.groupBy(_DIGEST).agg(F.first("_clean").alias("_clean"))
+    predictions = nb_predict(texts, _DIGEST, "_clean", detector.bayes, detector.threshold)
+    found = rule_inputs(texts, predictions, _DIGEST, "_clean", blocks, detector.templates)
+    return found.select(_DIGEST, rule_label(detector.margin).alias("predicted_language"))
 
 
 def detect_language(
     df: DataFrame,
     text: str,
-    key: str,
     detector: Detector,
     blocks: DataFrame | None = None,
-    partitioned: bool = False,
 ) -> DataFrame:
-    """All columns of ``df`` and ``predicted_language``; ``key`` must be unique.
+    """All columns of ``df`` and ``predicted_language``; every row comes back once.
 
-    Labels are the hashed side of the last join, so the wide rows are neither
-    sorted nor held.
+    Texts are judged by what they hold, so a table needs no key, and null or
+    repeated keys do no harm. Labels are the hashed side of the last join, so
+    the wide rows are neither sorted nor held.
     """
-    labels = detect_labels(df, text, key, detector, blocks, partitioned)
-    joined = df.join(labels.hint("shuffle_hash"), key, "left")
+    labels = label_texts(df, text, detector, blocks)
+    joined = df.withColumn(_DIGEST, text_digest(text)).join(labels.hint("shuffle_hash"), _DIGEST, "left")
     return joined.select(*df.columns, "predicted_language")
 
 
+def detect_labels(
+    df: DataFrame, text: str, key: str, detector: Detector, blocks: DataFrame | None = None
+) -> DataFrame:
+    """``(key, predicted_language)`` of every row: the narrow result, cheapest at scale."""
+    return detect_language(df.select(key, text), text, detector, blocks).select(key, "predicted_language")
+
+
 def save_detector(detector: Detector, path: str) -> None:
     """Write the model tables as parquet and the numbers as one JSON line."""
     bayes, templates = detector.bayes, detector.templates

@@ -106,6 +106,11 @@ def _to(alphabet: str) -> str:
     return f"translate(text, '{q.LATIN}', '{alphabet}')"
 
 
+def _gaps(source: str, columns: str) -> str:
+    return f"""(SELECT {columns}, CASE doc_id % 97 WHEN 3 THEN '_ _' WHEN 4 THEN substr(text, 1, 2)
+    ELSE text END AS text FROM {source})"""
+
+
 def _scripts(source: str, extra: str = "") -> str:
     other = _by_language(_to(q.GREEK), _to(q.THAI), _to(q.DEVANAGARI), _to(q.HEBREW))
     return f"""
@@ -120,7 +125,7 @@ def _scripts(source: str, extra: str = "") -> str:
       WHEN 8 THEN {_by_language("'Greek'", "'Thai'", "'Hindi'", "'Kannada'")}
       WHEN 9 THEN {_by_language("'Polish'", "'Portuguese'", "'Romanian'", "'Italian'")}
       ELSE language END AS language
-  FROM {source}"""
+  FROM {_gaps(source, 'doc_id, source, language' + extra)}"""
 
 
 # Every chain below starts from ``docs (doc_id, source, text, language, split)``.
@@ -128,6 +133,8 @@ DOCS = f"""{LABELLED},
 docs AS (SELECT * FROM plain)"""
 SCRIPT_DOCS = f"""{LABELLED},
 docs AS ({_scripts('plain', ', split')})"""
+GAP_DOCS = f"""{LABELLED},
+docs AS {_gaps('plain', 'doc_id, source, language, split')}"""
 
 # Word vocabulary of the train split: 49,999 words, id 0 for any other.
 VOCABULARY = """
@@ -174,8 +181,12 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY j DESC, language) = 1)"""
 
 
-def _predicted(t: float, docs: str = DOCS) -> str:
-    return f"""WITH {docs}, {BAYES},
+# All documents are judged, not the test split alone.
+BAYES_ALL = BAYES.replace("WHERE k.split = 'test' GROUP BY ALL", "GROUP BY ALL").replace("\n  WHERE split = 'test')", ")")
+
+
+def _predicted(t: float, docs: str = DOCS, bayes: str = BAYES) -> str:
+    return f"""WITH {docs}, {bayes},
 thresholded AS (
   SELECT *, CASE WHEN text_length < 10 THEN {t}::DOUBLE
                  ELSE exp(1.0 / text_length) * {t} END AS threshold FROM best),
@@ -199,11 +210,13 @@ profile AS (
     SELECT letter, block FROM (SELECT DISTINCT letter FROM letters)
     JOIN ranges ON unicode(letter) BETWEEN block_start AND block_end) USING (letter)
   GROUP BY doc_id, block),
+largest AS (
+  SELECT doc_id, block, share FROM profile
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) = 1),
 top AS (
   SELECT doc_id, CASE WHEN share >= 0.3 THEN block ELSE 'UNKNOWN' END AS top_block,
          share AS top_share
-  FROM profile
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) = 1),
+  FROM docs LEFT JOIN largest USING (doc_id)),
 scripts AS (
   SELECT doc_id, coalesce(target, 'UNKNOWN') AS script
   FROM top LEFT JOIN targets ON top_block = block),
@@ -211,7 +224,7 @@ cjk AS (
   SELECT doc_id, CASE WHEN bool_or(block IN ({_quoted(KANA_BLOCKS)})) THEN 'Japanese'
                       WHEN bool_or(block IN ({_quoted(HANGUL_BLOCKS)})) THEN 'Korean'
                       ELSE 'Chinese' END AS cjk_language
-  FROM profile GROUP BY doc_id)"""
+  FROM docs LEFT JOIN profile USING (doc_id) GROUP BY doc_id)"""
 
 
 def _letters(script: str) -> str:
@@ -298,8 +311,8 @@ def _rule_label(margin: str) -> str:
     return f"coalesce(decided, CASE WHEN least IS NULL THEN 'UNKNOWN' ELSE {_nearest(margin)} END)"
 
 
-def _detected(t: float, docs: str) -> str:
-    return f"""{_predicted(t, docs)}, {BLOCKS}, {GRAMS}, {DISTANCES}, {RULE},
+def _detected(t: float, docs: str, bayes: str = BAYES) -> str:
+    return f"""{_predicted(t, docs, bayes)}, {BLOCKS}, {GRAMS}, {DISTANCES}, {RULE},
 final AS (
   SELECT doc_id, best_predict, nb_predict,
          CASE WHEN nb_predict <> 'UNKNOWN' THEN nb_predict
@@ -408,6 +421,7 @@ flagged AS (
 _REVIEWED = """reviewed AS (
   SELECT doc_id, lang AS original_language,
          CASE WHEN n_chars < 60 THEN 'remove'
+              WHEN doc_id % 50 = 7 THEN NULL
               WHEN lang = 'es' AND right(source, 1) IN ('1', '3', '5', '7', '9') THEN 'pt'
               ELSE lang END AS language
   FROM documents)"""
@@ -420,6 +434,12 @@ SQL: dict[str, str] = {
 SELECT block, block_start::BIGINT AS block_start, block_end::BIGINT AS block_end,
        CAST(sum(n) AS BIGINT) AS n_letters, count(*) AS n_texts
 FROM profile JOIN ranges USING (block) GROUP BY ALL""",
+    "load_block_file": f"""{_SCRIPTED}
+SELECT block, block_start::BIGINT AS block_start, block_end::BIGINT AS block_end,
+       CAST(sum(n) AS BIGINT) AS n_letters, count(*) AS n_texts
+FROM profile JOIN ranges USING (block) GROUP BY ALL""",
+    "scan_csv": """SELECT doc_id, lang AS language,
+  '"' || text || '", "said, ' || chr(10) || chr(10) || '"' AS text FROM documents""",
     "write_dataset": f"WITH {DOCS} SELECT doc_id, source, language, split, text FROM docs",
     "write_unseen": f"{_SAMPLED} SELECT doc_id, language, text FROM flagged WHERE NOT sampled",
     "write_corpus": f"""WITH {DOCS}
@@ -433,7 +453,7 @@ UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark""",
     "drop_column": "SELECT doc_id, lang, source FROM documents",
     "filter_languages": f"""SELECT doc_id, {_code3('lang')} AS language, source FROM documents
 WHERE {_code3('lang')} IN ('eng', 'fra', 'deu', 'spa')""",
-    "filter_removed": f"WITH {_REVIEWED} SELECT * FROM reviewed WHERE language <> 'remove'",
+    "filter_removed": f"WITH {_REVIEWED} SELECT * FROM reviewed WHERE language IS DISTINCT FROM 'remove'",
     "relabelled_rows": f"""WITH {_REVIEWED}
 SELECT * FROM reviewed WHERE language IS DISTINCT FROM original_language""",
     "filter_split": f"WITH {DOCS} SELECT doc_id, language, text FROM docs WHERE split = 'test'",
@@ -446,6 +466,13 @@ UNION ALL SELECT conv_id, text, NULL, 'conversations', turn FROM conversations""
     "count_removed": """SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents))
 AS removed FROM documents""",
     "split_train_test": f"WITH {DOCS} SELECT doc_id, source, split FROM docs",
+    "split_without_source": """
+SELECT doc_id, nullif(source, 'src3') AS source,
+       CASE WHEN row_number() OVER (PARTITION BY nullif(source, 'src3') ORDER BY md5('1:' || doc_id))
+                 <= count(*) OVER (PARTITION BY nullif(source, 'src3'))
+                    - round_even(count(*) OVER (PARTITION BY nullif(source, 'src3')) * 0.8, 0)
+            THEN 'test' ELSE 'train' END AS split
+FROM documents""",
     "sample_per_language": f"{_SAMPLED} SELECT doc_id, language FROM flagged WHERE sampled",
     "flag_sampled": f"{_SAMPLED} SELECT doc_id, language, sampled FROM flagged",
     "unseen_rows": f"{_SAMPLED} SELECT doc_id, language FROM flagged WHERE NOT sampled",
@@ -459,13 +486,18 @@ ORDER BY md5('1:' || doc_id) LIMIT {q.SAMPLE}""",
     "iso639_3_to_language": """SELECT doc_id,
   CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German'
             ELSE 'unknown' END AS language FROM documents""",
+    "iso639_beyond": """SELECT doc_id,
+  CASE right(source, 1) WHEN '1' THEN 'Hebrew' WHEN '2' THEN 'Norwegian'
+    WHEN '3' THEN 'Swahili (macrolanguage)' WHEN '4' THEN 'Icelandic' WHEN '5' THEN 'Basque'
+    WHEN '6' THEN 'unknown' ELSE 'Irish' END AS language FROM documents""",
     "replace_language": """SELECT doc_id,
   CASE lang WHEN 'en' THEN 'Greek' WHEN 'fr' THEN 'Swahili' WHEN 'de' THEN 'Pushto'
             ELSE 'Spanish' END AS language FROM documents""",
     "drop_rarest_language": f"""WITH {NAMED},
-counts AS (SELECT language, count(*) AS n FROM named GROUP BY language)
-SELECT doc_id, language FROM named
-WHERE language <> (SELECT language FROM counts ORDER BY n, language LIMIT 1)""",
+known AS (SELECT doc_id, CASE WHEN doc_id % 200 <> 11 THEN language END AS language FROM named),
+counts AS (SELECT language, count(*) AS n FROM known WHERE language IS NOT NULL GROUP BY language)
+SELECT doc_id, language FROM known
+WHERE language IS DISTINCT FROM (SELECT language FROM counts ORDER BY n, language LIMIT 1)""",
     "lowercase": "SELECT doc_id, lower(text) AS text FROM documents",
     "collapse_whitespace": f"""SELECT doc_id, trim(regexp_replace(text, '{SPACES}', ' ', 'g')) AS text
 FROM documents""",
@@ -480,6 +512,15 @@ FROM documents""",
 FROM documents""",
     "text_length": "SELECT doc_id, length(text) AS length FROM documents",
     "word_vocabulary": f"WITH {DOCS}, {VOCABULARY} SELECT token, word, n FROM vocabulary",
+    "subword_seeds": f"""WITH {DOCS}, {VOCABULARY},
+counted AS (SELECT '▁' || word AS word, count(*) AS n FROM words WHERE split = 'train' GROUP BY ALL),
+cut AS (
+  SELECT substr(word, i, size) AS piece, n
+  FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM counted),
+       (SELECT unnest([1, 2, 3, 4]) AS size)
+  WHERE i + size <= length(word) + 1)
+SELECT piece, CAST(sum(n) AS BIGINT) AS n FROM cut GROUP BY piece""",
+    "subword_round_trip": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
     "tokenize": f"""WITH {DOCS}, {VOCABULARY},
 placed AS (
   SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
@@ -515,20 +556,20 @@ SELECT doc_id, top_block, round(top_share, 6) AS top_share FROM top""",
 SELECT doc_id, script, {UNIQUE} AS language FROM docs JOIN scripts USING (doc_id)""",
     "char_ngrams": f"WITH {DOCS}, {GRAMS} SELECT doc_id, gram, n, rank FROM ranked",
     "train_ngrams": f"WITH {DOCS}, {GRAMS} SELECT language, gram, n, rank FROM templates",
-    "ngram_distance": f"""WITH {DOCS}, {GRAMS},
+    "ngram_distance": f"""WITH {GAP_DOCS}, {GRAMS},
 matches AS (
   SELECT r.doc_id, t.language, sum(abs(r.rank - t.rank) - 300) AS gain
   FROM ranked r JOIN templates t USING (gram) GROUP BY ALL)
 SELECT doc_id, language, CAST(300 * size + coalesce(gain, 0) AS BIGINT) AS distance
-FROM (SELECT DISTINCT doc_id FROM ranked) CROSS JOIN template_sizes
+FROM (SELECT doc_id FROM docs) CROSS JOIN template_sizes
 LEFT JOIN matches USING (doc_id, language)""",
     "candidate_languages": f"""{_SCRIPTED},
 listed (script, candidates) AS (VALUES {_rows((g, ','.join(c)) for g, c in CANDIDATES.items())})
 SELECT doc_id, script, coalesce(candidates, '') AS candidates
 FROM scripts LEFT JOIN listed USING (script)""",
-    "biased_min_distance": f"""WITH {DOCS}, {GRAMS},
+    "biased_min_distance": f"""WITH {GAP_DOCS}, {GRAMS},
 scripts AS (SELECT doc_id, 'all' AS script FROM docs),
-{DISTANCES.replace(_rows(_PLACES), _rows([('all', x, i) for i, x in enumerate(sorted(q.QUOTAS))]))},
+{DISTANCES.replace(_rows(_PLACES), _rows([('all', x, i) for i, x in enumerate(sorted(q.QUOTAS))])).replace('SELECT DISTINCT doc_id FROM ranked', 'SELECT doc_id FROM docs')},
 margins (margin) AS (SELECT unnest([{', '.join(f"{m!r}::DOUBLE" for m in q.MARGINS_SHOWN)}]))
 SELECT doc_id, margin, {_nearest('margin')} AS nearest
 FROM reduced JOIN ties USING (doc_id), margins""",
@@ -580,18 +621,19 @@ labels AS (
   FROM docs JOIN ruled USING (doc_id), margins, (SELECT unnest(range(5)) AS model)
   WHERE split = 'train')
 {_cv_table('SELECT * FROM labels', 'margin', 'label')}""",
-    "detect_language": f"""{_detected(0.8, DOCS)}
+    "detect_language": f"""{_detected(0.8, DOCS, BAYES_ALL)}
 SELECT doc_id, source, language, unicode_predict AS predicted_language
 FROM final JOIN docs USING (doc_id)""",
-    "detect_scripts": f"""{_detected(q.STRICT, SCRIPT_DOCS)}
+    "detect_scripts": f"""{_detected(q.STRICT, SCRIPT_DOCS, BAYES_ALL)}
 SELECT doc_id, language, unicode_predict AS predicted_language
 FROM final JOIN docs USING (doc_id)""",
     "detect_unlabelled": f"""{_detected(0.8, f'''{LABELLED},
 docs AS (
-  SELECT doc_id, text, language, split, NULL AS role FROM plain WHERE split = 'train'
+  SELECT doc_id, text, language, split, NULL AS role, NULL AS conv_id, NULL AS turn
+  FROM plain WHERE split = 'train'
   UNION ALL
-  SELECT -1 - (conv_id * 1000 + turn), {_clean('text')}, NULL, 'test', role FROM conversations)''')}
-SELECT -1 - doc_id AS turn_id, role, unicode_predict AS predicted_language
+  SELECT -row_number() OVER (), {_clean('text')}, NULL, 'test', role, conv_id, turn FROM conversations)''')}
+SELECT conv_id, turn, role, unicode_predict AS predicted_language
 FROM final JOIN docs USING (doc_id)""",
     "build_dataset": f"""WITH
 base AS (

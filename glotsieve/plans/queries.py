@@ -56,7 +56,7 @@ ACCENTED = "abçdéfghîjklmñôpqrstúvwxyż"
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return st.spread(st.scan_texts(spark, f"{sf}/documents.parquet"), KEY)
+    return st.scan_texts(spark, f"{sf}/documents.parquet")
 
 
 def named(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,8 +71,8 @@ def split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """The split corpus as a written table, which training reads several times."""
-    return settle(split(spark, sf), "labelled", by="split")
+    """The corpus with its split. Only the cuts of the split are written, a row a source."""
+    return split(spark, sf)
 
 
 def _by_language(english: str, french: str, german: str, spanish: str) -> Column:
@@ -85,8 +85,16 @@ def _by_language(english: str, french: str, german: str, spanish: str) -> Column
     )
 
 
+def with_gaps(df: DataFrame) -> DataFrame:
+    """Some documents without letters, and some of two characters, by a rule on the key."""
+    rest = F.col(KEY) % 97
+    text = F.when(rest == 3, "_ _").when(rest == 4, F.substring("text", 1, 2)).otherwise(F.col("text"))
+    return df.withColumn("text", text)
+
+
 def in_scripts(df: DataFrame) -> DataFrame:
     """Documents in eight scripts, half of them, with languages to match."""
+    df = with_gaps(df)
     kind = F.col(KEY) % 10
 
     def to(alphabet: str) -> Column:
@@ -135,7 +143,33 @@ def scan_texts(spark, sf):
 
 
 def load_blocks(spark, sf):
-    blocks = sb.jvm_blocks(spark)
+    return _block_use(spark, sf, sb.jvm_blocks(spark))
+
+
+def load_block_file(spark, sf):
+    """The block table written in the form of Unicode's file, with comments, and parsed again."""
+    line = F.format_string("%04X..%04X; %s", "block_start", "block_end", "block")
+    lines = sb.jvm_blocks(spark).select(
+        F.explode(F.array(F.lit("# Start Code..End Code; Block Name"), F.lit(""), line)).alias("value")
+    )
+    path = scratch_path(spark, "blocks")
+    lines.write.text(path)
+    return _block_use(spark, sf, settle(sb.load_blocks(spark, path), "block-table"))
+
+
+def scan_csv(spark, sf):
+    """Texts with line breaks, quotes and commas, written as CSV and read by a declared schema."""
+    text = F.concat(F.lit('"'), F.col("text"), F.lit('", "said, \n\n"'))
+    rows = st.scan_texts(spark, f"{sf}/documents.parquet").select(
+        text.alias("text"), F.col("lang").alias("language"), F.col(KEY).cast("string").alias("id")
+    )
+    path = scratch_path(spark, "csv")
+    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    found = st.scan_texts(spark, path, "csv", "text STRING, language STRING, id STRING")
+    return found.select(F.col("id").cast("long").alias(KEY), "language", "text")
+
+
+def _block_use(spark, sf, blocks):
     texts = in_scripts(named(spark, sf))
     used = bl.count_blocks(texts, KEY, "text", blocks).groupBy("block").agg(
         F.sum("n").alias("n_letters"), F.count("*").alias("n_texts")
@@ -157,9 +191,7 @@ def write_dataset(spark, sf):
 
 def write_unseen(spark, sf):
     path = scratch_path(spark, "unseen")
-    docs = named(spark, sf)
-    sample = sm.sample_per_language(docs, KEY, quotas(spark))
-    st.write_unseen(docs, sample, KEY, path)
+    st.write_unseen(sm.flag_sampled(named(spark, sf), KEY, quotas(spark)), path)
     return spark.read.parquet(path).select(KEY, "language", "text")
 
 
@@ -225,11 +257,12 @@ def filter_languages(spark, sf):
 
 
 def _reviewed(spark, sf):
-    """Short texts are struck out, and Spanish labels of odd sources corrected."""
+    """Short texts are struck out, some labels are lost, and Spanish ones of odd sources corrected."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = F.substring("source", -1, 1).isin("1", "3", "5", "7", "9")
     corrected = (
         F.when(F.col("n_chars") < 60, "remove")
+        .when(F.col(KEY) % 50 == 7, F.lit(None))
         .when(odd & (F.col("lang") == "es"), "pt")
         .otherwise(F.col("lang"))
     )
@@ -275,6 +308,13 @@ def split_train_test(spark, sf):
     return split(spark, sf).select(KEY, "source", "split")
 
 
+def split_without_source(spark, sf):
+    """Rows of one source have lost its name, and are split as a group of their own."""
+    source = F.when(F.col("source") != "src3", F.col("source"))
+    docs = documents(spark, sf).select(KEY, source.alias("source"))
+    return sm.split_train_test(docs, KEY)
+
+
 def sample_per_language(spark, sf):
     return sm.sample_per_language(named(spark, sf), KEY, quotas(spark)).select(KEY, "language")
 
@@ -286,8 +326,8 @@ def flag_sampled(spark, sf):
 
 def unseen_rows(spark, sf):
     docs = named(spark, sf)
-    sample = sm.sample_per_language(docs, KEY, quotas(spark))
-    return sm.unseen_rows(docs, sample, KEY).select(KEY, "language")
+    flagged = sm.flag_sampled(docs, KEY, quotas(spark))
+    return flagged.filter("not sampled").select(KEY, "language")
 
 
 def sample_n(spark, sf):
@@ -314,6 +354,18 @@ def iso639_3_to_language(spark, sf):
     return lb.iso639_3_to_language(coded, "language", KEY)
 
 
+def iso639_beyond(spark, sf):
+    """Codes of both lengths beyond the languages of the classifier, by a rule on the source."""
+    number = F.substring("source", -1, 1)
+    code = (
+        F.when(number == "1", "he").when(number == "2", "no").when(number == "3", "sw")
+        .when(number == "4", "isl").when(number == "5", "eus").when(number == "6", "zz")
+        .otherwise("ga")
+    )
+    coded = documents(spark, sf).select(KEY, code.alias("language"))
+    return lb.code_to_language(coded, "language", KEY)
+
+
 def replace_language(spark, sf):
     spelled = documents(spark, sf).select(
         KEY,
@@ -326,7 +378,9 @@ def replace_language(spark, sf):
 
 
 def drop_rarest_language(spark, sf):
-    return lb.drop_rarest_language(named(spark, sf).select(KEY, "language"))
+    """Some labels are missing, fewer than any class has."""
+    language = F.when(F.col(KEY) % 200 != 11, F.col("language")).alias("language")
+    return lb.drop_rarest_language(named(spark, sf).select(KEY, language))
 
 
 # Text functions
@@ -374,6 +428,27 @@ def _subwords(spark, sf):
     return docs, sw.train_subwords(_counts(docs), SUBWORDS)
 
 
+def subword_seeds(spark, sf):
+    """How often each substring of up to four characters occurs in the words of the train split."""
+    counts = _counts(split(spark, sf))
+    marked = F.concat(F.lit(sw.WORD_START), F.col("word")).alias("word")
+    words = counts.groupBy(marked).agg(F.sum("n").alias("n"))
+    return sw.substring_counts(words, 4)
+
+
+def subword_round_trip(spark, sf):
+    """Pieces of every text joined again, with a vocabulary that has every character."""
+    docs = split(spark, sf)
+    pieces = sw.train_subwords(settle(vo.word_counts(docs), "words"), SUBWORDS, coverage=1.0)
+    by_id = F.map_from_arrays(
+        *[F.array(*[F.lit(x) for x in column]) for column in zip(*sorted(
+            (r.token, r.piece) for r in pieces.table.collect()  # at most SUBWORDS rows
+        ))]
+    )
+    joined = F.array_join(F.transform(pieces.units("text"), lambda i: F.try_element_at(by_id, i)), "")
+    return docs.select(KEY, F.trim(F.replace(joined, F.lit(sw.WORD_START), F.lit(" "))).alias("text"))
+
+
 def train_tokenizer(spark, sf):
     return _subwords(spark, sf)[1].table
 
@@ -451,13 +526,13 @@ def nb_ascii_override(spark, sf):
 # Blocks
 
 
-def _profile(spark, sf):
+def _profile(spark, sf, keep=True):
     texts = in_scripts(named(spark, sf))
-    return bl.count_blocks(texts, KEY, "text", sb.jvm_blocks(spark))
+    return bl.count_blocks(texts, KEY, "text", sb.jvm_blocks(spark), keep)
 
 
 def count_blocks(spark, sf):
-    return _profile(spark, sf).select(KEY, "block", "n", *_six("share"))
+    return _profile(spark, sf, keep=False).select(KEY, "block", "n", *_six("share"))
 
 
 def highest_block(spark, sf):
@@ -474,7 +549,7 @@ def _with_script(spark, sf):
     # size; the narrow script table is hashed next to them.
     texts = in_scripts(labelled(spark, sf)).repartition(KEY)
     top = bl.highest_block(
-        bl.count_blocks(texts, KEY, "text", sb.jvm_blocks(spark)), KEY
+        bl.count_blocks(texts, KEY, "text", sb.jvm_blocks(spark), keep=True), KEY
     ).select(KEY, bl.script_of_block("top_block").alias("script"))
     return texts.join(top.hint("shuffle_hash"), KEY)
 
@@ -506,12 +581,12 @@ def _templates(docs):
 
 
 def ngram_distance(spark, sf):
-    docs = labelled(spark, sf)
+    docs = with_gaps(labelled(spark, sf))
     return ng.ngram_distance(docs, KEY, "text", _templates(docs))
 
 
 def biased_min_distance(spark, sf):
-    docs = labelled(spark, sf)
+    docs = with_gaps(labelled(spark, sf))
     distances = ng.ngram_distance(docs, KEY, "text", _templates(docs))
     in_order = F.array_sort(F.collect_list(F.struct("language", "distance")))
     margins = F.array(*[F.lit(m) for m in MARGINS_SHOWN])
@@ -581,11 +656,13 @@ def stage_comparison(spark, sf):
     docs = in_scripts(labelled(spark, sf))
     train, test = ds.filter_split(docs, "train"), ds.filter_split(docs, "test")
     model = _bayes(docs)
-    predicted = nb.nb_predict(test, KEY, "text", model, STRICT).join(
-        test.select(KEY, "language"), KEY
+    # Three steps read the texts by key; one exchange serves them all.
+    texts = test.select(KEY, "text", "language").repartition(KEY)
+    predicted = nb.nb_predict(texts, KEY, "text", model, STRICT).join(
+        texts.select(KEY, "language"), KEY
     )
     ruled = rl.rule_inputs(
-        test, predicted, KEY, "text", sb.jvm_blocks(spark), ng.train_ngrams(train),
+        texts, predicted, KEY, "text", sb.jvm_blocks(spark), ng.train_ngrams(train),
         carry=["language", "best_predict"],
     ).withColumn("unicode_predict", rl.rule_label())
     stages = {"base": "best_predict", "threshold": "nb_predict", "script rule": "unicode_predict"}
@@ -626,9 +703,10 @@ def nb_tune_threshold(spark, sf):
 def unicode_tune_margin(spark, sf):
     docs = in_scripts(labelled(spark, sf))
     train = ds.filter_split(docs, "train")
-    unsure = train.select(KEY, "language", F.lit(rl.UNKNOWN).alias("nb_predict"))
+    texts = train.select(KEY, "text", "language").repartition(KEY)
+    unsure = texts.select(KEY, "language", F.lit(rl.UNKNOWN).alias("nb_predict"))
     inputs = rl.rule_inputs(
-        train, unsure, KEY, "text", sb.jvm_blocks(spark), ng.train_ngrams(train),
+        texts, unsure, KEY, "text", sb.jvm_blocks(spark), ng.train_ngrams(train),
         carry=["language"],
     )
     tuned = tn.unicode_tune_margin(inputs, KEY, "language")
@@ -641,7 +719,7 @@ def unicode_tune_margin(spark, sf):
 def detect_language(spark, sf):
     docs = labelled(spark, sf)
     detector = dt.train_detector(ds.filter_split(docs, "train"), tokens="word")
-    found = dt.detect_language(ds.filter_split(docs, "test"), "text", KEY, detector)
+    found = dt.detect_language(docs, "text", detector)
     return found.select(KEY, "source", "language", "predicted_language")
 
 
@@ -650,20 +728,18 @@ def detect_scripts(spark, sf):
     detector = dt.train_detector(
         ds.filter_split(docs, "train"), tokens="word", threshold=STRICT
     )
-    found = dt.detect_language(ds.filter_split(docs, "test"), "text", KEY, detector)
+    found = dt.detect_language(docs, "text", detector)
     return found.select(KEY, "language", "predicted_language")
 
 
 def detect_unlabelled(spark, sf):
     """Conversation turns judged by a detector trained on the documents."""
     turns = st.scan_texts(spark, f"{sf}/conversations.parquet")
-    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id")
-    turns = st.spread(turns.select(key, "role", "text"), "turn_id")
     detector = dt.train_detector(
         ds.filter_split(labelled(spark, sf), "train"), tokens="word"
     )
-    found = dt.detect_language(turns, "text", "turn_id", detector)
-    return found.select("turn_id", "role", "predicted_language")
+    found = dt.detect_language(turns, "text", detector)
+    return found.select("conv_id", "turn", "role", "predicted_language")
 
 
 def detect_subwords(spark, sf):
@@ -671,7 +747,7 @@ def detect_subwords(spark, sf):
     detector = dt.train_detector(
         ds.filter_split(docs, "train"), tokens="subword", size=SUBWORDS
     )
-    found = dt.detect_language(ds.filter_split(docs, "test"), "text", KEY, detector)
+    found = dt.detect_language(docs, "text", detector)
     return found.select(KEY, "language", "predicted_language")
 
 
@@ -702,6 +778,8 @@ def build_dataset(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_texts": scan_texts,
     "load_blocks": load_blocks,
+    "load_block_file": load_block_file,
+    "scan_csv": scan_csv,
     "write_dataset": write_dataset,
     "write_unseen": write_unseen,
     "write_corpus": write_corpus,
@@ -719,6 +797,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_first": dedup_first,
     "count_removed": count_removed,
     "split_train_test": split_train_test,
+    "split_without_source": split_without_source,
     "sample_per_language": sample_per_language,
     "flag_sampled": flag_sampled,
     "unseen_rows": unseen_rows,
@@ -726,6 +805,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "preview_rows": preview_rows,
     "iso639_1_to_language": iso639_1_to_language,
     "iso639_3_to_language": iso639_3_to_language,
+    "iso639_beyond": iso639_beyond,
     "replace_language": replace_language,
     "drop_rarest_language": drop_rarest_language,
     "lowercase": _scalar(tx.lowercase),
@@ -739,6 +819,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "word_vocabulary": word_vocabulary,
     "tokenize": tokenize,
     "vectorize": vectorize,
+    "subword_seeds": subword_seeds,
+    "subword_round_trip": subword_round_trip,
     "train_tokenizer": train_tokenizer,
     "tokenize_subwords": tokenize_subwords,
     "token_pieces": token_pieces,

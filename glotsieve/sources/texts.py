@@ -30,24 +30,12 @@ def scan_texts(
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core work when a table has fewer splits than there are cores.
-
-    One small file is read by one task, and exploding its texts there would
-    leave the others idle. Rows move by key, so aggregations by key that
-    follow need no further exchange. Tables of many files stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(2 * cores, key)
-
-
 def add_key(df: DataFrame, key: str) -> DataFrame:
     """Number the rows of a table that has no unique column.
 
     The numbers depend on how rows lie in partitions, so the table is written
-    with them: a task that runs again must not number its rows anew.
+    with them: a task that runs again must not number its rows anew. Detection
+    needs no key; use this only where rows must be told apart.
     """
     return settle(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
@@ -61,9 +49,9 @@ def write_dataset(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").partitionBy("split").parquet(path)
 
 
-def write_unseen(population: DataFrame, sample: DataFrame, key: str, path: str) -> None:
-    """Write the rows of a source that were not sampled."""
-    population.join(sample.select(key), key, "left_anti").write.parquet(path)
+def write_unseen(flagged: DataFrame, path: str, flag: str = "sampled") -> None:
+    """Write the rows of a source that a flag says were not sampled."""
+    flagged.filter(~F.coalesce(F.col(flag), F.lit(False))).drop(flag).write.parquet(path)
 
 
 def write_corpus(df: DataFrame, path: str, split: str = "train") -> None:

@@ -10,7 +10,7 @@ from glotsieve.sources.blocks import jvm_blocks
 
 
 def detect_stream(
-    stream: DataFrame, text: str, key: str, detector: Detector, path: str
+    stream: DataFrame, text: str, detector: Detector, path: str
 ) -> DataStreamWriter:
     """Label every micro-batch with the batch plan and write it as parquet.
 
@@ -22,7 +22,7 @@ def detect_stream(
 
     def label(batch: DataFrame, number: int) -> None:
         blocks = jvm_blocks(batch.sparkSession)
-        labelled = detect_language(batch, text, key, detector, blocks)
+        labelled = detect_language(batch, text, detector, blocks)
         labelled.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(label)

@@ -133,17 +133,22 @@ def test_sources_and_sinks(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "set")).select(df.columns)
     assert back.exceptAll(df).isEmpty() and back.count() == 2
     assert (tmp_path / "set" / "split=train").exists()
-    st.write_unseen(df, df.filter("key = 1"), "key", str(tmp_path / "unseen"))
+    st.write_unseen(df.withColumn("sampled", F.expr("nullif(key, 2) is not null")), str(tmp_path / "unseen"))
     assert [r.key for r in spark.read.parquet(str(tmp_path / "unseen")).collect()] == [2]
     st.write_corpus(df, str(tmp_path / "corpus"), "test")
     assert [r.value for r in spark.read.text(str(tmp_path / "corpus")).collect()] == ["b, c"]
 
 
-def test_one_split_table_is_spread_by_key(spark):
-    df = spark.range(100).coalesce(1)
-    spread = st.spread(df, "id")
-    assert spread.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-    assert spread.count() == 100
+def test_rows_without_label_or_source_stay(spark):
+    rows = [(i, None if i % 4 == 0 else "remove" if i % 4 == 1 else "en", None if i < 20 else "s") for i in range(40)]
+    df = spark.createDataFrame(rows, "key LONG, language STRING, source STRING")
+    assert ds.filter_removed(df).count() == 30
+    split = sm.split_train_test(df, "key").groupBy("source", "split").count().collect()
+    assert sorted((str(r.source), r.split, r["count"]) for r in split) == [
+        ("None", "test", 4), ("None", "train", 16), ("s", "test", 4), ("s", "train", 16)
+    ]
+    few = spark.createDataFrame([("a",), ("a",), (None,), ("b",), ("b",), ("b",)], "language STRING")
+    assert sorted(str(r.language) for r in lb.drop_rarest_language(few).collect()) == ["None", "b", "b", "b"]
 
 
 @pytest.mark.parametrize("k", [1, 7, 99, 100, 150, 500])

@@ -21,7 +21,7 @@ def _labels(df):
 
 
 def test_all_columns_and_rows_come_back(test_rows, detector):
-    found = dt.detect_language(test_rows, "text", "doc_id", detector)
+    found = dt.detect_language(test_rows, "text", detector)
     assert found.columns == [*test_rows.columns, "predicted_language"]
     assert found.drop("predicted_language").exceptAll(test_rows).isEmpty()
     assert found.count() == test_rows.count()
@@ -30,11 +30,11 @@ def test_all_columns_and_rows_come_back(test_rows, detector):
 
 
 def test_labels_do_not_depend_on_partitioning_or_null_texts(spark, test_rows, detector):
-    a = _labels(dt.detect_language(test_rows, "text", "doc_id", detector))
-    b = _labels(dt.detect_language(test_rows.repartition(7), "text", "doc_id", detector))
+    a = _labels(dt.detect_language(test_rows, "text", detector))
+    b = _labels(dt.detect_language(test_rows.repartition(7), "text", detector))
     assert a == b
     extra = spark.createDataFrame([(-1, None, None), (-2, "", None)], test_rows.schema)
-    c = _labels(dt.detect_language(test_rows.union(extra), "text", "doc_id", detector))
+    c = _labels(dt.detect_language(test_rows.union(extra), "text", detector))
     assert {k: v for k, v in c.items() if k >= 0} == a
     assert c[-1] == c[-2] == "UNKNOWN"
 
@@ -50,7 +50,7 @@ def test_the_rule_only_adds_labels(test_rows, detector):
 def test_scripts(docs):
     texts = in_scripts(docs)
     detector = dt.train_detector(texts.filter("split = 'train'"), tokens="word", threshold=1.0)
-    found = dt.detect_language(texts, "text", "doc_id", detector)
+    found = dt.detect_language(texts, "text", detector)
     seen = {r.predicted_language for r in found.select("predicted_language").distinct().collect()}
     assert {"English", "Greek", "Thai", "Hindi", "Korean", "Vietnamese", "UNKNOWN"} & seen >= {
         "English", "Greek", "Thai", "Hindi"
@@ -68,28 +68,36 @@ def test_saved_detector_gives_the_same_labels(spark, docs, test_rows, tmp_path,
 
 
 SMOKE = {
-    "English": "The printing of the text and the setting of the type in this industry is the same",
-    "Chinese": "文本是印刷及排版领域所常用的虚拟文字",
-    "Spanish": "El niño y la niña sueñan con una mañana de otoño en España",
-    "Thai": "เนื้อหาจำลองแบบเรียบๆ ที่ใช้กันในธุรกิจงานพิมพ์",
-    "Arabic": "هناك حقيقة مثبتة منذ زمن طويل وهي أن المحتوى المقروء إلى الشكل",
-    "Hindi": "छपाई और अक्षर योजन उद्योग का एक साधारण पाठ है",
-    "Korean": "모든 국민은 거주 이전의 자유를 가진다",
+    "English": "Every morning the baker opens her window and whistles to the birds of the street",
+    "Chinese": "明天早上我们去公园看花然后回家吃饭",
+    "Spanish": "Mañana el niño pequeño le enseñará a su dueño la araña del baño",
+    "Thai": "พรุ่งนี้เช้าเราจะไปเดินเล่นที่ตลาดริมแม่น้ำ",
+    "Arabic": "في الصباح نذهب إلى السوق ونشتري الخبز والفاكهة لجدتي",
+    "Hindi": "कल सुबह हम नदी के किनारे टहलने जाएंगे और चाय पिएंगे",
+    "Korean": "내일 아침에 우리는 강가를 걷고 나서 따뜻한 차를 마실 것이다",
 }
 
 
 def test_seven_languages_without_a_key(spark, detector):
     from dataclasses import replace
 
-    from glotsieve.sources.texts import add_key
-
     rows = spark.createDataFrame(list(SMOKE.items()), "language STRING, raw STRING")
-    keyed = add_key(rows, "row")
-    found = dt.detect_language(keyed, "raw", "row", replace(detector, threshold=1.0)).drop("row")
+    found = dt.detect_language(rows, "raw", replace(detector, threshold=1.0))
     assert found.columns == ["language", "raw", "predicted_language"]
     assert {r.language: r.predicted_language for r in found.collect()} == {x: x for x in SMOKE}
 
 
+def test_null_and_equal_keys(spark, test_rows, detector):
+    """Rows keep their number and order of labels whatever their keys are."""
+    some = test_rows.limit(20).collect()
+    alone = {r.text: dt.detect_labels(spark.createDataFrame([r]), "text", "doc_id", detector).first()[1] for r in some[:3]}
+    keys = [None, 1, 1, None, 2]
+    rows = [(k, some[i % 3].text) for i, k in enumerate(keys)]
+    given = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    found = dt.detect_labels(given, "text", "doc_id", detector).collect()
+    assert sorted((str(r.doc_id), r.predicted_language) for r in found) == sorted((str(k), alone[t]) for k, t in rows)
+
+
 def _final_plan(df):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -97,27 +105,18 @@ def _final_plan(df):
 
 
 def test_texts_are_exchanged_once(test_rows, detector):
-    plan = _final_plan(dt.detect_labels(test_rows, "text", "doc_id", detector))
-    by_key = [x for x in plan.splitlines() if "Exchange" in x and "hashpartitioning(doc_id" in x]
-    assert sum("ReusedExchange" not in x for x in by_key) == 1
-    assert sum("ReusedExchange" in x for x in by_key) == 2
+    plan = _final_plan(dt.label_texts(test_rows, "text", detector))
+    by_text = [x for x in plan.splitlines() if "Exchange" in x and "hashpartitioning(_digest" in x]
+    assert sum("ReusedExchange" not in x for x in by_text) == 1
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan
 
 
-def test_a_bucketed_table_is_not_exchanged(spark, test_rows, detector):
-    test_rows.write.bucketBy(8, "doc_id").sortBy("doc_id").mode("overwrite").saveAsTable("bucketed")
-    table = spark.table("bucketed")
-    found = dt.detect_language(table, "text", "doc_id", detector, partitioned=True)
-    assert "hashpartitioning(doc_id" not in _final_plan(found)
-    assert _labels(found) == _labels(dt.detect_language(test_rows, "text", "doc_id", detector))
-
-
 def test_stream(spark, test_rows, detector, tmp_path):
     source = str(tmp_path / "in")
     test_rows.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(test_rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    writer = detect_stream(stream, "text", "doc_id", detector, str(tmp_path / "out"))
+    writer = detect_stream(stream, "text", detector, str(tmp_path / "out"))
     query = (
         writer.option("checkpointLocation", str(tmp_path / "state"))
         .trigger(availableNow=True)
@@ -127,5 +126,5 @@ def test_stream(spark, test_rows, detector, tmp_path):
     assert query.exception() is None
     found = spark.read.parquet(str(tmp_path / "out"))
     assert found.select("batch").distinct().count() == 2
-    assert _labels(found) == _labels(dt.detect_language(test_rows, "text", "doc_id", detector))
+    assert _labels(found) == _labels(dt.detect_language(test_rows, "text", detector))
     assert found.filter(F.col("predicted_language").isNull()).isEmpty()
