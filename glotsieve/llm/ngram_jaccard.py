@@ -16,8 +16,9 @@ on its own, and the partial counts are summed for each pair.
    one of many sets (copies of one text) are dealt into blocks by the most
    common n-gram they share, and pairs of blocks meet in one task each; it
    returns a spanning forest of the links it finds, never the pairs.
-4. Pairs in one component already are left out; the others pass an exact bound
-   by bitmaps; what remains is counted fragment by fragment and summed.
+4. Pairs of few pass an exact bound by bitmaps, before any set is fetched; those
+   in one component already are left out; what remains is counted fragment by
+   fragment and summed.
 
 Each link that counts for a component is verified on all n-grams.
 """
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glotsieve.llm.common import components
@@ -212,7 +213,7 @@ def _prefixes(order, words: int, percent: int):
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*found)]
-            return pa.record_batch(columns, ["token", "sid", "n", "salt"])
+            return pa.record_batch(columns, ["token", "sid", "salt"])
 
         for batch in batches:
             found, held = [], 0
@@ -224,7 +225,7 @@ def _prefixes(order, words: int, percent: int):
                 seen.add(sid)
                 keys = order.value.keys(hashes)[: n - (-(-percent * n // 100)) + 1]
                 salts = order.value.salts(keys, sid & 0x7FFFFFFF)
-                found.append((keys.view(np.int64), np.full(len(keys), sid), np.full(len(keys), n), salts))
+                found.append((keys.view(np.int64), np.full(len(keys), sid), salts))
                 held += len(keys)
                 if held > AT_ONCE:
                     yield rows(found)
@@ -238,10 +239,12 @@ def _prefixes(order, words: int, percent: int):
 def _segments(order, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(found: list[tuple]) -> pa.RecordBatch:
-            ids, numbers, parts = zip(*found)
+            ids, splits = zip(*found)
+            parts = [part for split in splits for part in split]
             ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
-            values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts)))
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), values], ["sid", "fragment", "part"])
+            inner = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts).view(np.int64)))
+            outer = pa.array(np.cumsum([0, *map(len, splits)]), pa.int32())
+            return pa.record_batch([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(outer, inner)], ["sid", "parts"])
 
         for batch in batches:
             found, held = [], 0
@@ -249,9 +252,7 @@ def _segments(order, words: int):
                 hashes = shingles(text.as_py(), words)
                 if set_id(hashes) != sid:  # another text of a repeated key
                     continue
-                for f, part in enumerate(order.value.split(order.value.keys(hashes))):
-                    if len(part):
-                        found.append((sid, f, part.view(np.int64)))
+                found.append((sid, order.value.split(order.value.keys(hashes))))
                 held += len(hashes)
                 if held > AT_ONCE:
                     yield rows(found)
@@ -298,14 +299,14 @@ def similar(overlap, n_a, n_b, percent: int = PERCENT):
 
 def _block_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, local = np.unique(table["sid"].to_numpy(), return_inverse=True)
-        parts = {}
-        for i, f, keys in zip(local.tolist(), table["fragment"].to_pylist(), table["part"].combine_chunks()):
-            parts[i, f] = keys.values.to_numpy()
-        n = np.zeros(len(ids))
-        for (i, _), keys in parts.items():
-            n[i] += len(keys)
-        overlap = overlaps([(i, f, k) for (i, f), k in parts.items()], len(ids)).astype(np.float64)
+        ids, rows = np.unique(table["sid"].to_numpy(), return_index=True)
+        given = table["parts"].combine_chunks()
+        parts, n = [], np.zeros(len(ids))
+        for i, row in enumerate(rows.tolist()):
+            for f, keys in enumerate(given[row].values):
+                parts.append((i, f, keys.values.to_numpy()))
+                n[i] += len(keys.values)
+        overlap = overlaps(parts, len(ids)).astype(np.float64)
         a, b = np.nonzero(np.triu(similar(overlap, n[:, None], n, percent), 1))
         labels = join_labels(np.arange(len(ids)), a, b)
         some = np.flatnonzero(labels != np.arange(len(ids)))
@@ -352,28 +353,32 @@ def near_duplicates(
     order = spark.sparkContext.broadcast(Order(counters, counter_bits, fragments))
 
     # n-grams of prefixes that more than one set has
-    prefixes = given.select("text").mapInArrow(_prefixes(order, words, percent), "token bigint, sid bigint, n bigint, salt int")
-    low, high = (f("sid").over(_by("token", "salt")) for f in (F.min, F.max))
-    shared = prefixes.withColumns({"low": low, "high": high}).filter("low < high or salt > 0")
-    shared = settle(shared.select("token", "sid", "n").distinct(), "shared")
-    sizes = shared.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = settle(shared.join(sizes, "token"), "shared")
-
-    # one text for each set that takes part, and its segments
-    least = sets.groupBy("sid").agg(F.min("key").alias("key"), F.first("bits").alias("bits"))
-    part = settle(shared.select("sid").distinct().join(least, "sid"), "part")
+    prefixes = given.select("text").mapInArrow(_prefixes(order, words, percent), "token bigint, sid bigint, salt int")
+    group = Window.partitionBy("token", "salt")
+    before = F.lag("sid").over(group.orderBy("sid"))
+    # a set comes once from each task; all of it has one exchange
+    once = prefixes.withColumn("before", before).filter("before is null or before <> sid").drop("before")
+    found = once.withColumn("m", F.count("*").over(group)).filter("m > 1 or salt > 0")
+    found = settle(found, "shared")
+    salted = found.filter("salt > 0").select("token", "sid")
+    sizes = salted.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = found.filter("salt = 0").select("token", "sid", "m").unionByName(salted.join(sizes, "token"))
+
+    # pairs that may be similar, and one text for each set still in question, with its segments
+    least = sets.groupBy("sid").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+    pairs = settle(_pairs(shared.filter(F.col("m") <= few), least, percent), "pairs")
+    many = shared.filter(F.col("m") > few)
+    asked = many.select("sid").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    part = settle(asked.join(least.select("sid", "key"), "sid"), "part")
     wanted = _within(given, part.select("key", "sid"), ["key"]).select("sid", "text")
     unkeyed = part.filter("key is null").select("sid")
     # sets whose rows all lack a key are found by the set itself
     wanted = wanted.unionByName(_by_set(given, unkeyed, words))
-    segments = wanted.mapInArrow(_segments(order, words), "sid bigint, fragment int, part array<bigint>")
-    segments = settle(segments.dropDuplicates(["sid", "fragment"]), "segments")
-
-    hot = _hot_links(shared.filter(F.col("m") > few), segments, few, block, percent)
-    hot = settle(hot, "hot-links")
-    member = components(hot)
-    pairs = _pairs(shared.filter(F.col("m") <= few), part, member, percent)
-    cold = _verified(settle(pairs, "pairs"), segments, percent)
+    segments = wanted.mapInArrow(_segments(order, words), "sid bigint, parts array<array<bigint>>")
+    segments = settle(segments.dropDuplicates(["sid"]), "segments")
+
+    hot = settle(_hot_links(many, segments, block, percent), "hot-links")
+    cold = _verified(_apart(pairs, components(hot)), segments, percent)
     member = components(hot.unionByName(cold))
 
     # keys of a component: of all rows with one of its sets
@@ -389,12 +394,6 @@ def near_duplicates(
     )
 
 
-def _by(*names: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*names)
-
-
 def _by_set(given: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """Texts without a key whose set is wanted."""
 
@@ -406,7 +405,7 @@ def _by_set(given: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return rows.join(ids, "sid").select("sid", "text")
 
 
-def _hot_links(shared: DataFrame, segments: DataFrame, few: int, block: int, percent: int) -> DataFrame:
+def _hot_links(shared: DataFrame, segments: DataFrame, block: int, percent: int) -> DataFrame:
     """Links among sets that share an n-gram with many others: a forest for each pair of blocks.
 
     The home of a set is the n-gram of most sets in its prefix; the sets of one
@@ -421,23 +420,25 @@ def _hot_links(shared: DataFrame, segments: DataFrame, few: int, block: int, per
     pairs = settle(pairs, "block-pairs")
     sides = pairs.withColumn("side", F.explode(F.array_distinct(F.array("block", "other"))))
     rows = sides.join(home.withColumnRenamed("block", "side"), "side").join(segments, "sid")
-    rows = rows.select(F.struct("block", "other").alias("pair"), "sid", "fragment", "part")
+    rows = rows.select(F.struct("block", "other").alias("pair"), "sid", "parts")
     return rows.groupBy("pair").applyInArrow(_block_links(percent), "a bigint, b bigint")
 
 
-def _pairs(shared: DataFrame, part: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets with an n-gram of few sets in common that may be similar and are not linked yet."""
-    known = shared.join(member, F.col("sid") == F.col("node"), "left")
-    known = known.select("token", "sid", "n", F.coalesce("component", "sid").alias("of"))
-    left = known.toDF("token", "a", "n_a", "of_a")
-    right = known.toDF("token", "b", "n_b", "of_b")
-    pairs = left.join(right, "token").filter(
-        (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b"))
-        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    )
-    pairs = pairs.select("a", "b", "n_a", "n_b").distinct()
-    bits = part.select("sid", "bits")
-    pairs = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+def _apart(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """Pairs that are not in one component yet."""
+    of_a, of_b = member.toDF("a", "of_a"), member.toDF("b", "of_b")
+    known = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    same = F.coalesce("of_a", "a") == F.coalesce("of_b", "b")
+    return settle(known.filter(~same).select(*pairs.columns), "pairs-apart")
+
+
+def _pairs(shared: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets with an n-gram of few sets in common that may be similar, by sizes and bitmaps."""
+    left, right = (shared.select("token", F.col("sid").alias(side)) for side in ("a", "b"))
+    pairs = left.join(right, "token").filter("a < b").select("a", "b").distinct()
+    left, right = (about.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    pairs = pairs.join(left, "a").join(right, "b")
+    pairs = pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
     @F.arrow_udf("bigint")
     def apart(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -450,9 +451,10 @@ def _pairs(shared: DataFrame, part: DataFrame, member: DataFrame, percent: int)
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Pairs whose overlap, counted by fragment and summed, makes them links."""
-    left = segments.withColumnsRenamed({"sid": "a", "part": "part_a"})
-    right = segments.withColumnsRenamed({"sid": "b", "part": "part_b"})
-    counted = pairs.join(left, "a").join(right, ["b", "fragment"])
-    partial = counted.withColumn("partial", F.size(F.array_intersect("part_a", "part_b")))
-    summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("overlap"))
+    left = segments.toDF("a", "parts_a")
+    right = segments.toDF("b", "parts_b")
+    counted = pairs.join(left, "a").join(right, "b")
+    partial = F.zip_with("parts_a", "parts_b", lambda x, y: F.size(F.array_intersect(x, y)))
+    overlap = F.aggregate(partial, F.lit(0).cast("bigint"), lambda total, n: total + n)
+    summed = counted.select("a", "b", "n_a", "n_b", overlap.alias("overlap"))
     return summed.filter(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
