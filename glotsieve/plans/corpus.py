@@ -51,7 +51,7 @@ def read_source(source: Source, key: str) -> DataFrame:
 def build_dataset(
     sources: list[Source],
     sampled: Source,
-    quotas: DataFrame,
+    quotas: DataFrame | None,
     key: str,
     corrections: DataFrame | None = None,
     strict: bool = True,
@@ -60,8 +60,12 @@ def build_dataset(
 
     Every source is split on its own, then labels are corrected by key
     (``key, corrected``), struck-out rows and repeated rows leave, and a
-    stratified sample of the large source is added.
+    stratified sample of the large source is added. Without ``quotas`` it holds
+    the usual number of rows of each of the 32 languages.
     """
+    if quotas is None:
+        usual = [(label, n) for label, *_, n in LANGUAGES]
+        quotas = sampled.rows.sparkSession.createDataFrame(usual, "language STRING, quota INT")
     parts = [
         split_train_test(add_source(read_source(s, key), s.name), key) for s in sources
     ]

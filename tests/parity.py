@@ -67,7 +67,7 @@ def differences(spark_df, db, sql: str) -> str | None:
 def main(argv: list[str]) -> int:
     from __spark_entry__ import oracle_sql, queries
 
-    from glotsieve.session import build_session
+    from glotsieve.session import build_session, clear_scratch
 
     sf = argv[0] if argv else "/root/testdata/sf0.01"
     spark = build_session(
@@ -98,6 +98,7 @@ def main(argv: list[str]) -> int:
             verdict, failed = f"{type(error).__name__}: {str(error)[:600]}", failed + 1
             spark_time, sql_time = time.time() - start, 0.0
         print(f"{name:24s} {spark_time:6.1f}s {sql_time:6.1f}s {verdict or 'ok'}", flush=True)
+    clear_scratch(spark)
     print("failed:", failed)
     return failed
 

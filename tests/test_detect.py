@@ -33,7 +33,7 @@ def test_labels_do_not_depend_on_partitioning_or_null_texts(spark, test_rows, de
     a = _labels(dt.detect_language(test_rows, "text", detector))
     b = _labels(dt.detect_language(test_rows.repartition(7), "text", detector))
     assert a == b
-    extra = spark.createDataFrame([(-1, None, None), (-2, "", None)], test_rows.schema)
+    extra = spark.createDataFrame([(-1, None, None), (-2, "", None)], "doc_id LONG, text STRING, language STRING")
     c = _labels(dt.detect_language(test_rows.union(extra), "text", detector))
     assert {k: v for k, v in c.items() if k >= 0} == a
     assert c[-1] == c[-2] == "UNKNOWN"

@@ -70,3 +70,26 @@ def test_pieces_join_to_the_words_again(spark, trained, docs):
 def test_too_small_a_vocabulary_is_refused(docs):
     with pytest.raises(ValueError):
         sw.train_subwords(vo.word_counts(docs), 10)
+
+
+def test_training_twice_gives_equal_tables(spark):
+    from glotsieve.session import settle
+    from glotsieve.operators.subwords import train_subwords
+
+    words = [("".join("abcdeorstn"[(i * k + k) % 10] for k in range(2 + i % 9)), 1 + i % 13) for i in range(400)]
+    counts = settle(spark.createDataFrame(words, "word STRING, n LONG").repartition(7), "words")
+    again = settle(counts.repartition(3), "words")
+    tables = [sorted(map(tuple, train_subwords(c, 60, shrink=0.6).table.collect())) for c in (counts, again)]
+    assert tables[0] == tables[1] and len(tables[0]) == 60
+
+
+def test_seeds_of_a_very_long_word(spark):
+    import time
+
+    from glotsieve.operators.subwords import substring_counts
+
+    word = "abcdefghijklmnopqrst" * 1000
+    start = time.perf_counter()
+    counts = {r.piece: r.n for r in substring_counts(spark.createDataFrame([(word, 2)], "word STRING, n LONG")).collect()}
+    assert time.perf_counter() - start < 20
+    assert counts["a"] == 2000 and counts["tab"] == 2 * 999 and max(map(len, counts)) == 16
