@@ -107,7 +107,8 @@ def _final_plan(df):
 def test_texts_are_exchanged_once(test_rows, detector):
     plan = _final_plan(dt.label_texts(test_rows, "text", detector))
     by_text = [x for x in plan.splitlines() if "Exchange" in x and "hashpartitioning(_digest" in x]
-    assert sum("ReusedExchange" not in x for x in by_text) == 1
+    # texts once, and the narrow rows of those left unknown
+    assert sum("ReusedExchange" not in x for x in by_text) == 2
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan
 
