@@ -24,7 +24,8 @@ NO_PAIR = (1 << 31) - 1
 CACHED_PIECES = 200_000  # matches a task remembers
 CACHED_LENGTH = 64  # bytes of a match that is merged together with others
 AT_ONCE = 4_000
-PART_CHARS = 1_000_000
+PART_CHARS = 1_000_000  # of texts that are cut, merged and handed over at a time
+ROWS = 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -194,16 +195,18 @@ class Encoder:
             self.known = {p: self.known[p] for p in seen}
         return out
 
-    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of a column of texts, with the matches of some texts in memory at a time."""
-        out, part, size = [], [], 0
-        for text in texts:
-            part.append(text.as_py() or "")
-            size += len(part[-1])
-            if size > PART_CHARS:
-                out += self.encode(part)
-                part, size = [], 0
-        return out + self.encode(part)
+
+def _parts(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts of a batch in parts of bounded size, each made when it is asked for."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text.as_py() or "")
+        size += len(part[-1])
+        if size > PART_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def _lists(rows: list, kind: str) -> pa.Array:
@@ -237,7 +240,8 @@ class ByteBpe:
         def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = Encoder(ranks.value, pattern)
             for texts in batches:
-                yield _lists(encoder.encode_all(texts), "i4")
+                for part in _parts(texts):
+                    yield _lists(encoder.encode(part), "i4")
 
         return ids(text)
 
@@ -249,11 +253,30 @@ class ByteBpe:
         def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             table = dict(zip(ranks.value.values(), ranks.value))
             for rows in batches:
-                lists = ([] if row.values is None else row.values.to_pylist() for row in rows)
-                yield pa.array([b"".join(map(table.__getitem__, ids)) for ids in lists], pa.binary())
+                for at in range(0, len(rows), ROWS):
+                    part = rows.slice(at, ROWS)
+                    lists = ([] if row.values is None else row.values.to_pylist() for row in part)
+                    yield pa.array([b"".join(map(table.__getitem__, ids)) for ids in lists], pa.binary())
 
         return text(ids)
 
+    def both(self, text):
+        """Ids, and the bytes they decode to, in one pass of one worker."""
+        ranks, pattern = self.ranks, self.pattern
+
+        @F.arrow_udf("ids array<int>, decoded binary")
+        def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encoder = Encoder(ranks.value, pattern)
+            table = dict(zip(ranks.value.values(), ranks.value))
+            for texts in batches:
+                for part in _parts(texts):
+                    ids = encoder.encode(part)
+                    decoded = [b"".join(map(table.__getitem__, x.tolist())) for x in ids]
+                    columns = [_lists(ids, "i4"), pa.array(decoded, pa.binary())]
+                    yield pa.StructArray.from_arrays(columns, ["ids", "decoded"])
+
+        return coded(text)
+
 
 def encode_documents(docs: DataFrame, bpe: ByteBpe, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, decoded): token ids of every whole text, and the bytes they decode to.
@@ -261,5 +284,5 @@ def encode_documents(docs: DataFrame, bpe: ByteBpe, key: str = "doc_id", text: s
     One row for each row, repeated ones too. Null and empty texts have no ids
     and decode to no bytes. No row leaves its task, other columns are not read.
     """
-    coded = docs.select(F.col(key), bpe.encode(F.col(text)).alias("ids"))
-    return coded.withColumn("decoded", bpe.decode(F.col("ids")))
+    coded = docs.select(F.col(key), bpe.both(F.col(text)).alias("_coded"))
+    return coded.select(key, "_coded.ids", "_coded.decoded")

@@ -43,6 +43,8 @@ def test_documents(spark):
     for i, t in enumerate(texts):
         assert got[i].ids == KNOWN.encode_ordinary(t or "")
         assert bytes(got[i].decoded) == (t or "").encode()
+    apart = df.select("doc_id", bpe.decode(bpe.encode(df.text)).alias("decoded")).collect()
+    assert {(r.doc_id, bytes(r.decoded)) for r in apart} == {(i, bytes(r.decoded)) for i, r in got.items()}
     assert encode_documents(df.limit(0), bpe).count() == 0
     with pytest.raises(ValueError):
         ByteBpe(spark, PATH, public_tokenizers.PATTERN, max_ranks=10)
