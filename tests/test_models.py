@@ -170,7 +170,7 @@ def test_ngram_ranks_and_distances(spark):
             abs(ranks[g] - rank) if g in ranks else k for g, rank in expected[r.language].items()
         )
     keys = {r.key for r in ng.ngram_distance(df, "key", "text", templates).collect()}
-    assert keys == {0, 1, 3, 4}  # a text of two characters has no gram
+    assert keys == {0, 1, 2, 3, 4}  # a text of two characters lacks every gram
 
 
 def test_templates_are_limited_before_they_are_shuffled(spark, docs):
