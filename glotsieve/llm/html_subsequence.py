@@ -3,7 +3,10 @@
 A page is read as a row of tokens: words, tags, and whole boilerplate elements
 such as menus. Words score positive, tags and boilerplate negative, and one
 linear scan finds the contiguous run of tokens with the largest sum: the
-content region. Boilerplate inside it is left out of the text.
+content region. Boilerplate inside it is left out of the text. What an element
+is, or that it is hidden, makes it boilerplate; names of its class, role or id
+only make its words score negative, and only outside of ``<article>`` and
+``<main>``.
 
 Weights come from labelled pages, those with exactly one ``<article>`` or
 ``<main>``: the weight of a token is how much likelier it is inside than
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 2_000  # labelled pages the weights are taken from, at most
-WORD, OTHER = "word", "tag:other"
+WORD, HINTED, OTHER = "word", "word:hint", "tag:other"
 WORD_BOUNDS = (0.05, 1.0)
 TAG_BOUNDS = (-10.0, -0.02)
 #: weights without labelled pages
@@ -32,7 +35,11 @@ PLAIN_TAG = -1.0
 
 # Names of HTML elements
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "head"}
+#: of these, text is code; of the others it is read as text where the end tag is missing
+CODE = {"script", "style"}
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog"}
+#: inside an article or main element these head or end a part of it
+PARTS = {"header", "footer"}
 CONTENT = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {
@@ -47,7 +54,9 @@ INLINE = {
     "var", "wbr",
 }
 KNOWN = BLOCK | INLINE | VOID | BOILERPLATE | RAW | CONTENT
-#: words of class, id or role that mark boilerplate
+#: roles that say what ``nav`` and ``form`` do
+ROLES = {"menu", "navigation", "search", "toolbar"}
+#: names of class, id or role that speak for boilerplate
 HINTS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
     "contentinfo", "consent", "cookie", "cookies", "disqus", "footer", "menu", "nav", "navbar", "navigation",
@@ -56,20 +65,45 @@ HINTS = {
 }
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ENDS = re.compile(r"[>\"']")
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:$|[\s=/])|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: a slash at the end that is not of a value without quotes
+_CLOSED = re.compile(r"""(?:=\s*[^\s"'>]*)?/$""")
 _PART = re.compile(r"[^A-Za-z0-9]+")
 
 
-def is_boilerplate(name: str, attributes: str) -> bool:
+def attributes_of(given: str) -> dict[str, str]:
+    """Names, in lower case, and values; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(given):
+        found.setdefault(name.lower(), html.unescape(a or b or c))
+    return found
+
+
+def self_closed(attributes: str) -> bool:
+    end = _CLOSED.search(attributes[-200:])
+    return end is not None and not end.group().startswith("=")
+
+
+def is_boilerplate(name: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element is boilerplate by its name or role, or hidden."""
     if name in BOILERPLATE:
-        return True
+        return not (inside and name in PARTS)
     if name in CONTENT or name in ("body", "html") or not attributes:
         return False
-    if _HIDDEN.search(attributes):
+    if attributes.get("hidden", "until-found").lower() != "until-found":
+        return True
+    if attributes.get("aria-hidden", "").strip().lower() == "true":
         return True
-    found = " ".join(a or b or c for a, b, c in _MARKS.findall(attributes)).lower()
-    return not HINTS.isdisjoint(_PART.split(found))
+    return not ROLES.isdisjoint(attributes.get("role", "").lower().split())
+
+
+def is_hinted(name: str, attributes: dict[str, str]) -> bool:
+    """Whether a whole id, or a whole name of class or role, says boilerplate: all words of the name are hints."""
+    if name in CONTENT or name in ("body", "html"):
+        return False
+    names = [*attributes.get("class", "").lower().split(), *attributes.get("role", "").lower().split()]
+    names.append(attributes.get("id", "").strip().lower())
+    return any(parts and HINTS.issuperset(parts) for parts in ([p for p in _PART.split(n) if p] for n in names))
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -127,22 +161,26 @@ class Page:
         self.tokens: list[tuple[str, int, str | None, bool]] = []
         self.inside: list[bool] = []  # in an article or main element
         page = page or ""
-        stack: list[tuple[str, int]] = []  # open elements and boilerplate depth before each
+        stack: list[tuple[str, int, int]] = []  # open elements, and boilerplate and hint depth before each
         opened: Counter[str] = Counter()
-        depth = content = 0
+        open_ended: set[str] = set()  # raw elements without an end tag ahead
+        depth = hinted = content = 0
         last = skip = 0
         for start, end, name, closing, attributes in tags(page):
             if start < skip:
                 continue
             if start > last and not depth:
-                self._text(page[last:start], content)
+                self._text(page[last:start], content, hinted)
             last = end
             if not name:
                 continue
             if name in RAW and not closing:
-                # to its end tag; without one, to the end of the page, but for head
+                # to its end tag; without one, to the end of the page if the text is code
+                if name in open_ended or name == "svg" and self_closed(attributes):
+                    continue
                 close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, end)
-                if close is None and name == "head":
+                if close is None and name not in CODE:
+                    open_ended.add(name)
                     continue
                 stop = len(page) if close is None else page.find(">", close.start()) + 1
                 skip = last = stop or len(page)
@@ -151,9 +189,8 @@ class Page:
                 if name not in VOID and opened[name]:
                     was_in_boilerplate = depth > 0
                     while True:
-                        top, before = stack.pop()
+                        top, depth, hinted = stack.pop()
                         opened[top] -= 1
-                        depth = before
                         content -= top in CONTENT
                         if top == name:
                             break
@@ -162,29 +199,37 @@ class Page:
                 if not depth:
                     self._tag("/" + name, name, content)
                 continue
+            hint = False
             if name not in VOID:
-                stack.append((name, depth))
+                stack.append((name, depth, hinted))
                 opened[name] += 1
+                read = attributes_of(attributes) if attributes else {}
                 if name in CONTENT:
-                    depth = 0
-                elif is_boilerplate(name, attributes):
+                    depth = hinted = 0
+                elif is_boilerplate(name, read, content > 0):
                     if not depth:
                         kind = "boilerplate:" + (name if name in BOILERPLATE else "hint")
                         self._add(kind, 0, None, name in BLOCK, content)
                     depth += 1
+                elif not content and not depth and read and is_hinted(name, read):
+                    hint = True
+                    hinted += 1
             if not depth:
-                self._tag(name, name, content)
+                if hint:
+                    self._add("boilerplate:hint", 0, None, name in BLOCK, content)
+                else:
+                    self._tag(name, name, content)
                 content += name in CONTENT
         if len(page) > last and not depth:
-            self._text(page[last:], content)
+            self._text(page[last:], content, hinted)
 
     def _add(self, kind: str, words: int, text: str | None, ends: bool, content: int) -> None:
         self.tokens.append((kind, words, text, ends))
         self.inside.append(content > 0)
 
-    def _text(self, raw: str, content: int) -> None:
+    def _text(self, raw: str, content: int, hinted: int) -> None:
         text = html.unescape(raw)
-        self._add(WORD, len(text.split()), text, False, content)
+        self._add(HINTED if hinted else WORD, len(text.split()), text, False, content)
 
     def _tag(self, shown: str, name: str, content: int) -> None:
         kind = f"tag:{shown}" if name in KNOWN else OTHER
@@ -197,7 +242,7 @@ class Page:
         found: dict[str, list[int]] = {}
         for (kind, words, _, _), inside in zip(self.tokens, self.inside):
             edge = kind in ("tag:article", "tag:/article", "tag:main", "tag:/main")
-            found.setdefault(kind, [0, 0])[0 if inside and not edge else 1] += words if kind == WORD else 1
+            found.setdefault(kind, [0, 0])[0 if inside and not edge else 1] += words if kind in (WORD, HINTED) else 1
         return found
 
     def region(self, weights: dict[str, float]) -> tuple[int, int]:
@@ -207,7 +252,10 @@ class Page:
         word = weights.get(WORD, 1.0)
         other = weights.get(OTHER, PLAIN_TAG)
         for i, (kind, words, _, _) in enumerate(self.tokens):
-            total += word * words if kind == WORD else weights.get(kind, other)
+            if kind == WORD:
+                total += word * words
+            else:
+                total += weights.get(kind, other) * (words if kind == HINTED else 1)
             if total <= 0:
                 total, start = 0.0, i + 1
             elif total > best:
@@ -216,6 +264,8 @@ class Page:
 
     def text(self, weights: dict[str, float]) -> str:
         first, past = self.region(weights)
+        if not past:  # all words are hinted at: they are the page
+            first, past = self.region({**weights, HINTED: weights.get(WORD, 1.0)})
         blocks, block = [], []
         for _, _, text, ends in self.tokens[first:past]:
             if ends:

@@ -44,6 +44,38 @@ def test_pages(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><h2 id="related-work">Related work</h2><p>a b</p></article>', "Related work\n\na b"),
+        ('<article><section id="search-algorithms"><p>a b c</p></section></article>', "a b c"),
+        ('<h3 id="social-science">Social science</h3><p>a b c</p>', "Social science\n\na b c"),
+        ('<article><div class="comments share"><p>a b c</p></div></article>', "a b c"),
+        ('<article><header><h1>The title</h1></header><p>a b</p><nav>no</nav><div role="navigation">no</div><form>no</form></article>', "The title\n\na b"),
+        ('<a href="/show?id=search">some words</a> here again', "some words here again"),
+        ('<p data-id="search" data-class=nav>words here</p>', "words here"),
+        ('<p title="id=search">words here</p>', "words here"),
+        ('<p title="The hidden valley">words here</p>', "words here"),
+        ('<p title=\'aria-hidden="true"\'>words here</p>', "words here"),
+        ('<p>no title <title>yes yes</p><p>end', "no title yes yes\n\nend"),
+        ('<p>a <svg class="x"/> b</p><p>c <svg/>d</p>', "a b\n\nc d"),
+        ("<p>a <svg><path d=x/>no</svg> b</p>", "a b"),
+        ("<p>a b</p><script>var never = closed", "a b"),
+        ("<svg><p>a b<template><p>c d", "a b\n\nc d"),
+        ('<div class="widget"><p>all of the page</p></div>', "all of the page"),
+        ('<p>a b c d e f</p><div class="related">x y</div><p>g h i j k l m</p>', "a b c d e f\n\nx y\n\ng h i j k l m"),
+        ('<p>a b c d e f</p><div class="related">x y z x y z x y z</div>', "a b c d e f"),
+    ],
+)
+def test_no_name_deletes_words(page, text):
+    assert text_of(page) == text
+
+
+def test_raw_elements_without_end_are_linear():
+    for name in ("svg", "title", "head", "template"):
+        assert text_of(f"<{name}>x " * 60000).count("x") == 60000
+
+
 def test_region_is_the_maximum():
     """Against all runs of tokens."""
     rng = random.Random(5)
