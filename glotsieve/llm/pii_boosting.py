@@ -4,10 +4,15 @@ Patterns with a check (Luhn, range of parts, number of digits) give the base
 spans, and these always stay. Generators of high recall propose more spans,
 which may overlap: numbers of any shape as card, phone or address, and
 anything like an address around an at sign. Each candidate is described by
-its format and its context in a few small classes. Boosted trees learn from
-all candidates of the table which descriptions go with spans that pass the
-checks, and a threshold for each kind, calibrated on the other half of the
-texts, selects further spans that the checks miss, such as mistyped numbers.
+its format and its context in a few small classes. What makes a span one of the
+base is hidden from the description: a leading plus, and whether an address is
+written with an at sign or with ``(at)`` and ``(dot)``. So base spans stand for
+what they are without these marks, and words that announce a number or an
+address speak for it as well, see ``targets``. Boosted trees learn from all
+candidates of the table which descriptions go with personal data, and a
+threshold for each kind, calibrated on the other half of the texts, selects
+further spans that the checks miss: national numbers, spelled-out addresses,
+mistyped cards.
 
 What training gathers is one row for each description met, whose number is
 bounded by the product of the classes, whatever the size of the table.
@@ -46,18 +51,27 @@ _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 IP_CHECK = rf"^{_PART}(?:\.{_PART}){{3}}$"
 #: what the generators propose: numbers, and words around an at sign
 NUMBER = r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])++"
-AT = r"(?:\G|(?<![\w.%+-]))[\w.%+-]++\s?(?:@|\(at\)|\[at\])\s?[\w-]++(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]++)*+"
+AT = r"(?:\G|(?<![\w.%+-]))[\w.%+-]++\s?(?:@|\(at\)|\[at\])\s?[\w-]++(?:(?:\s?(?:\(dot\)|\[dot\])\s?|\s\.\s|\.)[\w-]++)*+"
 
 #: (name, number of classes) of a description
 CLASSES = (
     ("kind", 4), ("size", 8), ("groups", 4), ("marks", 4), ("gaps", 4), ("left", 4), ("right", 3), ("context", 5),
 )
 CONTEXTS = (
-    r"(?i)(?:tel|phone|call|fax|mobile|cell|whatsapp)[^0-9]{0,12}$",
-    r"(?i)(?:mail|contact|write|reach)[^0-9]{0,12}$",
-    r"(?i)(?:card|visa|credit|payment|account|iban)[^0-9]{0,12}$",
+    r"(?i)(?<!\p{L})(?:tel|phone|call|fax|mobile|cell|whatsapp)[^0-9]{0,12}$",
+    r"(?i)(?<!\p{L})(?:e?mail|contact|write|reach)[^0-9]{0,12}$",
+    r"(?i)(?<!\p{L})(?:card|visa|credit|payment|account|iban)[^0-9]{0,12}$",
     r"(?i)(?:token|version|id|no|nr|key|order|invoice|date|=|#|\")[^0-9]{0,4}$",
 )
+#: the last context, where nothing but such a word stands between a number and the words before
+NAMED = r"(?i)(?<!\p{L})(?:token|version|id|key|order|invoice|date)(?:\s(?:no|nr|number|id))?[^0-9\p{L}]{0,4}$"
+#: days and ranges of years
+_YEAR, _MONTH, _DAY = "(?:19|20)[0-9]{2}", "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12][0-9]|3[01])"
+DATE = (
+    rf"^(?:{_YEAR}[ .-]{{1,2}}{_MONTH}[ .-]{{1,2}}{_DAY}|(?:{_DAY}[ .-]{{1,2}}{_MONTH}|{_MONTH}[ .-]{{1,2}}{_DAY})[ .-]{{1,2}}{_YEAR})(?:[ .-]{{1,2}}[0-9]{{1,2}})?$"
+    rf"|^{_YEAR}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])$|^{_YEAR} ?- ?{_YEAR}$"
+)
+FULL = rf"^{_LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}$"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -161,17 +175,23 @@ def _cut(value: Column, borders: tuple[int, ...]) -> Column:
 
 
 def describe(kind: Column, s: Column) -> Column:
-    """Classes of a candidate: format of the span, character on each side, words before."""
-    span, before, after = s["span"], s["before"], s["after"]
+    """Classes of a candidate: format of the span, character on each side, words before.
+
+    Addresses are described as if written with an at sign and dots, numbers as
+    if without a plus. ``marks`` tell addresses in full, and dates (1) and
+    numbers with a bracket (2).
+    """
+    before, after = s["before"], s["after"]
     is_email = kind == 0
+    signs = F.regexp_replace(s["span"], r"\s?[(\[]at[)\]]\s?", "@")
+    span = F.when(is_email, F.regexp_replace(signs, r"\s?[(\[]dot[)\]]\s?", ".")).otherwise(s["span"])
     n = F.length(digits(span))
     size = F.when(is_email, _cut(F.length(span), (6, 9, 12, 16, 24, 40, 64))).otherwise(
         _cut(n, (7, 9, 12, 13, 16, 17, 20))
     )
     parts = F.length(F.regexp_replace(span, "[^ ().-]", ""))
-    plain = span.rlike(rf"^{_LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$")
-    marks = F.when(is_email, F.when(plain, 1).otherwise(0) + F.when(span.contains("@"), 2).otherwise(0)).otherwise(
-        F.when(span.startswith("+"), 1).otherwise(0) + F.when(span.contains("("), 2).otherwise(0)
+    marks = F.when(is_email, F.when(span.rlike(FULL), 1).otherwise(0)).otherwise(
+        F.when(span.rlike(DATE), 1).otherwise(0) + F.when(span.contains("("), 2).otherwise(0)
     )
     gaps = (
         F.when(span.contains(" ") & ~span.contains("."), 1)
@@ -186,6 +206,7 @@ def describe(kind: Column, s: Column) -> Column:
     context = F.lit(0)
     for i, words in reversed(list(enumerate(CONTEXTS))):
         context = F.when(before.rlike(words), i + 1).otherwise(context)
+    context = F.when(~is_email & before.rlike(NAMED), len(CONTEXTS)).otherwise(context)
     values = (kind, size, _cut(parts, (1, 3, 6)), marks, gaps, left, right, context)
     return F.struct(*[v.cast("int").alias(name) for v, (name, _) in zip(values, CLASSES)])
 
@@ -303,11 +324,30 @@ def calibrate(model: Boosted, x: np.ndarray, good: np.ndarray, bad: np.ndarray,
                 model.least[kind] = score - 1e-9  # sums in another order may differ by less
 
 
+def targets(x: np.ndarray, base: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Good and bad counts of each description, from those of base spans and of other candidates.
+
+    Base spans are good. So are other candidates that words announce as what
+    they are: phones that are no dates, cards of 13 to 19 digits, addresses in
+    full. Addresses in full and phones with a bracket that nothing announces
+    may be either and do not count; all else is bad.
+    """
+    of = {name: x[:, i] for i, (name, _) in enumerate(CLASSES)}
+    kind, marks, context = of["kind"], of["marks"], of["context"]
+    full = (kind == 0) & (marks == 1)
+    card = (kind == 2) & (of["size"] >= 3) & (of["size"] <= 6) & (marks % 2 == 0)
+    phone = (kind == 3) & (marks % 2 == 0)
+    good = full & (context == 2) | card & (context == 3) | phone & (context == 1)
+    open_ = ~good & (full | phone & (marks == 2) & (context < 3))
+    return base + np.where(good, other, 0), np.where(good | open_, 0, other)
+
+
 def fit(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> Boosted:
     """Trees and thresholds from all candidates of a table.
 
-    A candidate counts as good if it is a base span of its kind. Trees come
-    from the texts of one half of the hash range, thresholds from the other.
+    Candidates are counted by description, apart if they are base spans of
+    their kind; ``targets`` says which are good. Trees come from the texts of
+    one half of the hash range, thresholds from the other.
     The grouped counts are collected: 122,880 descriptions at most by half.
     """
     given = F.coalesce(F.col(text), F.lit(""))
@@ -319,16 +359,17 @@ def fit(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> Bo
         "c",
         lambda c: F.struct(
             c["d"].alias("d"),
-            F.exists(F.get(F.col("base"), c["d"]["kind"]), lambda b: (b["start"] == c["start"]) & (b["end"] == c["end"])).alias("good"),
+            F.exists(F.get(F.col("base"), c["d"]["kind"]), lambda b: (b["start"] == c["start"]) & (b["end"] == c["end"])).alias("base"),
         ),
     )
     rows = rows.select("half", F.inline(marked))
     counts = rows.groupBy("half", *[f"d.{n}" for n, _ in CLASSES]).agg(
-        F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
+        F.count_if("base").alias("n_base"), F.count_if(~F.col("base")).alias("n_other")
     )
     found = np.array([tuple(int(v) for v in r) for r in counts.collect()], np.int64).reshape(-1, len(CLASSES) + 3)
     found = found[np.lexsort(found.T[::-1])]
-    x, good, bad = found[:, 1:-2], found[:, -2].astype(float), found[:, -1].astype(float)
+    x = found[:, 1:-2]
+    good, bad = targets(x, found[:, -2].astype(float), found[:, -1].astype(float))
     learn = found[:, 0] == 1
     model = boost(x[learn], good[learn], bad[learn])
     calibrate(model, x[~learn], good[~learn], bad[~learn], precision)

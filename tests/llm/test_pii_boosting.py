@@ -94,6 +94,27 @@ def test_boosting_adds_what_checks_miss(spark):
         assert [s for s in r.spans if s in r.base] == r.base
 
 
+def test_boosting_adds_national_numbers_and_spelled_out_addresses(spark):
+    """None of them is a base span; order numbers, dates and sentences around an at stay."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows, wanted = [], {}
+    for i in range(4000):
+        national = rng.choice([f"030 {some(7)}", f"0{some(9)}", f"(030) {some(3)}-{some(4)}", f"555-{some(3)}-{some(4)}"])
+        spelled = rng.choice([f"ann{i} (at) host{i % 7} (dot) com", f"bo{i}[at]a{i % 5}.example"])
+        date, order = f"20{rng.randint(10, 24)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", some(rng.choice([8, 10, 11]))
+        lines = [f"Tel. +49 30 {some(7)} or mail u{i}@a.example.", f"Order {order} of {date} came.", f"Look (at) this. Then {some(8)} of {date}."]
+        if i % 3 == 0:  # a third of what is announced is not of the base
+            lines += [f"Phone: {national}. Write to {spelled}. So be it."]
+            wanted[i] = {("phone", national), ("email", spelled)}
+        rng.shuffle(lines)
+        rows.append((i, " ".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pb.personal_data(docs, pb.fit(docs), keep=("text",)).collect():
+        more = {(pb.KINDS[s.kind], r.text[s.start : s.end]) for s in r.spans if s not in r.base}
+        assert more == wanted.get(r.doc_id, set()), r.text
+
+
 def test_scores_agree():
     rng = np.random.default_rng(3)
     x = np.stack([rng.integers(0, n, 400) for _, n in pb.CLASSES], axis=1)
