@@ -57,8 +57,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    found = wu_manber.benchmark_overlaps(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS[1:])
-    return _columns(found.filter(F.size("items") == 0))
+    found = wu_manber.benchmark_overlaps(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS[1:], unnamed=True)
+    return _columns(found.filter(F.size("spans") == 0))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

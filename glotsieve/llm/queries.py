@@ -68,7 +68,7 @@ def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wu_manber.benchmark_overlaps(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True
     )
     hits = wu_manber.hit_words(F.col("spans"))
     return found.select(

@@ -81,8 +81,8 @@ class Shifts:
 class Patterns:
     """All windows of some items, in classes by length, with the items each stands for."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
-        self.items: dict[bytes, list[str]] = defaultdict(list)
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW):
+        self.items: dict[bytes, list[str | None]] = defaultdict(list)
         for item, text in items:
             for w in windows(text, size):
                 self.items[w].append(item)
@@ -91,7 +91,7 @@ class Patterns:
             classes[min(len(w).bit_length(), 6)].append(w)
         self.classes = [Shifts(strings) for strings in classes.values()]
 
-    def find(self, text: bytes) -> tuple[list[tuple[int, int]], set[str]]:
+    def find(self, text: bytes) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Byte ranges that any window covers, merged, and the items found."""
         ranges, found = [], set()
         for shifts in self.classes:
@@ -149,7 +149,7 @@ def scan(patterns, text, found=None):
         return {
             "n_words": max(0, words.count(b" ") - 1),
             "spans": [{"first": a, "past": b} for a, b in spans],
-            "items": sorted(items),
+            "items": sorted(items, key=lambda i: (i is None, i or "")),
         }
 
     if found is None:
@@ -167,14 +167,14 @@ def scan(patterns, text, found=None):
     return again(text, found)
 
 
-def _parts(items: DataFrame, item_key: str, item_text: str, part_bytes: int) -> list[list[tuple[str, str]]]:
+def _parts(items: DataFrame, item_key: str, item_text: str, part_bytes: int, unnamed: bool) -> list[list[tuple[str | None, str]]]:
     """The items in parts of about ``part_bytes``, so that each pass broadcasts a bounded table."""
     given = items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text"))
-    given = given.filter("text is not null and item is not null")
+    given = given.filter("text is not null" if unnamed else "text is not null and item is not null")
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // part_bytes + 1
     return [
-        [(r.item, r.text) for r in given.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == i).toLocalIterator()]
+        [(r.item, r.text) for r in given.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).toLocalIterator()]
         for i in range(n)
     ]
 
@@ -189,14 +189,16 @@ def benchmark_overlaps(
     size: int = WINDOW,
     part_bytes: int = PART_BYTES,
     keep: tuple[str, ...] = (),
+    unnamed: bool = False,
 ) -> DataFrame:
     """(key, *keep, n_words, spans, items), one row for each document.
 
     ``spans`` are the word ranges inside any occurrence of a window of an item,
     in order and apart from each other; ``items`` the ids, as strings and
     sorted, of the items with a window in the text. A null or empty text has no
-    words. An item without words, or without an id, has no window; one of fewer
-    words than ``size`` is one window. Items with equal windows are all named,
+    words. An item without words has no window, and one without an id has none
+    unless ``unnamed``; then its windows are in ``spans`` and all such items
+    are one null in ``items``, the last. One of fewer words than ``size`` is one window. Items with equal windows are all named,
     and repeated items once. Texts are searched whole, within their task: no
     shuffle. Items beyond ``part_bytes`` take further passes, each over a
     settled table, so that a broadcast never grows with the items.
@@ -204,7 +206,7 @@ def benchmark_overlaps(
     spark = docs.sparkSession
     out = docs.select(F.struct(key, *keep).alias("_row"), F.col(text).alias("_text"))
     found = None
-    for k, part in enumerate(_parts(items, item_key, item_text, part_bytes)):
+    for k, part in enumerate(_parts(items, item_key, item_text, part_bytes, unnamed)):
         patterns = spark.sparkContext.broadcast(Patterns(part, size))
         if k:
             out = settle(out, "overlaps")

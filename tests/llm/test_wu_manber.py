@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from conftest import DATA
@@ -62,6 +64,29 @@ def test_empty_tables(spark):
     assert benchmark_overlaps(docs.limit(0), none).count() == 0
 
 
+def test_items_without_an_id(spark, tmp_path):
+    """Their words are hits, as in the SQL, and documents that hold them leave the pipeline."""
+    import corpus_pipeline as cp
+
+    lines = [" ".join(f"w{k}x{i}" for i in range(14)) for k in range(4)]
+    texts = [f"so {lines[0]} on", lines[1], f"{lines[0]} {lines[2]} {lines[1]}", lines[3], None]
+    docs = pa.table({"doc_id": range(5), "text": texts, "lang": ["en"] * 5, "source": ["s"] * 5, "n_chars": [1] * 5})
+    items = pa.table({"item_id": pa.array([None, 7, None], pa.int64()), "text": lines[:3]})
+    pq.write_table(docs, tmp_path / "documents.parquet")
+    pq.write_table(items, tmp_path / "benchmark.parquet")
+    folder = str(tmp_path)
+    rows = {r.doc_id: r for r in queries.op8_wu_manber(spark, folder).collect()}
+    assert [(rows[i].n_hit, rows[i].n_items, rows[i].contaminated) for i in range(5)] == [
+        (14, 1, True), (14, 1, True), (42, 2, True), (0, 0, False), (0, 0, False)
+    ]
+    db = connect(folder)
+    assert differences(queries.op8_wu_manber(spark, folder), db, queries.SQL["op8_wu_manber"]) is None
+    kept = cp.decontamination(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4]
+    parts = benchmark_overlaps(spark.createDataFrame(docs.to_pandas()), spark.read.parquet(f"{folder}/benchmark.parquet"), part_bytes=60, unnamed=True)
+    assert {r.doc_id: len(r["items"]) for r in parts.collect()} == {i: rows[i].n_items for i in range(5)}
+
+
 def test_queries(spark):
     db = connect(DATA)
     for name in ("op5_url_trie", "op8_wu_manber"):
