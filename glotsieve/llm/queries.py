@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotsieve.llm import byte_bpe, embedding_tiles, hilbert, html_subsequence, ngram_jaccard, pii_boosting, quality_cnn, toxicity_ftrl, url_trie, wu_manber
+from glotsieve.llm import byte_bpe, embedding_tiles, hilbert, html_subsequence, ngram_jaccard, pii_boosting, quality_cnn, suffix_dedup, toxicity_ftrl, url_trie, wu_manber
 from glotsieve.llm.common import held_out, table
 
 QUALITY = 0.3  # texts scored below are rejected
@@ -97,6 +97,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -108,6 +120,7 @@ QUERIES = {
     "op8_wu_manber": op8_wu_manber,
     "op9_html_subsequence": op9_html_subsequence,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_suffix_dedup": op11_suffix_dedup,
 }
 
 SQL: dict[str, str] = {}
@@ -212,3 +225,34 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+SQL["op11_suffix_dedup"] = """
+WITH given AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS w, substr(h, 2 * i + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 50)) AS i FROM given WHERE length(h) >= 100)
+), firsts AS (
+  SELECT w, s, min(doc_id) AS low FROM windows GROUP BY w, s
+), gone AS (
+  SELECT DISTINCT doc_id, i FROM windows JOIN firsts USING (w, s) WHERE low < doc_id
+), edges AS (
+  SELECT doc_id, i AS a, i + 50 AS b,
+         coalesce(i > max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new
+  FROM gone
+), spans AS (
+  SELECT doc_id, min(a) AS a, max(b) AS b
+  FROM (SELECT doc_id, a, b, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM edges) GROUP BY doc_id, k
+), gaps AS (
+  SELECT doc_id, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k, a
+  FROM spans
+), kept AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+         string_agg(CASE WHEN k = 1 THEN substr(h, 1, 2 * a) ELSE '' END
+           || substr(h, 2 * b + 1, 2 * (coalesce(next, length(h) // 2) - b)), '' ORDER BY k) AS rest
+  FROM gaps JOIN given USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM given LEFT JOIN kept USING (doc_id)
+"""
