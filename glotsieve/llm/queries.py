@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotsieve.llm import byte_bpe, embedding_tiles, hilbert, html_subsequence, ngram_jaccard, pii_boosting, quality_cnn, suffix_dedup, toxicity_ftrl, url_trie, wu_manber
+from glotsieve.llm import byte_bpe, embedding_tiles, hilbert, html_subsequence, merkle_manifest, ngram_jaccard, pii_boosting, quality_cnn, suffix_dedup, toxicity_ftrl, url_trie, wu_manber
 from glotsieve.llm.common import held_out, table
 
 QUALITY = 0.3  # texts scored below are rejected
@@ -109,6 +109,26 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    given = [F.col(c) for c in merkle_manifest.COLUMNS]
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle_manifest.COLUMNS]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    presented = F.when(tampered, merkle_manifest.digest(changed)).otherwise(merkle_manifest.digest(given))
+    proofs = merkle_manifest.prove(merkle_manifest.build(docs, carry={"presented": presented}))
+    text = lambda c: F.lower(F.hex(c))
+    folded = merkle_manifest.folded("presented", "steps", "siblings")
+    return proofs.select("*", folded.alias("folded")).select(
+        F.col("key").alias("doc_id"),
+        text("leaf").alias("leaf"),
+        text("subroot").alias("subroot"),
+        text("root").alias("root"),
+        F.sha2(F.concat_ws("", F.transform("siblings", text)), 256).alias("proof_sha256"),
+        text("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -121,6 +141,7 @@ QUERIES = {
     "op9_html_subsequence": op9_html_subsequence,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = {}
@@ -256,3 +277,66 @@ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_re
        sha256(unhex(coalesce(rest, h))) AS kept_sha256
 FROM given LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op13_merkle_manifest"] = """
+WITH RECURSIVE entries(i, k, v) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM entries WHERE k < 8
+), crc(doc_id, s, k, v) AS (
+  SELECT doc_id, doc_id::VARCHAR, 0, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, s, crc.k + 1, xor(crc.v >> 8, entries.v)
+  FROM crc JOIN entries ON entries.k = 8 AND entries.i = xor(crc.v & 255, ascii(substr(s, crc.k + 1, 1)))
+  WHERE crc.k < length(s)
+), tampered AS (
+  SELECT doc_id FROM crc WHERE k = length(s) AND xor(v, 4294967295) % 7 = 0
+), parts AS (
+  SELECT doc_id, lang,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS n,
+    coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS n1,
+    coalesce(strlen(text) || ':' || text, '-') AS t
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, sha256(a || n || t) AS leaf,
+    sha256(a || CASE WHEN doc_id IN (SELECT doc_id FROM tampered) THEN n1 ELSE n END || t) AS shown,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n
+  FROM parts
+), low(lang, k, place, hash, n) AS (
+  SELECT lang, 0, place, leaf, n FROM leaves
+  UNION ALL
+  SELECT lang, k + 1, place // 2, sha256(string_agg(hash, '' ORDER BY place)), (n + 1) // 2
+  FROM low WHERE n > 1 GROUP BY lang, k, place // 2, n
+), subroots AS (
+  SELECT lang, hash, k AS height, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+  FROM low WHERE n = 1
+), high(k, place, hash, n) AS (
+  SELECT 0, place, hash, n FROM subroots
+  UNION ALL
+  SELECT k + 1, place // 2, sha256(string_agg(hash, '' ORDER BY place)), (n + 1) // 2
+  FROM high WHERE n > 1 GROUP BY k, place // 2, n
+), root AS (
+  SELECT hash AS root, k AS top FROM high WHERE n = 1
+), steps AS (
+  SELECT doc_id, low.k, low.hash, low.place FROM leaves JOIN low
+    ON low.lang IS NOT DISTINCT FROM leaves.lang AND low.place = xor(leaves.place >> low.k, 1)
+  UNION ALL
+  SELECT doc_id, height + high.k, high.hash, high.place
+  FROM leaves JOIN subroots s ON s.lang IS NOT DISTINCT FROM leaves.lang JOIN high ON high.place = xor(s.place >> high.k, 1)
+), proofs AS (
+  SELECT doc_id, string_agg(hash, '' ORDER BY k) AS siblings FROM steps GROUP BY doc_id
+), folds(doc_id, k, hash, ends) AS (
+  SELECT doc_id, 0, shown, height + top FROM leaves JOIN subroots s ON s.lang IS NOT DISTINCT FROM leaves.lang, root
+  UNION ALL
+  SELECT f.doc_id, f.k + 1,
+    sha256(CASE WHEN s.hash IS NULL THEN f.hash WHEN s.place % 2 = 0 THEN s.hash || f.hash ELSE f.hash || s.hash END), ends
+  FROM folds f LEFT JOIN steps s ON s.doc_id = f.doc_id AND s.k = f.k WHERE f.k < ends
+)
+SELECT doc_id, leaf, s.hash AS subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folds.hash AS folded_root,
+       folds.hash = root AS verified
+FROM leaves JOIN subroots s ON s.lang IS NOT DISTINCT FROM leaves.lang LEFT JOIN proofs USING (doc_id)
+  JOIN folds USING (doc_id), root
+WHERE folds.k = folds.ends
+"""
