@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotsieve.llm import byte_bpe, embedding_tiles, hilbert, html_subsequence, merkle_manifest, ngram_jaccard, pii_boosting, quality_cnn, suffix_dedup, toxicity_ftrl, url_trie, wu_manber
+from glotsieve.llm import byte_bpe, embedding_tiles, hard_negatives, hilbert, html_subsequence, merkle_manifest, ngram_jaccard, pii_boosting, quality_cnn, suffix_dedup, toxicity_ftrl, url_trie, wu_manber
 from glotsieve.llm.common import held_out, table
 
 QUALITY = 0.3  # texts scored below are rejected
@@ -109,6 +109,11 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     given = [F.col(c) for c in merkle_manifest.COLUMNS]
@@ -141,6 +146,7 @@ QUERIES = {
     "op9_html_subsequence": op9_html_subsequence,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -278,6 +284,27 @@ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM given LEFT JOIN kept USING (doc_id)
 """
 
+SQL["op12_hard_negatives"] = """
+WITH given AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM given a JOIN given b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+), positives AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.other AS positive_id, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
 SQL["op13_merkle_manifest"] = """
 WITH RECURSIVE entries(i, k, v) AS (
   SELECT i, 0, i::BIGINT FROM range(256) r(i)
