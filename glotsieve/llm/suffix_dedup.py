@@ -14,8 +14,8 @@ that of the smallest key it starts in.
    the smallest key. A shard is sorted by induced sorting, the lengths that
    neighbours in the array have in common are computed in text order, and a
    run of at least ``length`` is one passage: its smallest key is found there.
-   A shard that is too large for a task (one gram in too many different
-   pieces) is cut further by the smallest of longer grams.
+   A piece without another one of its gram has nothing to share with. Pieces of
+   a gram that very many have are dealt by the smallest of longer grams too.
 3. Keys go back to the places of the pieces by a join, and every document
    drops the bytes that a passage of a smaller key covers.
 
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +40,10 @@ from glotsieve.session import settle
 
 LENGTH = 50
 GRAM = 20
-PACK = 1 << 20  # bytes hashed at a time
+PACK = 1 << 16  # bytes hashed at a time
 AT_ONCE = 1 << 21  # pieces a task gathers before it hands them over
 BUCKET = 16 << 20  # bytes of text whose grams meet in one group
-SHARD = 4 << 20  # bytes of pieces in a shard
+SHARD = 2 << 20  # bytes of pieces in a shard
 OFTEN = 2048  # pieces of one gram that count as very many, at least
 GRAMS = 4_000_000  # at most so many grams of very many pieces, whatever the size of the corpus
 LOCAL = 8  # pieces of one gram in what a task gathers that are counted
@@ -54,32 +55,38 @@ _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256).astype(np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
-
-
-def gram_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """Polynomial hashes of all grams of the given sizes, by doubling."""
-    level, width = _BYTE[data], 1
-    found: list[np.ndarray | None] = [None] * len(sizes)
-    widths = [0] * len(sizes)
-    while True:
-        for k, size in enumerate(sizes):
-            if size & width:
-                if found[k] is None:
-                    found[k] = level[: max(0, len(data) - width + 1)]
-                else:
-                    # the new part follows the one at hand
-                    a = found[k]
-                    n = max(0, len(data) - widths[k] - width + 1)
-                    found[k] = a[:n] * np.uint64(pow(_ODD, width, 1 << 64)) + level[widths[k] : widths[k] + n]
-                widths[k] += width
-        if width * 2 > max(sizes):
-            return found
-        n = max(0, len(level) - width)
-        level = level[:n] * np.uint64(pow(_ODD, width, 1 << 64)) + level[width : width + n]
-        width *= 2
+    h = h ^ (h >> np.uint64(29))
+    h *= np.uint64(0x7FB5D329728EA185)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+class Grams:
+    """Polynomial hashes of grams of any size, from those of sizes that are powers of two."""
+
+    def __init__(self, data: np.ndarray):
+        self.levels = [_BYTE[data]]
+
+    def level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, width = self.levels[-1], 1 << (len(self.levels) - 1)
+            n = max(0, len(last) - width)
+            longer = last[:n] * np.uint64(pow(_ODD, width, 1 << 64))
+            longer += last[width : width + n]
+            self.levels.append(longer)
+        return self.levels[k]
+
+    def at(self, size: int, places: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the grams at the given places, or of all."""
+        out, width = None, 0
+        n = max(0, len(self.levels[0]) - size + 1)
+        for k in range(size.bit_length() - 1, -1, -1):
+            if size >> k & 1:
+                level = self.level(k)
+                part = level[width : width + n] if places is None else level[places + width]
+                out = part if out is None else out * np.uint64(pow(_ODD, 1 << k, 1 << 64)) + part
+                width += 1 << k
+        return out
 
 
 def _smallest(h: np.ndarray, width: int) -> np.ndarray:
@@ -90,48 +97,74 @@ def _smallest(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - have)], h[width - have :]) if have < width else h
 
 
+def _each(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of the given sizes: the group of every member, and its number there."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 class Pieces:
-    """Pieces of some texts: gram hash, content hash, place and number of passages."""
+    """Pieces of some texts: hash of the smallest gram, place and number of passages."""
 
     def __init__(self, texts: list[bytes], length: int, gram: int):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.length, ends = length, np.cumsum(sizes)
+        self.length, self.gram, ends = length, gram, np.cumsum(sizes)
+        self.starts, self.ends, self.grams = ends - sizes, ends, Grams(self.data)
         n = len(self.data) - length + 1
         if n < 1:
-            self.key = self.content = np.empty(0, np.uint64)
-            self.at = self.count = self.owner = self.place = np.empty(0, np.int64)
+            self.key, self.at, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
             return
-        grams, whole = gram_hashes(self.data, (gram, length))
-        self.whole = whole
-        least = _smallest(_mix(grams), length - gram + 1)
-        # passages lie within one text
-        change = np.zeros(n + 1, np.int32)
-        np.add.at(change, np.minimum(np.maximum(ends - sizes, ends - length + 1), n), 1)
-        np.add.at(change, np.minimum(ends, n), -1)
-        inside = np.cumsum(change[:-1]) == 0
-        new = np.ones(n, bool)
-        new[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
-        starts = np.flatnonzero(new & inside)
-        past = np.flatnonzero(np.append(new[1:] | ~inside[1:], True) & inside) + 1
+        least = _smallest(_mix(self.grams.at(gram)), length - gram + 1)
+        # a piece ends where the smallest gram changes, and where passages would run out of a text
+        new = np.empty(n + 1, bool)
+        new[0] = new[n] = True
+        np.not_equal(least[1:], least[:-1], out=new[1:n])
+        first, last = np.minimum(self.starts, n), np.clip(ends - length + 1, 0, n)
+        new[first] = new[last] = True
+        edges = np.flatnonzero(new)
+        start, past = edges[:-1], edges[1:]
+        inside = start < np.maximum(last, first)[np.searchsorted(ends, start, side="right")]
+        self._take(start[inside], past[inside], least[start[inside]])
+
+    def _take(self, start: np.ndarray, past: np.ndarray, key: np.ndarray) -> None:
         # a gram that recurs in a text of short period may go on; the ends of a piece hash all of it
-        most = min(length, length - gram + 1)
-        extra = (past - starts - 1) // most
-        if extra.any():
-            which = np.repeat(np.arange(len(starts)), extra + 1)
-            part = np.arange(len(which)) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1)
-            starts, past = starts[which] + part * most, np.minimum(starts[which] + (part + 1) * most, past[which])
-        self.at, self.count, self.key = starts, past - starts, least[starts]
-        self.content = _mix(whole[starts] * np.uint64(_ODD) + whole[past - 1] + self.count.astype(np.uint64))
-        self.owner = np.searchsorted(ends, starts, side="right")
-        self.place = starts - (ends - sizes)[self.owner]
+        most = min(self.length, self.length - self.gram + 1)
+        if len(start) and (past - start).max() > most:
+            which, part = _each(-(-(past - start) // most))
+            key, start, past = key[which], start[which] + part * most, np.minimum(start[which] + (part + 1) * most, past[which])
+        self.at, self.count, self.key = start, past - start, key
+
+    def owners(self, some: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, self.at[some], side="right")
+
+    def content(self, some: np.ndarray) -> np.ndarray:
+        """Hash of the bytes of pieces, from those of the first and the last passage."""
+        at, count = self.at[some], self.count[some]
+        first, last = (self.grams.at(self.length, x) for x in (at, at + count - 1))
+        return _mix(first * np.uint64(_ODD) + last + count.astype(np.uint64))
+
+    def finer(self, some: np.ndarray, gram: int) -> Pieces:
+        """The given pieces, cut by the smallest of longer grams as well."""
+        width = self.length - gram + 1
+        which, place = _each(self.count[some] + width - 1)
+        least = _smallest(_mix(self.grams.at(gram, self.at[some][which] + place)), width)
+        inside = (place < self.count[some][which])[: len(least)]
+        which, place, least = which[: len(least)][inside], place[: len(least)][inside], least[inside]
+        new = np.append(True, (which[1:] != which[:-1]) | (least[1:] != least[:-1])) if len(which) else np.empty(0, bool)
+        start = np.flatnonzero(new)
+        at = self.at[some][which[start]] + place[start]
+        out = Pieces.__new__(Pieces)
+        out.__dict__.update(self.__dict__)
+        out._take(at, at + np.diff(np.append(start, len(which))), _mix(self.key[some][which[start]] ^ least[start]))
+        return out
 
     def bytes_of(self, some: np.ndarray) -> pa.Array:
         sizes = self.count[some] + self.length - 1
+        which, place = _each(sizes)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        index = np.repeat(self.at[some] - ends[:-1], sizes) + np.arange(ends[-1])
         return pa.Array.from_buffers(
-            pa.binary(), len(some), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(self.data[index])]
+            pa.binary(), len(some), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(self.data[self.at[some][which] + place])]
         )
 
 
@@ -217,8 +250,8 @@ def _grams(often, length: int, gram: int, bits: int):
         found, held = [], 0
         for given, pieces in _packs(batches, length, gram):
             ids = np.array([row[1] for row in given], np.int64)
-            some = ~_is_among(pieces.key, often.value)
-            found.append((_cut(pieces.key[some], bits), ids[pieces.owner[some]]))
+            some = np.flatnonzero(~_is_among(pieces.key, often.value))
+            found.append((_cut(pieces.key[some], bits), ids[pieces.owners(some)]))
             held += len(found[-1][0])
             if held > AT_ONCE:
                 yield rows(found)
@@ -229,27 +262,43 @@ def _grams(often, length: int, gram: int, bits: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Grams of a bucket that documents of different keys have, by key."""
-    bucket = table["bucket"][0].as_py()
-    join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
-    cut = join("low", np.uint32).astype(np.int64) | join("high", np.uint8).astype(np.int64) << 32 | bucket << LOW_BITS
-    ids = np.concatenate([x.values.to_numpy() for x in table["ids"]])
-    ids = np.repeat(ids, join("counts", np.uint32))
-    order = np.argsort(cut, kind="stable")
-    cut, ids = cut[order], ids[order]
-    first = np.flatnonzero(np.diff(cut, prepend=-1))
-    lowest, highest = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
-    some = np.repeat(lowest < highest, np.diff(np.append(first, len(cut))))
-    cut, ids = cut[some], ids[some]
+def _shared(groups: int):
+    """Grams of a bucket that documents of different keys have, a row for each group of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
+        cut = join("low", np.uint32).astype(np.int64) | join("high", np.uint8).astype(np.int64) << 32 | bucket << LOW_BITS
+        ids = np.concatenate([x.values.to_numpy() for x in table["ids"]])
+        ids = np.repeat(ids, join("counts", np.uint32))
+        order = np.argsort(cut, kind="stable")
+        cut, ids = cut[order], ids[order]
+        first = np.flatnonzero(np.diff(cut, prepend=-1))
+        lowest, highest = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
+        some = np.repeat(lowest < highest, np.diff(np.append(first, len(cut))))
+        cut, ids = cut[some], ids[some]
+        group = (_mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((ids, group))
+        cut, ids, group = cut[order], ids[order], group[order]
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        edges = pa.array(np.append(first, len(cut)), pa.int32())
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (ids, cut)]
+        return pa.table([pa.array(group[first]), *lists], ["part", "ids", "grams"])
+
+    return run
+
+
+def _by_key(table: pa.Table) -> pa.Table:
+    """The grams of every document of a group."""
+    ids, cut = (table[c].combine_chunks().flatten().to_numpy() for c in ("ids", "grams"))
     order = np.argsort(ids, kind="stable")
-    cut, ids = cut[order], ids[order]
-    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.empty(0, np.int64)
-    asked = pa.ListArray.from_arrays(pa.array(np.append(first, len(cut)), pa.int32()), pa.array(cut))
-    return pa.table({"key": pa.array(ids[first], pa.int64()), "grams": asked})
+    ids, cut = ids[order], cut[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(cut)), pa.int32()), pa.array(cut))
+    return pa.table([pa.array(ids[first]), lists], ["key", "grams"])
 
 
-def _ship(often, length: int, gram: int, bits: int):
+def _ship(often, length: int, gram: int, longer: int, bits: int):
     """Pieces of shared grams: a row for each place, and one with the bytes for each different piece of what is gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,22 +328,25 @@ def _ship(often, length: int, gram: int, bits: int):
 
         found, held = [], 0
         for given, pieces in _packs(batches, length, gram):
-            some = _is_among(pieces.key, often.value)
+            known = _is_among(pieces.key, often.value)
+            some = np.zeros(len(known), bool)
             asked = [(i, row[3]) for i, row in enumerate(given) if row[3] is not None]
             if asked:
                 which = np.repeat([i for i, _ in asked], [len(x) for _, x in asked]).astype(np.uint64)
                 grams = np.concatenate([np.array(x, np.int64) for _, x in asked]).view(np.uint64)
                 wanted = np.sort(_mix(grams + _mix(which + np.uint64(1))))
-                cut = _cut(pieces.key, bits).view(np.uint64)
-                some |= _is_among(_mix(cut + _mix(pieces.owner.astype(np.uint64) + np.uint64(1))), wanted)
-            some = np.flatnonzero(some)
-            if not len(some):
-                continue
-            owner = pieces.owner[some]
-            start, ids, digest = (np.array([row[k] for row in given], np.int64)[owner] for k in range(3))
-            found.append((pieces.content[some], pieces.key[some], ids, digest, start + pieces.place[some], pieces, some))
-            held += len(some)
-            if held > AT_ONCE // 8:
+                owner = pieces.owners(np.arange(len(known))).astype(np.uint64)
+                some = _is_among(_mix(_cut(pieces.key, bits).view(np.uint64) + _mix(owner + np.uint64(1))), wanted) & ~known
+            for part in (pieces, pieces.finer(np.flatnonzero(known), longer)):
+                some = np.flatnonzero(some) if part is pieces else np.arange(len(part.at))
+                if not len(some):
+                    continue
+                owner = part.owners(some)
+                start, ids, digest = (np.array([row[k] for row in given], np.int64)[owner] for k in range(3))
+                place = start + part.at[some] - part.starts[owner]
+                found.append((part.content(some), part.key[some], ids, digest, place, part, some))
+                held += len(some)
+            if held > AT_ONCE // 4:
                 yield rows(found)
                 found, held = [], 0
         if found:
@@ -321,9 +373,7 @@ def passages(pieces: list[bytes], keys: np.ndarray, length: int) -> tuple[np.nda
     least = np.minimum.reduceat(keys[owner[order]], first)
     of_text = np.empty(len(text), np.int64)
     of_text[order] = np.repeat(least, np.diff(np.append(first, len(text))))
-    count = np.maximum(sizes - length + 1, 0)
-    which = np.repeat(np.arange(m), count)
-    place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    which, place = _each(np.maximum(sizes - length + 1, 0))
     return which, place, of_text[(ends - sizes - 1)[which] + place]
 
 
@@ -332,8 +382,15 @@ def _sort_shard(length: int):
         content, ids = table["content"].to_numpy(), table["key"].to_numpy()
         order = np.lexsort((ids, content))
         first = order[np.flatnonzero(np.append(True, content[order][1:] != content[order][:-1]))]
-        data = table["data"].take(pa.array(first)).to_pylist()
-        which, place, least = passages(data, ids[first], length)
+        # a piece without another one of its gram has nothing to share with
+        _, of_gram, pieces = np.unique(table["gram"].to_numpy()[first], return_inverse=True, return_counts=True)
+        alone = pieces[of_gram] == 1
+        sizes = pc.binary_length(table["data"]).to_numpy()[first]
+        which, place = _each(np.maximum(sizes - length + 1, 0))
+        least = ids[first][which]
+        if not alone.all():
+            data = table["data"].take(pa.array(first[~alone])).to_pylist()
+            least[~alone[which]] = passages(data, ids[first[~alone]], length)[2]
         new = np.ones(len(which), bool)
         new[1:] = (which[1:] != which[:-1]) | (least[1:] != least[:-1])
         start = np.flatnonzero(new)
@@ -425,13 +482,14 @@ def remove_repeats(
     packed = given.select("text", "key").mapInArrow(
         _grams(often, length, gram, bits), "bucket int, low binary, high binary, ids array<bigint>, counts binary"
     )
-    shared = packed.groupBy("bucket").applyInArrow(_shared, "key bigint, grams array<bigint>")
-    asked = settle(shared.groupBy("key").agg(F.flatten(F.collect_list("grams")).alias("grams")), "shared-grams")
+    lists = "ids array<bigint>, grams array<bigint>"
+    shared = packed.groupBy("bucket").applyInArrow(_shared(1 << bits), f"part bigint, {lists}")
+    asked = settle(shared.groupBy("part").applyInArrow(_by_key, "key bigint, grams array<bigint>"), "shared-grams")
 
     # pieces, dealt to shards
     ids = settle(asked.select("key"), "shared-keys")
     texts = given.select("text", "key", "digest")
-    ship = _ship(often, length, gram, bits)
+    ship = _ship(often, length, gram, min(2 * gram, length), bits)
     schema = "content bigint, key bigint, digest bigint, at bigint, gram bigint, data binary"
     with_grams = texts.join(_listed(ids), "key", "left_semi").join(asked.hint("merge"), "key").select("text", "key", "digest", "grams")
     without = texts.join(_listed(ids), "key", "left_anti").select("text", "key", "digest", F.lit(None).cast("array<bigint>").alias("grams"))

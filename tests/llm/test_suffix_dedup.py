@@ -32,20 +32,30 @@ def test_suffix_array(monkeypatch):
 
 def test_gram_hashes_tell_grams_apart():
     data = np.frombuffer(random.Random(1).randbytes(3000) + b"ab" * 50, np.uint8)
-    for size, hashes in zip((1, 7, 20, 50), sd.gram_hashes(data, (1, 7, 20, 50))):
+    for size in (1, 7, 20, 50):
+        hashes = sd.Grams(data).at(size)
         grams = [data[i : i + size].tobytes() for i in range(len(data) - size + 1)]
         assert len(hashes) == len(grams) and len(set(zip(grams, hashes.tolist()))) == len(set(grams)) == len(set(hashes.tolist()))
+        some = np.arange(0, len(grams), 7)
+        assert (sd.Grams(data).at(size, some) == hashes[some]).all()
 
 
-def test_pieces_cover_all_passages_once():
+@pytest.mark.parametrize("longer", [None, 20, 40, 50])
+def test_pieces_cover_all_passages_once(longer):
     rng = random.Random(2)
-    texts = ["".join(rng.choices("abc ", k=k)).encode() for k in (50, 51, 400, 60)] + [b"ab" * 200, b"a" * 300]
+    texts = ["".join(rng.choices("abc ", k=k)).encode() for k in (50, 51, 400, 60)] + [b"short", b"ab" * 200, b"", b"a" * 300]
     pieces = sd.Pieces(texts, 50, 20)
-    seen = [(o, p + j) for o, p, n in zip(pieces.owner.tolist(), pieces.place.tolist(), pieces.count.tolist()) for j in range(n)]
+    every = np.arange(len(pieces.at))
+    if longer:
+        pieces = pieces.finer(every, longer)
+        every = np.arange(len(pieces.at))
+    owner = pieces.owners(every)
+    place = pieces.at - pieces.starts[owner]
+    seen = [(o, p + j) for o, p, n in zip(owner.tolist(), place.tolist(), pieces.count.tolist()) for j in range(n)]
     assert sorted(seen) == [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 49)]
-    data = pieces.bytes_of(np.arange(len(pieces.at))).to_pylist()
+    data = pieces.bytes_of(every).to_pylist()
     keys = {}
-    for o, p, n, key, content, d in zip(*(x.tolist() for x in (pieces.owner, pieces.place, pieces.count, pieces.key, pieces.content)), data):
+    for o, p, n, key, content, d in zip(*(x.tolist() for x in (owner, place, pieces.count, pieces.key, pieces.content(every))), data):
         assert d == texts[o][p : p + n + 49]
         assert keys.setdefault(content, d) == d
         for j in range(n):  # equal passages have equal grams
