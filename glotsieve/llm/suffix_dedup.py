@@ -303,15 +303,12 @@ def _ship(often, length: int, gram: int, longer: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(found: list[tuple]) -> pa.RecordBatch:
-            content, gram_key, ids, digest, at = (np.concatenate(x) for x in list(zip(*found))[:5])
+            content, gram_key, ids, digest, at = (np.concatenate(x) for x in zip(*(f[:5] for f in found)))
             order = np.lexsort((ids, content))
             first = order[np.flatnonzero(np.append(True, content[order][1:] != content[order][:-1]))]
             keep = np.zeros(len(content), bool)
             keep[first] = True
-            parts, past = [], 0
-            for _, _, _, _, _, pieces, some in found:
-                parts.append(pieces.bytes_of(some[keep[past : past + len(some)]]))
-                past += len(some)
+            data = pa.concat_arrays([f[5] for f in found]).filter(pa.array(keep))
             n, m = len(content), int(keep.sum())
             column = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), pa.array(y, kind) if y is not None else pa.nulls(m, kind)])
             return pa.record_batch(
@@ -321,7 +318,7 @@ def _ship(often, length: int, gram: int, longer: int, bits: int):
                     column(digest, None, pa.int64()),
                     column(at, None, pa.int64()),
                     pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(gram_key[keep].view(np.int64))]),
-                    pa.concat_arrays([pa.nulls(n, pa.binary()), *parts]),
+                    pa.concat_arrays([pa.nulls(n, pa.binary()), data]),
                 ],
                 ["content", "key", "digest", "at", "gram", "data"],
             )
@@ -344,9 +341,9 @@ def _ship(often, length: int, gram: int, longer: int, bits: int):
                 owner = part.owners(some)
                 start, ids, digest = (np.array([row[k] for row in given], np.int64)[owner] for k in range(3))
                 place = start + part.at[some] - part.starts[owner]
-                found.append((part.content(some), part.key[some], ids, digest, place, part, some))
+                found.append((part.content(some), part.key[some], ids, digest, place, part.bytes_of(some)))
                 held += len(some)
-            if held > AT_ONCE // 4:
+            if held > AT_ONCE // 8:
                 yield rows(found)
                 found, held = [], 0
         if found:
