@@ -13,12 +13,19 @@ on its own, and the partial counts are summed for each pair.
    n - ceil(t * n) + 1 of both. Only these prefixes are exchanged, by n-gram,
    and those of one set alone are dropped at once. Equal sets are one set.
 3. Sets that meet in an n-gram of few sets become pairs. Those that meet in
-   one of many sets (copies of one text) are dealt into blocks by the most
-   common n-gram they share, and pairs of blocks meet in one task each; it
-   returns a spanning forest of the links it finds, never the pairs.
+   one of many sets (copies of one text) are linked in a cascade: inside small
+   blocks of one n-gram, then one set of each component with those of other
+   blocks, and so on up to one block. Then each component meets the largest one
+   of every n-gram that holds several. Only sets of n-grams that still hold
+   different components go on, to pairs of blocks; bitmaps tell there which sets
+   may be similar, and these alone are compared.
 4. Pairs of few pass an exact bound by bitmaps, before any set is fetched; those
-   in one component already are left out; what remains is counted fragment by
-   fragment and summed.
+   in one component already are left out.
+
+Comparing is done by fragment wherever it is done: a row is a set's segment in
+one fragment, a task has the segments of one block (or pairs of them) in one
+fragment and counts partial overlaps, and a second step sums them. More
+fragments make smaller tasks.
 
 Each link that counts for a component is verified on all n-grams.
 """
@@ -44,7 +51,8 @@ FRAGMENTS = 8
 COUNTER_BITS = 21  # of the counters that give the global order
 CHUNKS = 64  # rows in which a task hands over its counters
 FEW = 8  # sets in an n-gram that still become pairs
-BLOCK = 256  # sets in a block
+BLOCK = 64  # sets in a block
+CROSS = 256  # sets in a block of which only bitmaps meet
 BROADCAST = 300_000  # identifiers of 8 bytes; more are joined by a shuffle
 PIECE = 1 << 20  # bytes of a text hashed at a time
 AT_ONCE = 1 << 17  # n-grams a task hands over at a time
@@ -237,14 +245,14 @@ def _prefixes(order, words: int, percent: int):
 
 
 def _segments(order, words: int):
+    """A row for each fragment in which a set has n-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(found: list[tuple]) -> pa.RecordBatch:
-            ids, splits = zip(*found)
-            parts = [part for split in splits for part in split]
+            ids, fragments, parts = zip(*found)
             ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
-            inner = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts).view(np.int64)))
-            outer = pa.array(np.cumsum([0, *map(len, splits)]), pa.int32())
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(outer, inner)], ["sid", "parts"])
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts).view(np.int64)))
+            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(fragments, pa.int32()), lists], ["sid", "fragment", "part"])
 
         for batch in batches:
             found, held = [], 0
@@ -252,7 +260,7 @@ def _segments(order, words: int):
                 hashes = shingles(text.as_py(), words)
                 if set_id(hashes) != sid:  # another text of a repeated key
                     continue
-                found.append((sid, order.value.split(order.value.keys(hashes))))
+                found += [(sid, f, x) for f, x in enumerate(order.value.split(order.value.keys(hashes))) if len(x)]
                 held += len(hashes)
                 if held > AT_ONCE:
                     yield rows(found)
@@ -297,16 +305,33 @@ def similar(overlap, n_a, n_b, percent: int = PERCENT):
     return 100 * overlap >= percent * (n_a + n_b - overlap)
 
 
-def _block_links(percent: int):
+def _partial(table: pa.Table) -> pa.Table:
+    """Overlaps of all pairs of a group's sets in one fragment, as the upper triangle of a matrix."""
+    sid = table["sid"].to_numpy()
+    order = np.argsort(sid)
+    part = table["part"].combine_chunks()
+    parts = [part[i].values.to_numpy() for i in order.tolist()]
+    n = len(parts)
+    upper = overlaps([(i, 0, x) for i, x in enumerate(parts)], n)[np.triu_indices(n, 1)].astype(np.uint32)
+    columns = [table["group"][:1], table["fragment"][:1], [sid[order]], [np.array([len(x) for x in parts])], [upper.tobytes()]]
+    return pa.table(columns, ["group", "fragment", "sids", "sizes", "shared"])
+
+
+_PARTIAL = "group bigint, fragment int, sids array<bigint>, sizes array<bigint>, shared binary"
+
+
+def _summed(percent: int):
+    """A forest of the links that the sums over fragments show: each set but the roots with its root."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids, rows = np.unique(table["sid"].to_numpy(), return_index=True)
-        given = table["parts"].combine_chunks()
-        parts, n = [], np.zeros(len(ids))
-        for i, row in enumerate(rows.tolist()):
-            for f, keys in enumerate(given[row].values):
-                parts.append((i, f, keys.values.to_numpy()))
-                n[i] += len(keys.values)
-        overlap = overlaps(parts, len(ids)).astype(np.float64)
+        fragments = [x.values.to_numpy() for x in table["sids"]]
+        ids = np.unique(np.concatenate(fragments))
+        overlap, n = np.zeros((len(ids), len(ids)), np.int64), np.zeros(len(ids), np.int64)
+        for sid, sizes, shared in zip(fragments, table["sizes"], table["shared"]):
+            at = np.searchsorted(ids, sid)
+            i, j = np.triu_indices(len(at), 1)
+            overlap[at[i], at[j]] += np.frombuffer(shared.as_py(), np.uint32)
+            n[at] += sizes.values.to_numpy()
         a, b = np.nonzero(np.triu(similar(overlap, n[:, None], n, percent), 1))
         labels = join_labels(np.arange(len(ids)), a, b)
         some = np.flatnonzero(labels != np.arange(len(ids)))
@@ -315,6 +340,13 @@ def _block_links(percent: int):
     return run
 
 
+def _linked(dealt: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within the groups of ``dealt(group, sid)``: a forest for each, from partial overlaps by fragment."""
+    rows = dealt.join(segments, "sid").select("group", "fragment", "sid", "part")
+    partial = rows.groupBy("group", "fragment").applyInArrow(_partial, _PARTIAL)
+    return partial.groupBy("group").applyInArrow(_summed(percent), "a bigint, b bigint")
+
+
 def _within(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` that have a row in the settled ``ids``, which is broadcast up to a size."""
     if ids.limit(BROADCAST + 1).count() <= BROADCAST:
@@ -332,6 +364,7 @@ def near_duplicates(
     counter_bits: int = COUNTER_BITS,
     few: int = FEW,
     block: int = BLOCK,
+    cross: int = CROSS,
 ) -> DataFrame:
     """(key, n_shingles, component_id), one row for each row of ``docs``; ``key`` is a number.
 
@@ -374,12 +407,12 @@ def near_duplicates(
     unkeyed = part.filter("key is null").select("sid")
     # sets whose rows all lack a key are found by the set itself
     wanted = wanted.unionByName(_by_set(given, unkeyed, words))
-    segments = wanted.mapInArrow(_segments(order, words), "sid bigint, parts array<array<bigint>>")
-    segments = settle(segments.dropDuplicates(["sid"]), "segments")
+    segments = wanted.mapInArrow(_segments(order, words), "sid bigint, fragment int, part array<bigint>")
+    segments = settle(segments.dropDuplicates(["sid", "fragment"]), "segments")
 
-    hot = settle(_hot_links(many, segments, block, percent), "hot-links")
-    cold = _verified(_apart(pairs, components(hot)), segments, percent)
-    member = components(hot.unionByName(cold))
+    member = _hot_components(settle(many.select("token", "sid", "m"), "hot"), least, segments, block, cross, percent)
+    cold = settle(_verified(_apart(pairs, member), segments, percent), "cold-links")
+    member = components(member.toDF("b", "a").unionByName(cold))
 
     # keys of a component: of all rows with one of its sets
     linked = sets.groupBy("sid").agg(F.min("key").alias("least"), F.max("n").alias("n")).filter("n > 0")
@@ -405,23 +438,119 @@ def _by_set(given: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return rows.join(ids, "sid").select("sid", "text")
 
 
-def _hot_links(shared: DataFrame, segments: DataFrame, block: int, percent: int) -> DataFrame:
-    """Links among sets that share an n-gram with many others: a forest for each pair of blocks.
+def _hot_components(shared: DataFrame, about: DataFrame, segments: DataFrame, block: int, cross: int, percent: int) -> DataFrame:
+    """(node, component) of the sets that share an n-gram with many others."""
+    home = shared.groupBy("sid").agg(F.max(F.struct("m", "token"))["token"].alias("token"))
+    links = _cascade(settle(home, "homes"), segments, block, percent)
+    member = components(links)
+    for last in (False, True):
+        # each component with the largest one of the same n-gram
+        held = _with_component(shared, member).groupBy("token", "component").agg(F.count("*").alias("n"), F.max("sid").alias("other"))
+        held = held.withColumn("several", F.count("*").over(Window.partitionBy("token"))).filter("several > 1")
+        held = settle(held, "several-components")
+        hub = held.groupBy("token").agg(F.max(F.struct("n", "component", "other")).alias("hub"))
+        at = "other" if last else "component"  # another set speaks for a component the second time
+        pairs = held.join(hub, "token").filter("component <> hub.component").select(F.col(f"hub.{at}").alias("a"), F.col(at).alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = settle(_verified(_bounded(pairs, about, percent), segments, percent), "hub-links")
+        if found.isEmpty():
+            break
+        links = settle(links.unionByName(found), "links-so-far")
+        member = components(links)
+    more = settle(_cross_links(shared, member, about, segments, cross, percent), "cross-links")
+    return member if more.isEmpty() else components(member.toDF("b", "a").unionByName(more))
+
+
+def _with_component(shared: DataFrame, member: DataFrame) -> DataFrame:
+    known = member.toDF("sid", "component")
+    return shared.join(known, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+
+
+def _cascade(homes: DataFrame, segments: DataFrame, block: int, percent: int) -> DataFrame:
+    """Links inside blocks of sets of one home n-gram; one set of each component goes on, until a block holds them all."""
+    level, found = 0, None
+    while True:
+        sizes = homes.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+        dealt = homes.join(sizes, "token").withColumn("of", F.ceil(F.col("n") / F.lit(block)).cast("bigint"))
+        salt = F.pmod(F.xxhash64("sid", F.lit(level)), F.col("of"))
+        dealt = settle(dealt.select(F.xxhash64("token", salt).alias("group"), "sid", "token", "of"), "dealt")
+        links = settle(_linked(dealt, segments, percent), "block-links")
+        found = links if found is None else found.unionByName(links)
+        homes = dealt.filter("of > 1").join(links.select(F.col("b").alias("sid")), "sid", "left_anti").select("sid", "token")
+        homes = settle(homes, "homes")
+        level += 1
+        if homes.isEmpty() or links.isEmpty():
+            return settle(found, "cascade-links")
+
+
+def _may_link(percent: int):
+    """Sets of a pair of blocks that may be similar to one of the other block and another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, n, component, bits = (table[c].to_pylist() for c in ("right", "n", "component", "bits"))
+        n = np.array(n, np.int64)
+        widths = {len(x) for x in bits}
+        # folded to one width, as `least_difference` does
+        width = min(widths)
+        rows = np.stack([_fold(x, width) for x in bits])
+        left, right = (np.flatnonzero(np.array(side) == k) for k in (False, True))
+        if not len(right):  # a block with itself
+            right = left
+        wanted = np.zeros(len(n), bool)
+        component = np.array(component, np.int64)
+        most = 100 - percent
+        for i in left.tolist():
+            low, high = np.minimum(n[i], n[right]), np.maximum(n[i], n[right])
+            some = right[(component[right] != component[i]) & (low * 100 >= high * percent)]
+            apart = np.bitwise_count(rows[some] ^ rows[i]).sum(axis=1, dtype=np.int64)
+            some = some[apart * (100 + percent) <= (n[some] + n[i]) * most]
+            # the whole bitmaps are a closer bound
+            some = [j for j in some.tolist() if least_difference(bits[i], bits[j]) * (100 + percent) <= (n[i] + n[j]) * most]
+            if some:
+                wanted[i] = True
+                wanted[some] = True
+        some = pa.array(np.flatnonzero(wanted))
+        return pa.table([table["group"].take(some), table["sid"].take(some)], ["group", "sid"])
+
+    return run
+
+
+def _fold(bits: bytes, width: int) -> np.ndarray:
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _cross_links(shared: DataFrame, member: DataFrame, about: DataFrame, segments: DataFrame, cross: int, percent: int) -> DataFrame:
+    """Links between sets of different components that share an n-gram of many sets.
 
-    The home of a set is the n-gram of most sets in its prefix; the sets of one
-    home are dealt into blocks, and blocks that meet in any n-gram are compared.
+    Only sets of n-grams that hold several components take part. Those of a
+    large component fill blocks of their own, which never meet each other; all
+    others are dealt by the most common n-gram they share.
     """
-    home = shared.groupBy("sid").agg(F.max(F.struct("m", "token")).alias("home"))
-    dealt = F.pmod(F.xxhash64("sid"), F.ceil(F.col("home.m") / F.lit(block)).cast("bigint"))
-    home = settle(home.select("sid", F.struct(F.col("home.token").alias("token"), dealt.alias("salt")).alias("block")), "blocks")
-    met = settle(shared.join(home, "sid").select("token", "block").distinct(), "met")
-    other = met.withColumnRenamed("block", "other")
-    pairs = met.join(other, "token").filter("block <= other").select("block", "other").distinct()
-    pairs = settle(pairs, "block-pairs")
-    sides = pairs.withColumn("side", F.explode(F.array_distinct(F.array("block", "other"))))
-    rows = sides.join(home.withColumnRenamed("block", "side"), "side").join(segments, "sid")
-    rows = rows.select(F.struct("block", "other").alias("pair"), "sid", "parts")
-    return rows.groupBy("pair").applyInArrow(_block_links(percent), "a bigint, b bigint")
+    known = settle(_with_component(shared, member), "known")
+    several = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k"))
+    open_ = settle(known.join(several.filter("low < high").select("token", "k"), "token"), "open")
+    sets = open_.groupBy("sid").agg(F.max(F.struct("k", "token")).alias("home"), F.max("component").alias("component"))
+    sizes = sets.groupBy("component").agg(F.count("*").alias("size"))
+    sets = sets.join(sizes, "component")
+    large = F.col("size") >= cross
+    own = F.when(large, F.col("component")).otherwise(F.col("home.token"))
+    count = F.ceil(F.when(large, F.col("size")).otherwise(F.col("home.k")) / F.lit(cross)).cast("bigint")
+    sets = sets.withColumn("block", F.xxhash64(own, large, F.pmod(F.xxhash64("sid"), count)))
+    sets = settle(sets.select("sid", "component", "block", F.when(large, F.col("component")).alias("large")), "open-sets")
+    met = settle(open_.select("token", "sid").join(sets, "sid").select("token", "block", "large").distinct(), "met")
+    other = met.toDF("token", "other", "large_other")
+    pairs = met.join(other, "token").filter("block <= other and not (large <=> large_other and large is not null)")
+    pairs = settle(pairs.select("block", "other").distinct().withColumn("group", F.xxhash64("block", "other")), "block-pairs")
+    sides = pairs.select("group", F.explode(F.expr(
+        "filter(array(struct(block, false as right), struct(other as block, true as right)), x -> not x.right or block <> other)"
+    )).alias("side")).select("group", "side.*")
+    brief = sets.select("sid", "component", "block").join(about.select("sid", "n", "bits"), "sid")
+    rows = sides.join(brief, "block").select("group", "right", "sid", "component", "n", "bits")
+    near = settle(rows.groupBy("group").applyInArrow(_may_link(percent), "group bigint, sid bigint"), "may-link")
+    return _linked(near, segments, percent)
 
 
 def _apart(pairs: DataFrame, member: DataFrame) -> DataFrame:
@@ -433,9 +562,14 @@ def _apart(pairs: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def _pairs(shared: DataFrame, about: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets with an n-gram of few sets in common that may be similar, by sizes and bitmaps."""
+    """Pairs of sets with an n-gram of few sets in common that may be similar."""
     left, right = (shared.select("token", F.col("sid").alias(side)) for side in ("a", "b"))
     pairs = left.join(right, "token").filter("a < b").select("a", "b").distinct()
+    return _bounded(pairs, about, percent)
+
+
+def _bounded(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may be similar, by sizes and bitmaps."""
     left, right = (about.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     pairs = pairs.join(left, "a").join(right, "b")
     pairs = pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
@@ -450,11 +584,9 @@ def _pairs(shared: DataFrame, about: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose overlap, counted by fragment and summed, makes them links."""
-    left = segments.toDF("a", "parts_a")
-    right = segments.toDF("b", "parts_b")
-    counted = pairs.join(left, "a").join(right, "b")
-    partial = F.zip_with("parts_a", "parts_b", lambda x, y: F.size(F.array_intersect(x, y)))
-    overlap = F.aggregate(partial, F.lit(0).cast("bigint"), lambda total, n: total + n)
-    summed = counted.select("a", "b", "n_a", "n_b", overlap.alias("overlap"))
+    """Pairs whose partial overlaps, counted by fragment and summed, make them links."""
+    left, right = segments.toDF("a", "fragment", "part_a"), segments.toDF("b", "fragment", "part_b")
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"])
+    partial = partial.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("shared"))
+    summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("overlap"))
     return summed.filter(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")

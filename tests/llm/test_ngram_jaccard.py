@@ -101,10 +101,53 @@ def test_against_brute_force(spark, few, block, bits):
     rows = [(i * 3 % 400, t) for i, t in enumerate(texts)]
     rows += [rows[0], (rows[1][0], "another text of a repeated key"), (None, rows[2][1]), (None, "no key here at all"), (None, None)]
     df = spark.createDataFrame([(k, t, "n") for k, t in rows], "doc_id long, text string, sid string").repartition(5)
-    found = nj.near_duplicates(df, few=few, block=block, counter_bits=bits)
+    found = nj.near_duplicates(df, few=few, block=block, cross=2 * block, counter_bits=bits)
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in found.collect()) == brute(rows)
 
 
+def _copies(n, seed=4):
+    """Near copies of one text, with one word changed."""
+    rng = random.Random(seed)
+    base = [f"word{i}" for i in range(120)]
+    return [" ".join([*base[:k], f"new{rng.randrange(10**9)}", *base[k + 1 :]]) for k in (rng.randrange(120) for _ in range(n))]
+
+
+def test_movement_is_linear_in_near_copies(spark, monkeypatch):
+    rows = []
+    linked = nj._linked
+
+    def counted(dealt, segments, percent):
+        rows.append(dealt.count())
+        return linked(dealt, segments, percent)
+
+    monkeypatch.setattr(nj, "_linked", counted)
+    for n in (1000, 3000):
+        rows.clear()
+        df = spark.createDataFrame(list(enumerate(_copies(n))), "doc_id long, text string").repartition(6)
+        found = nj.near_duplicates(df).collect()
+        assert {r.component_id for r in found} == {0}
+        assert sum(rows) <= 1.5 * n
+
+
+def test_fragments_part_the_work(spark, monkeypatch):
+    sizes = []
+    settled = nj.settle
+
+    def spied(df, name, by=None):
+        out = settled(df, name, by)
+        if name == "segments":
+            sizes.append(out.agg({"part": "count"}).first()[0])
+            sizes.append(out.selectExpr("max(size(part))").first()[0])
+        return out
+
+    monkeypatch.setattr(nj, "settle", spied)
+    texts = corpus(3, 120)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    results = [sorted(map(tuple, nj.near_duplicates(df, fragments=k, block=16).collect())) for k in (1, 8)]
+    assert results[0] == results[1]
+    assert sizes[2] > sizes[0] and sizes[3] < sizes[1]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert nj.near_duplicates(df).count() == 0
