@@ -342,16 +342,14 @@ def _summed(percent: int):
 
 def _linked(dealt: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) within the groups of ``dealt(group, sid)``: a forest for each, from partial overlaps by fragment."""
-    rows = dealt.join(segments, "sid").select("group", "fragment", "sid", "part")
+    rows = segments.join(_small(dealt), "sid").select("group", "fragment", "sid", "part")
     partial = rows.groupBy("group", "fragment").applyInArrow(_partial, _PARTIAL)
     return partial.groupBy("group").applyInArrow(_summed(percent), "a bigint, b bigint")
 
 
-def _within(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``df`` that have a row in the settled ``ids``, which is broadcast up to a size."""
-    if ids.limit(BROADCAST + 1).count() <= BROADCAST:
-        ids = F.broadcast(ids)
-    return df.join(ids, on)
+def _small(rows: DataFrame) -> DataFrame:
+    """Settled rows of a few numbers, broadcast up to a checked count."""
+    return F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows
 
 
 def near_duplicates(
@@ -403,7 +401,7 @@ def near_duplicates(
     many = shared.filter(F.col("m") > few)
     asked = many.select("sid").union(pairs.select("a")).union(pairs.select("b")).distinct()
     part = settle(asked.join(least.select("sid", "key"), "sid"), "part")
-    wanted = _within(given, part.select("key", "sid"), ["key"]).select("sid", "text")
+    wanted = given.join(_small(part.select("key", "sid")), "key").select("sid", "text")
     unkeyed = part.filter("key is null").select("sid")
     # sets whose rows all lack a key are found by the set itself
     wanted = wanted.unionByName(_by_set(given, unkeyed, words))
@@ -585,8 +583,11 @@ def _bounded(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Pairs whose partial overlaps, counted by fragment and summed, make them links."""
+    pairs = settle(pairs, "pairs-to-verify")
     left, right = segments.toDF("a", "fragment", "part_a"), segments.toDF("b", "fragment", "part_b")
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"])
+    # only segments of sets in question go on
+    right = right.join(_small(settle(pairs.select("b").distinct(), "second-sets")), "b", "left_semi")
+    partial = left.join(_small(pairs), "a").join(right, ["b", "fragment"])
     partial = partial.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("shared"))
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("overlap"))
     return summed.filter(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
