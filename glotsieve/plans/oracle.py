@@ -444,7 +444,7 @@ FROM profile JOIN ranges USING (block) GROUP BY ALL""",
     "write_unseen": f"{_SAMPLED} SELECT doc_id, language, text FROM flagged WHERE NOT sampled",
     "write_corpus": f"""WITH {DOCS}
 SELECT text, count(*) AS n FROM docs WHERE split = 'train' GROUP BY text""",
-    "save_model": f"""{_detected(0.8, DOCS)}
+    "save_model": f"""{_detected(0.8, DOCS, BAYES_ALL)}
 SELECT doc_id, unicode_predict AS predicted_language FROM final""",
     "add_source": """SELECT doc_id, text, 'documents' AS source FROM documents
 UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark""",
@@ -530,10 +530,10 @@ SELECT docs.doc_id, coalesce(tokens, '') AS tokens FROM docs LEFT JOIN (
   FROM placed LEFT JOIN vocabulary USING (word) GROUP BY doc_id) USING (doc_id)""",
     "vectorize": f"WITH {DOCS}, {VOCABULARY} SELECT doc_id, token, n FROM tokens",
     "nb_fit": f"WITH {DOCS}, {BAYES} SELECT language, token, n FROM terms",
-    "nb_scores": f"""WITH {DOCS}, {BAYES}
+    "nb_scores": f"""WITH {DOCS}, {BAYES_ALL}
 SELECT doc_id, language, round(j, 6) AS log_likelihood, round(p, 6) AS probability
 FROM posterior""",
-    "nb_best": f"""WITH {DOCS}, {BAYES}
+    "nb_best": f"""WITH {DOCS}, {BAYES_ALL}
 SELECT doc_id, best_predict, round(best_prob, 6) AS best_prob FROM best""",
     "confidence_threshold": f"""WITH lengths AS (
   SELECT doc_id, length({_clean('text')}) AS n FROM documents)
@@ -541,10 +541,10 @@ SELECT doc_id,
        round(CASE WHEN n < 10 THEN 0.8::DOUBLE ELSE exp(1.0 / n) * 0.8 END, 6) AS threshold,
        round(CASE WHEN n < 10 THEN 0.9::DOUBLE ELSE exp(1.0 / n) * 0.9 END, 6) AS threshold_tuning
 FROM lengths""",
-    "nb_predict": f"""{_predicted(0.8)}
+    "nb_predict": f"""{_predicted(0.8, bayes=BAYES_ALL)}
 SELECT doc_id, best_predict, nb_predict, round(best_prob, 6) AS best_prob,
        round(threshold, 6) AS threshold FROM predicted""",
-    "nb_ascii_override": rf"""{_predicted(q.STRICT)}
+    "nb_ascii_override": rf"""{_predicted(q.STRICT, bayes=BAYES_ALL)}
 SELECT doc_id, CASE WHEN best_prob < threshold AND regexp_full_match(text, '[\x00-\x7F]*')
                     THEN 'English' ELSE nb_predict END AS nb_predict FROM predicted""",
     "count_blocks": f"{_SCRIPTED} SELECT doc_id, block, n, round(share, 6) AS share FROM profile",
@@ -576,7 +576,7 @@ FROM reduced JOIN ties USING (doc_id), margins""",
     "closest_distance": f"""{_SCRIPTED}, {GRAMS}, {DISTANCES}
 SELECT scripts.doc_id, CASE WHEN least IS NULL THEN 'UNKNOWN' ELSE {_nearest('0.006')} END AS closest
 FROM scripts LEFT JOIN reduced USING (doc_id) LEFT JOIN ties USING (doc_id)""",
-    "unicode_predict": f"""{_detected(q.STRICT, SCRIPT_DOCS)}
+    "unicode_predict": f"""{_detected(q.STRICT, SCRIPT_DOCS, BAYES_ALL)}
 SELECT doc_id, nb_predict, unicode_predict FROM final""",
     "language_counts": f"WITH {NAMED} SELECT language, count(*) AS n FROM named GROUP BY language",
     "split_shares": f"""WITH {DOCS}

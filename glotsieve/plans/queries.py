@@ -207,7 +207,7 @@ def save_model(spark, sf):
     path = scratch_path(spark, "model")
     dt.save_detector(dt.train_detector(ds.filter_split(docs, "train"), tokens="word"), path)
     loaded = dt.load_detector(spark, path)
-    return dt.detect_labels(ds.filter_split(docs, "test"), "text", KEY, loaded)
+    return dt.detect_labels(docs, "text", KEY, loaded)
 
 
 # Projection, filter, union, deduplication, sampling
@@ -476,12 +476,12 @@ def _fitted(spark, sf):
     return docs, _bayes(docs)
 
 
-def _predicted(spark, sf, t=scores.THRESHOLD):
-    """Test documents with the four prediction columns and their language."""
+def _predicted(spark, sf, t=scores.THRESHOLD, split=None):
+    """Documents, of one split if it is named, with the four prediction columns and their language."""
     docs, model = _fitted(spark, sf)
-    test = ds.filter_split(docs, "test")
-    predicted = nb.nb_predict(test, KEY, "text", model, t)
-    return test.select(KEY, "language", "text").join(predicted, KEY)
+    given = ds.filter_split(docs, split) if split else docs
+    predicted = nb.nb_predict(given, KEY, "text", model, t)
+    return given.select(KEY, "language", "text").join(predicted, KEY)
 
 
 def nb_fit(spark, sf):
@@ -491,13 +491,13 @@ def nb_fit(spark, sf):
 
 def nb_scores(spark, sf):
     docs, model = _fitted(spark, sf)
-    scored = nb.nb_scores(ds.filter_split(docs, "test"), KEY, "text", model)
+    scored = nb.nb_scores(docs, KEY, "text", model)
     return scored.select(KEY, "language", *_six("log_likelihood", "probability"))
 
 
 def nb_best(spark, sf):
     docs, model = _fitted(spark, sf)
-    best = nb.nb_best(ds.filter_split(docs, "test"), KEY, "text", model)
+    best = nb.nb_best(docs, KEY, "text", model)
     return best.select(KEY, "best_predict", *_six("best_prob"))
 
 
@@ -615,10 +615,10 @@ def closest_distance(spark, sf):
 
 def unicode_predict(spark, sf):
     docs = in_scripts(labelled(spark, sf))
-    train, test = ds.filter_split(docs, "train"), ds.filter_split(docs, "test")
+    train = ds.filter_split(docs, "train")
     model = _bayes(docs)
     # Three steps read the texts by key; one exchange serves them all.
-    texts = test.select(KEY, "text").repartition(KEY)
+    texts = docs.select(KEY, "text").repartition(KEY)
     predicted = nb.nb_predict(texts, KEY, "text", model, STRICT)
     return rl.unicode_predict(
         texts, predicted, KEY, "text", sb.jvm_blocks(spark), ng.train_ngrams(train)
@@ -639,7 +639,7 @@ def split_shares(spark, sf):
 
 def _one_figure(figure):
     def query(spark, sf):
-        predicted = _predicted(spark, sf, STRICT)
+        predicted = _predicted(spark, sf, STRICT, "test")
         return predicted.agg(
             F.round(figure(F.col("language"), F.col("best_predict")), 6).alias("base"),
             F.round(figure(F.col("language"), F.col("nb_predict")), 6).alias("thresholded"),
@@ -649,7 +649,7 @@ def _one_figure(figure):
 
 
 def metrics_report(spark, sf):
-    return mt.metrics_report(_predicted(spark, sf), "Test", "language", "nb_predict")
+    return mt.metrics_report(_predicted(spark, sf, split="test"), "Test", "language", "nb_predict")
 
 
 def stage_comparison(spark, sf):
@@ -671,7 +671,7 @@ def stage_comparison(spark, sf):
 
 
 def unknown_profile(spark, sf):
-    profile = mt.unknown_profile(_predicted(spark, sf, STRICT))
+    profile = mt.unknown_profile(_predicted(spark, sf, STRICT, "test"))
     return profile.select("n", *_six("mean_length", "mean_threshold", "mean_best_prob"))
 
 
