@@ -1,16 +1,20 @@
-"""HTML extraction by the maximum-scoring subsequence of a page.
+"""HTML extraction by the maximum-scoring subsequences of a page.
 
 A page is read as a row of tokens: words, tags, and whole boilerplate elements
 such as menus. Words score positive, tags and boilerplate negative, and one
-linear scan finds the contiguous run of tokens with the largest sum: the
-content region. Boilerplate inside it is left out of the text. What an element
-is, or that it is hidden, makes it boilerplate; names of its class, role or id
-only make its words score negative, and only outside of ``<article>`` and
-``<main>``.
+linear scan finds all maximal runs of tokens, those that no longer and no
+shorter run beats. The best of them is the content region. Where it lies in
+``<article>`` or ``<main>``, the page says itself what its article is, and all
+such elements are kept whole; elsewhere the runs that come near the best are.
+
+A second pass leaves out blocks of the region that are adverts, reader
+comments, notices and the like by a whole name of class, role or id, unless
+nothing else is left. An article in a list of comments is a comment.
 
 Weights come from labelled pages, those with exactly one ``<article>`` or
 ``<main>``: the weight of a token is how much likelier it is inside than
-outside, as a logarithm, with its sign and size kept in bounds.
+outside, as a logarithm, with its sign and size kept in bounds. A tag that no
+labelled article holds weighs as its class, block or inline, does.
 """
 
 from __future__ import annotations
@@ -26,7 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 2_000  # labelled pages the weights are taken from, at most
+NEAR = 0.5  # of the best run's sum that another run of a page without article has at least
 WORD, HINTED, OTHER = "word", "word:hint", "tag:other"
+DROPPED = "word:dropped"  # of a block that is left out of an article
+UNSEEN = {True: "tag:block", False: "tag:inline"}  # classes of tags
+UNSEEN_LEAST = -2.0
 WORD_BOUNDS = (0.05, 1.0)
 TAG_BOUNDS = (-10.0, -0.02)
 #: weights without labelled pages
@@ -63,6 +71,10 @@ HINTS = {
     "newsletter", "notice", "popup", "promo", "related", "search", "share", "sharing", "sidebar", "social", "sponsor",
     "sponsored", "subscribe", "toolbar", "widget",
 }
+#: of these, names that are not enough to leave a block out
+WEAK = {"banner", "widget"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+EDGES = {f"tag:{end}{name}" for name in CONTENT for end in ("", "/")}
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ENDS = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -85,25 +97,51 @@ def self_closed(attributes: str) -> bool:
 
 
 def is_boilerplate(name: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element is boilerplate by its name or role, or hidden."""
+    """Whether an element is boilerplate by its name or role."""
     if name in BOILERPLATE:
         return not (inside and name in PARTS)
     if name in CONTENT or name in ("body", "html") or not attributes:
         return False
-    if attributes.get("hidden", "until-found").lower() != "until-found":
-        return True
-    if attributes.get("aria-hidden", "").strip().lower() == "true":
-        return True
     return not ROLES.isdisjoint(attributes.get("role", "").lower().split())
 
 
-def is_hinted(name: str, attributes: dict[str, str]) -> bool:
-    """Whether a whole id, or a whole name of class or role, says boilerplate: all words of the name are hints."""
-    if name in CONTENT or name in ("body", "html"):
-        return False
+def hints(name: str, attributes: dict[str, str]) -> set[str]:
+    """Words of a whole id, or of whole names of class or role, that say boilerplate: all words of such a name are hints."""
+    if name in CONTENT or name in HEADINGS or name in ("body", "html"):
+        return set()
     names = [*attributes.get("class", "").lower().split(), *attributes.get("role", "").lower().split()]
     names.append(attributes.get("id", "").strip().lower())
-    return any(parts and HINTS.issuperset(parts) for parts in ([p for p in _PART.split(n) if p] for n in names))
+    parts = [{p for p in _PART.split(n) if p} for n in names]
+    return set().union(*(p for p in parts if p and HINTS.issuperset(p)))
+
+
+def maximal_runs(scores: list[float]) -> list[tuple[float, int, int]]:
+    """(sum, start, end) of all maximal scoring runs, in order, in time linear in their number.
+
+    A run from the stack absorbs a later one, and all between, if it begins
+    lower (by the sum of all before) and the later one ends higher. Each run
+    knows the last one that begins lower, so none is looked at twice.
+    """
+    runs: list[tuple[float, float, int, int, int]] = []  # sums before and after, start, end, the last that begins lower
+    total = 0.0
+    for i, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        low, start = before, i
+        j = len(runs) - 1
+        while True:
+            while j >= 0 and runs[j][0] >= low:
+                j = runs[j][4]
+            if j < 0 or runs[j][1] >= total:
+                break
+            low, start, below = runs[j][0], runs[j][2], runs[j][4]
+            del runs[j:]
+            j = below
+        if j >= len(runs):
+            j = len(runs) - 1
+        runs.append((low, total, start, i + 1, j))
+    return [(high - low, start, end) for low, high, start, end, _ in runs]
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -160,17 +198,21 @@ class Page:
     def __init__(self, page: str | None):
         self.tokens: list[tuple[str, int, str | None, bool]] = []
         self.inside: list[bool] = []  # in an article or main element
+        self.left_out: list[bool] = []  # in a block that the second pass leaves out
+        self.nested: list[bool] = []  # in an article that is in such a block
         page = page or ""
-        stack: list[tuple[str, int, int]] = []  # open elements, and boilerplate and hint depth before each
+        # open elements, and depth of boilerplate, hints and blocks to leave out before each
+        stack: list[tuple[str, int, int, int, bool]] = []
         opened: Counter[str] = Counter()
         open_ended: set[str] = set()  # raw elements without an end tag ahead
-        depth = hinted = content = 0
+        depth = hinted = content = dropped = 0
+        nested = False
         last = skip = 0
         for start, end, name, closing, attributes in tags(page):
             if start < skip:
                 continue
             if start > last and not depth:
-                self._text(page[last:start], content, hinted)
+                self._text(page[last:start], content, hinted, dropped, nested)
             last = end
             if not name:
                 continue
@@ -189,7 +231,7 @@ class Page:
                 if name not in VOID and opened[name]:
                     was_in_boilerplate = depth > 0
                     while True:
-                        top, depth, hinted = stack.pop()
+                        top, depth, hinted, dropped, nested = stack.pop()
                         opened[top] -= 1
                         content -= top in CONTENT
                         if top == name:
@@ -201,19 +243,22 @@ class Page:
                 continue
             hint = False
             if name not in VOID:
-                stack.append((name, depth, hinted))
+                stack.append((name, depth, hinted, dropped, nested))
                 opened[name] += 1
                 read = attributes_of(attributes) if attributes else {}
+                found = hints(name, read) if read and not depth else set()
                 if name in CONTENT:
-                    depth = hinted = 0
+                    nested = nested or dropped > 0
+                    depth = hinted = dropped = 0
                 elif is_boilerplate(name, read, content > 0):
                     if not depth:
                         kind = "boilerplate:" + (name if name in BOILERPLATE else "hint")
                         self._add(kind, 0, None, name in BLOCK, content)
                     depth += 1
-                elif not content and not depth and read and is_hinted(name, read):
-                    hint = True
-                    hinted += 1
+                elif found:
+                    hint = not content
+                    hinted += hint
+                    dropped += not found <= WEAK
             if not depth:
                 if hint:
                     self._add("boilerplate:hint", 0, None, name in BLOCK, content)
@@ -221,15 +266,20 @@ class Page:
                     self._tag(name, name, content)
                 content += name in CONTENT
         if len(page) > last and not depth:
-            self._text(page[last:], content, hinted)
+            self._text(page[last:], content, hinted, dropped, nested)
 
-    def _add(self, kind: str, words: int, text: str | None, ends: bool, content: int) -> None:
+    def _add(
+        self, kind: str, words: int, text: str | None, ends: bool, content: int, left_out: bool = False, nested: bool = False
+    ) -> None:
         self.tokens.append((kind, words, text, ends))
         self.inside.append(content > 0)
+        self.left_out.append(left_out)
+        self.nested.append(nested)
 
-    def _text(self, raw: str, content: int, hinted: int) -> None:
+    def _text(self, raw: str, content: int, hinted: int, dropped: int, nested: bool) -> None:
         text = html.unescape(raw)
-        self._add(HINTED if hinted else WORD, len(text.split()), text, False, content)
+        kind = DROPPED if content and dropped else HINTED if hinted else WORD
+        self._add(kind, len(text.split()), text, False, content, dropped > 0, nested)
 
     def _tag(self, shown: str, name: str, content: int) -> None:
         kind = f"tag:{shown}" if name in KNOWN else OTHER
@@ -241,40 +291,64 @@ class Page:
     def counts(self) -> dict[str, list[int]]:
         found: dict[str, list[int]] = {}
         for (kind, words, _, _), inside in zip(self.tokens, self.inside):
-            edge = kind in ("tag:article", "tag:/article", "tag:main", "tag:/main")
-            found.setdefault(kind, [0, 0])[0 if inside and not edge else 1] += words if kind in (WORD, HINTED) else 1
+            found.setdefault(kind, [0, 0])[0 if inside and kind not in EDGES else 1] += words if kind in (WORD, HINTED) else 1
+        found.pop(DROPPED, None)
         return found
 
+    def runs(self, weights: dict[str, float]) -> list[tuple[float, int, int]]:
+        word, other = weights.get(WORD, 1.0), weights.get(OTHER, PLAIN_TAG)
+        scores = []
+        for kind, words, _, _ in self.tokens:
+            if kind in weights:
+                score = weights[kind]
+            elif kind.startswith("tag:") and UNSEEN[True] in weights:
+                score = weights[UNSEEN[kind[4:].lstrip("/") in BLOCK]]
+            else:
+                score = 0.0 if kind == DROPPED else word if kind == WORD else other
+            scores.append(score * words if kind in (WORD, HINTED, DROPPED) else score)
+        return maximal_runs(scores)
+
     def region(self, weights: dict[str, float]) -> tuple[int, int]:
         """Tokens of the largest sum, the end exclusive; the first of equals, and none without words."""
-        best, found = 0.0, (0, 0)
-        total, start = 0.0, 0
-        word = weights.get(WORD, 1.0)
-        other = weights.get(OTHER, PLAIN_TAG)
-        for i, (kind, words, _, _) in enumerate(self.tokens):
-            if kind == WORD:
-                total += word * words
-            else:
-                total += weights.get(kind, other) * (words if kind == HINTED else 1)
-            if total <= 0:
-                total, start = 0.0, i + 1
-            elif total > best:
-                best, found = total, (start, i + 1)
-        return found
+        runs = self.runs(weights)
+        return max(runs, key=lambda r: r[0])[1:] if runs else (0, 0)
+
+    def _chosen(self, weights: dict[str, float], all_words: bool) -> list[bool]:
+        """Tokens whose text is kept."""
+        runs = self.runs(weights)
+        chosen = [False] * len(self.tokens)
+        if not runs:
+            return chosen
+        best, first, past = max(runs, key=lambda r: r[0])
+        drop = [False] * len(chosen) if all_words else self.left_out
+        if any(self.inside[first:past]):
+            own = any(
+                inside and not out and not nested and words
+                for inside, out, nested, (_, words, _, _) in zip(self.inside, drop, self.nested, self.tokens)
+            )
+            return [inside and not out and not (own and nested) for inside, out, nested in zip(self.inside, drop, self.nested)]
+        for score, start, end in runs:
+            if score >= NEAR * best:
+                chosen[start:end] = [not out for out in drop[start:end]]
+        return chosen
 
     def text(self, weights: dict[str, float]) -> str:
-        first, past = self.region(weights)
-        if not past:  # all words are hinted at: they are the page
-            first, past = self.region({**weights, HINTED: weights.get(WORD, 1.0)})
+        blocks = self._blocks(self._chosen(weights, False))
+        if not blocks:  # all words are hinted at: they are the page
+            word = weights.get(WORD, 1.0)
+            blocks = self._blocks(self._chosen({**weights, HINTED: word, DROPPED: word}, True))
+        return "\n\n".join(blocks)
+
+    def _blocks(self, chosen: list[bool]) -> list[str]:
         blocks, block = [], []
-        for _, _, text, ends in self.tokens[first:past]:
+        for (_, _, text, ends), kept in zip(self.tokens, chosen):
             if ends:
                 blocks.append("".join(block))
                 block = []
-            elif text is not None:
+            elif kept and text is not None:
                 block.append(text)
         blocks.append("".join(block))
-        return "\n\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
+        return [b for b in (" ".join(b.split()) for b in blocks) if b]
 
 
 def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
@@ -285,9 +359,17 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     if inside == kinds or outside == kinds:
         return dict(PLAIN)
     found = {OTHER: TAG_BOUNDS[0] / 10}
+    classes = {name: [0, 0] for name in UNSEEN.values()}
     for kind, (a, b) in counts.items():
-        low, high = WORD_BOUNDS if kind == WORD else TAG_BOUNDS
+        if kind.startswith("tag:"):
+            held = classes[UNSEEN[kind[4:].lstrip("/") in BLOCK]]
+            held[0], held[1] = held[0] + a, held[1] + b
+    for kind, (a, b) in [*classes.items(), *counts.items()]:
+        low, high = WORD_BOUNDS if kind == WORD else (UNSEEN_LEAST, TAG_BOUNDS[1]) if kind in classes else TAG_BOUNDS
         found[kind] = min(high, max(low, math.log((a + 1) / inside) - math.log((b + 1) / outside)))
+    for kind, (a, _) in counts.items():
+        if kind.startswith("tag:") and not a and kind not in EDGES:
+            found[kind] = found[UNSEEN[kind[4:].lstrip("/") in BLOCK]]
     return found
 
 
@@ -325,7 +407,7 @@ def extract(pages: DataFrame, weights: dict[str, float], key: str = "page_id", p
 
     Character references are decoded, white space inside a block becomes one
     blank, and blocks are joined by two line breaks. A null, empty or wordless
-    page has an empty text; the first of equally good regions is taken. The
+    page has an empty text; the first of equally good regions decides. The
     whole page is read, in its task, in time linear in its length.
     """
     sent = pages.sparkSession.sparkContext.broadcast(weights)

@@ -6,7 +6,7 @@ import pytest
 
 from conftest import DATA
 from glotsieve.llm import queries
-from glotsieve.llm.html_subsequence import PLAIN, Page, extract, fit, weights_of
+from glotsieve.llm.html_subsequence import PLAIN, Page, extract, fit, maximal_runs, weights_of
 
 WEIGHTS = {"word": 1.0, "tag:/article": -9.0, "tag:article": -9.0, "tag:other": -1.0, "tag:p": -0.02, "tag:/p": -0.02,
            "tag:h1": -0.02, "tag:/h1": -0.02, "boilerplate:nav": -9.0, "boilerplate:aside": -1.0, "tag:a": -1.0, "tag:/a": -1.0}
@@ -37,7 +37,7 @@ def text_of(page, weights=WEIGHTS):
         ('<p>open quote <a href="never>text goes on', "open quote text goes on"),
         ("<form><input>no</form><p>yes</div></p></nav>", "yes"),
         ('<div class="ad">ad ad ad<article><p>inside still counts</p></article>', "inside still counts"),
-        ("<p hidden>no</p><p aria-hidden='true'>no</p><p>yes</p>", "yes"),
+        ("<p hidden>kept</p><p aria-hidden='true'>too</p><p>yes</p>", "kept\n\ntoo\n\nyes"),
     ],
 )
 def test_pages(page, text):
@@ -51,6 +51,7 @@ def test_pages(page, text):
         ('<article><section id="search-algorithms"><p>a b c</p></section></article>', "a b c"),
         ('<h3 id="social-science">Social science</h3><p>a b c</p>', "Social science\n\na b c"),
         ('<article><div class="comments share"><p>a b c</p></div></article>', "a b c"),
+        ('<article><p>d e f</p><div class="comments share"><p>a b c</p></div></article>', "d e f"),
         ('<article><header><h1>The title</h1></header><p>a b</p><nav>no</nav><div role="navigation">no</div><form>no</form></article>', "The title\n\na b"),
         ('<a href="/show?id=search">some words</a> here again', "some words here again"),
         ('<p data-id="search" data-class=nav>words here</p>', "words here"),
@@ -63,14 +64,70 @@ def test_pages(page, text):
         ("<p>a b</p><script>var never = closed", "a b"),
         ("<svg><p>a b<template><p>c d", "a b\n\nc d"),
         ('<div class="widget"><p>all of the page</p></div>', "all of the page"),
-        ('<p>a b c d e f</p><div class="related">x y</div><p>g h i j k l m</p>', "a b c d e f\n\nx y\n\ng h i j k l m"),
+        ('<p>a b c d e f</p><div class="related">x y</div><p>g h i j k l m</p>', "a b c d e f\n\ng h i j k l m"),
         ('<p>a b c d e f</p><div class="related">x y z x y z x y z</div>', "a b c d e f"),
     ],
 )
-def test_no_name_deletes_words(page, text):
+def test_names_of_blocks(page, text):
     assert text_of(page) == text
 
 
+LONG = " ".join(f"word{i}" for i in range(30))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # (a) a comment that is longer than the article
+        (f"<main><article><p>only nine words make up this very short article</p></article><section class=comments><p>{LONG}</p></section></main>",
+         "only nine words make up this very short article"),
+        (f"<article><p>a b c</p></article><div id=comments><article class=comment><p>{LONG}</p></article></div>", "a b c"),
+        # (b) two articles
+        (f"<nav>no</nav><article><p>first one</p></article><div>between</div><article><p>{LONG}</p></article>", f"first one\n\n{LONG}"),
+        # (c) lists, tables and parts of any kind
+        (f"<main><h1>T</h1><ul><li>one</li><li>two</li></ul><p>{LONG}</p><table><tr><td>c1</td><td>c2</td></tr></table></main>",
+         f"T\n\none\n\ntwo\n\n{LONG}\n\nc1\n\nc2"),
+        (f"<article><div><div>x y</div></div><p>{LONG}</p><blockquote>q</blockquote><unknown>u v</unknown></article>", f"x y\n\n{LONG}\n\nq\n\nu v"),
+        # (d) adverts, newsletters, notices in the article, and elsewhere
+        (f'<article><p>{LONG}</p><div class="ad">Buy now</div><p>a b</p><div class="newsletter"><p>Sign up</p></div></article>', f"{LONG}\n\na b"),
+        (f'<article><p>{LONG}</p><p class="cookie-notice">We use them</p><p class="notable">a b</p></article>', f"{LONG}\n\na b"),
+        (f'<div><p>{LONG}</p><div class="ad">Buy now</div><p>{LONG}</p></div>', f"{LONG}\n\n{LONG}"),
+        # (e) hidden parts are not named
+        (f"<article><p hidden>a</p><p>{LONG}</p><p aria-hidden=true>b</p></article>", f"a\n\n{LONG}\n\nb"),
+        # divisions that hold the text of a page without article
+        (f"<body><div><p>{LONG}</p></div><div><ul><li>a b c</li></ul><p>{LONG}</p></div></body>", f"{LONG}\n\na b c\n\n{LONG}"),
+        (f'<div class="widget"><p>{LONG}</p></div>', LONG),
+    ],
+)
+def test_page_forms_with_learned_weights(learned, page, text):
+    assert text_of(page, learned) == text
+    assert text_of(f"<html><body><nav><a href=/>Home page of all</a></nav>{page}<footer>foot</footer></body></html>", learned) == text
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return fit(spark.read.parquet(f"{DATA}/pages.parquet"))
+
+
+def test_runs_are_maximal():
+    """Against the definition: runs by falling sum, each from what the better ones leave between them."""
+
+    def parts(scores, first, past):
+        best = max(((sum(scores[a:b]), a - b, -a, b) for a in range(first, past) for b in range(a + 1, past + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        _, _, a, b = best
+        return [*parts(scores, first, -a), (best[0], -a, b), *parts(scores, b, past)]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        scores = [float(rng.choice([-4, -3, -2, -1, 1, 2, 3, 5])) + rng.random() / 1000 for _ in range(rng.randint(0, 18))]
+        got = maximal_runs(scores)
+        expected = parts(scores, 0, len(scores))
+        assert [r[1:] for r in got] == [r[1:] for r in expected]
+        assert all(abs(a[0] - b[0]) < 1e-9 for a, b in zip(got, expected))
+
+
 def test_raw_elements_without_end_are_linear():
     for name in ("svg", "title", "head", "template"):
         assert text_of(f"<{name}>x " * 60000).count("x") == 60000
