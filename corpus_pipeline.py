@@ -1,8 +1,8 @@
 """A training corpus from raw documents, in stages that each rewrite the table.
 
 Every stage takes and returns the columns of ``documents``; the last returns
-token ids. Rows without a key pass all stages. Nothing but models, word
-windows of the benchmark and checked lists of keys is broadcast.
+token ids. Rows without a key are judged like all others. Nothing but models,
+word windows of the benchmark and checked lists of row numbers is broadcast.
 """
 
 from __future__ import annotations
@@ -30,19 +30,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the smallest id stays.
+    """Of each group of near copies one row stays: that of the smallest id, rows without an id last.
 
-    Of rows that repeat an id, those of different texts stay if the id leads a
-    group with any of them, and those of equal texts stay once.
+    Rows are told apart by a settled number, so ids may repeat or be missing.
+    Texts without words are no copies of one another and stay.
     """
-    member = settle(ngram_jaccard.near_duplicates(docs), "members")
-    leads = F.col("doc_id") == F.col("component_id")
-    ids = member.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(leads).alias("leads"), F.count("*").alias("rows"))
-    gone = settle(ids.filter("not leads").select("doc_id"), "gone")
-    repeated = settle(ids.filter("leads and rows > 1").select("doc_id"), "repeated")
-    kept = _without(_columns(docs), gone)
-    once = kept.join(_small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return _columns(_without(kept, repeated).unionByName(once))
+    rows = settle(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), "rows")
+    member = ngram_jaccard.near_duplicates(rows, key="_row").select("_row", "component_id")
+    member = settle(member.join(rows.select("_row", "doc_id"), "_row"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    leads = member.groupBy("component_id").agg(F.min(order)["_row"].alias("lead"), F.count("*").alias("rows"))
+    leads = settle(leads.filter("rows > 1").select("component_id", "lead"), "leads")
+    gone = member.join(_small(leads), "component_id").filter("_row <> lead")
+    gone = settle(gone.select("_row"), "gone")
+    return _columns(rows.join(_small(gone), "_row", "left_anti"))
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -51,10 +52,6 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(_small(ids), "doc_id", "left_anti")
-
-
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     found = wu_manber.benchmark_overlaps(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS[1:], unnamed=True)
