@@ -86,7 +86,9 @@ def test_odd_documents(spark):
             (3, "", "en", "s", 0), (3, "", "en", "s", 0), (4, None, None, "s", None), (5, "mail me at a@b.example now", "en", "s", 1)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], DOCUMENT + ", sid int")
     kept = cp.near_duplicates(spark, docs, DATA)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "3", "4", "5", "None", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "3", "3", "4", "5", "None"]
+    unnamed = spark.createDataFrame([(None, line + x, "en", "s", 1) for x in ("", "", "too", "")], DOCUMENT)
+    assert cp.near_duplicates(spark, unnamed, DATA).count() == 1
     assert cp.decontamination(spark, docs, DATA).count() == len(rows)
     red = {r.doc_id: r.text for r in cp.personal_data(spark, docs, DATA).collect()}
     assert red[5] == "mail me at [EMAIL] now" and red[4] is None and red[3] == ""
