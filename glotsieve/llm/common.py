@@ -66,7 +66,7 @@ def labelled_sample(
     those with the smallest hashes of the key are taken, so a rerun agrees.
     Labels other than 0 and 1 are left out, as are null texts and, if
     ``max_bytes`` is given, texts longer than that. A key that occurs often
-    counts once. The chosen keys are at most ``2 * limit`` narrow rows, which
+    counts once, with the text of the smallest hash. The chosen keys are at most ``2 * limit`` narrow rows, which
     is why they may be broadcast.
     """
     usable = labels.filter(F.col(key).isNotNull() & ~held_out(key) & F.col(label).isin(0, 1))
@@ -77,7 +77,8 @@ def labelled_sample(
     given = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter("text is not null")
     if max_bytes is not None:
         given = given.filter(F.octet_length("text") <= max_bytes)
-    return given.join(F.broadcast(chosen), "_key").dropDuplicates(["_key"])
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    return given.join(F.broadcast(chosen), "_key").groupBy("_key", "label").agg(first.alias("text")).select("_key", "text", "label")
 
 
 def class_counts(labels: DataFrame, label: str, key: str) -> tuple[int, int]:

@@ -21,6 +21,7 @@ from glotsieve.llm.common import class_counts, labelled_sample
 
 BITS = 20
 SAMPLE = 5_000  # labelled rows of each class that training takes, at most
+TRAIN_BYTES = 16_384  # texts longer than this are scored, but not learned from
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 1.0
 WORD_CACHE = 300_000
@@ -99,9 +100,9 @@ def _features(bits: int):
 
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
-    sample: int = SAMPLE, bits: int = BITS, **how: float,
+    sample: int = SAMPLE, bits: int = BITS, train_bytes: int = TRAIN_BYTES, **how: float,
 ) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights learned from at most ``sample`` labelled rows of each class.
+    """Weights learned from at most ``sample`` labelled rows of each class, of up to ``train_bytes`` each.
 
     Features are made where the texts lie; one task, whose input is bounded by
     the sample, runs the passes over them. What comes back is at most 2**bits
@@ -112,7 +113,7 @@ def fit(
     zero, one = class_counts(labels, label, key)
     if not zero or not one:
         return np.empty(0, np.int32), np.empty(0), 35.0 if one else -35.0
-    chosen = labelled_sample(docs, labels, label, sample, key, text)
+    chosen = labelled_sample(docs, labels, label, sample, key, text, train_bytes)
     row = _features(bits)("text").alias("row")
     chosen = chosen.select(F.lit(0).alias("all"), F.xxhash64("_key").alias("at"), "label", row)
 
