@@ -154,3 +154,58 @@ def hilbert_shards(
         F.col("_shard").alias("shard"),
         (F.col("_rank") - start).cast("bigint").alias("slot"),
     )
+
+
+def write_shards(
+    docs: DataFrame, path: str, dimensions: tuple[str, ...] = ("source", "lang", "_size"), shards: int = SHARDS,
+    bits: int = BITS, text: str = "text", files: int | None = None,
+) -> None:
+    """Write all rows and columns of ``docs`` as Parquet files by shard, in slot order, with the ranges of each file.
+
+    Rows are told apart by a settled number, so keys may repeat or be missing;
+    every row is in the shard that `hilbert_shards` gives it. A file holds
+    consecutive slots of one shard, and ``files`` (as many as the shuffle has
+    partitions, by default) says about how many there are. ``path/rows`` has the
+    rows with ``_shard`` and ``_slot``; ``path/ranges`` has for each file the
+    smallest and the largest whole value of every dimension, and whether it
+    holds a missing one. Columns of ``docs`` named ``_shard``, ``_slot`` or
+    ``_row`` are refused.
+    """
+    clash = {"_shard", "_slot", "_row"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns of these names are needed: {sorted(clash)}")
+    spark = docs.sparkSession
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "rows-to-shard")
+    placed = hilbert_shards(rows, dimensions, shards, bits, "_row", text)
+    placed = placed.select("_row", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    out = rows.join(placed, "_row").drop("_row")
+    files = files or max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # ranges of (shard, slot): a shard of many rows is several files, none is one task's alone
+    out = out.repartitionByRange(files, "_shard", "_slot").sortWithinPartitions("_shard", "_slot")
+    out.write.partitionBy("_shard").parquet(f"{path}/rows")
+    held = spark.read.parquet(f"{path}/rows").withColumn("file", F.input_file_name())
+    found = [F.count("*").alias("rows")]
+    for d in dimensions:
+        value = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1 if d == "_size" else F.col(d)
+        found += [F.min(value).alias(f"low_{d}"), F.max(value).alias(f"high_{d}"), F.bool_or(value.isNull()).alias(f"missing_{d}")]
+    held.groupBy("file").agg(*found).coalesce(1).write.parquet(f"{path}/ranges")
+
+
+def read_shards(spark, path: str, **wanted) -> tuple[DataFrame, int, int]:
+    """Rows written by `write_shards` from the files that may hold wanted values, with the files read and those skipped.
+
+    ``wanted`` has for a dimension a pair (least, most), or None for missing
+    values; rows are filtered too. Only names of files come to the driver.
+    """
+    ranges, row = spark.read.parquet(f"{path}/ranges"), F.lit(True)
+    keep = F.lit(True)
+    for d, pair in wanted.items():
+        value = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1 if d == "_size" else F.col(d)
+        if pair is None:
+            keep, row = keep & F.col(f"missing_{d}"), row & value.isNull()
+        else:
+            keep = keep & (F.col(f"low_{d}") <= pair[1]) & (F.col(f"high_{d}") >= pair[0])
+            row = row & value.between(*pair)
+    files = [r.file for r in ranges.filter(keep).select("file").collect()]
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*files) if files else spark.read.parquet(f"{path}/rows").limit(0)
+    return rows.filter(row), len(files), ranges.count() - len(files)

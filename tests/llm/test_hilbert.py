@@ -3,10 +3,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import DATA
 from glotsieve.llm import queries
-from glotsieve.llm.hilbert import curve_index, hilbert_shards
+from glotsieve.llm.hilbert import curve_index, hilbert_shards, read_shards, write_shards
 
 
 @pytest.mark.parametrize("n, bits", [(1, 4), (2, 1), (2, 5), (3, 3), (4, 2)])
@@ -57,3 +58,32 @@ def test_query(spark):
     rows = queries.op2_hilbert_shards(spark, DATA).collect()
     assert len(rows) == 200 and {r.law for r in rows} == {"rows"}
     assert {r.grown_shard for r in rows} == {None}
+
+
+def test_files_by_shard_are_skipped(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.unionByName(docs.limit(3)).withColumn("lang", F.expr("nullif(lang, 'es')"))  # repeated and missing values
+    path = f"file://{tmp_path}/shards"
+    write_shards(docs, path, files=32)
+    back = spark.read.parquet(f"{path}/rows")
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    counts = [r["count"] for r in back.groupBy("_shard").count().collect()]
+    assert len(counts) == 16 and max(counts) - min(counts) <= 1
+    source = docs.agg(F.min("source")).first()[0]
+    longest = docs.agg(F.max(F.octet_length("text"))).first()[0]
+    for wanted, condition in [
+        ({"lang": ("de", "de")}, "lang = 'de'"), ({"lang": None}, "lang is null"), ({"source": (source, source)}, f"source = '{source}'"),
+        ({"_size": (longest // 2, longest + 1)}, f"octet_length(text) + 1 between {longest // 2} and {longest + 1}"),
+        ({"lang": ("fr", "fr"), "_size": (1, 500)}, "lang = 'fr' and octet_length(text) + 1 <= 500"),
+    ]:
+        rows, read, skipped = read_shards(spark, path, **wanted)
+        assert rows.count() == docs.filter(condition).count()
+        assert skipped > 0 and read + skipped >= 16, (wanted, read, skipped)
+    rows, read, _ = read_shards(spark, path, lang=("xx", "xx"))
+    assert (rows.count(), read) == (0, 0)
+
+
+def test_clashing_names_are_refused(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    with pytest.raises(ValueError):
+        write_shards(docs.withColumn("_slot", F.lit(1)), f"file://{tmp_path}/refused")
