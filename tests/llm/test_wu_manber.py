@@ -7,7 +7,7 @@ import pytest
 
 from conftest import DATA
 from glotsieve.llm import queries
-from glotsieve.llm.wu_manber import benchmark_overlaps
+from glotsieve.llm.wu_manber import LANE, PACK, Patterns, benchmark_overlaps, find, normalise, pattern_tables
 from parity import connect, differences
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -57,6 +57,51 @@ def test_against_brute_force(spark, size, part):
         assert got == brute(texts[r.doc_id], items, size), r.doc_id
 
 
+def test_packs_and_lanes():
+    """Occurrences across the borders of lanes and packs are found, and none across two texts."""
+    rng = random.Random(7)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    item = line(12)
+    texts = [normalise(item[: len(item) // 2]), normalise(item[len(item) // 2 :]), b""]
+    texts += [normalise("x" * k + " " + item) for k in range(0, 2 * LANE, 7)]
+    texts += [normalise(line(PACK // 6) + " " + item + " " + line(9)), normalise(item)]
+    found = list(find([Patterns([("a", item)]), Patterns([("b", line(30)), ("a", item)])], texts))
+    assert len(found) == len(texts) and found[:3] == [([], set())] * 3
+    for text, (ranges, items) in zip(texts[3:], found[3:]):
+        at = text.index(normalise(item))
+        assert ranges == [(at, at + len(item) + 2)] and items == {"a"}
+
+
+def test_tables_are_compact(spark):
+    """About 13 bytes for a byte of item text, in parts of the size asked for; repeated items fill no part."""
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(10**5)}" for _ in range(60))) for i in range(1000)]
+    size = sum(len(t) for _, t in items)
+    assert Patterns([(str(i), t) for i, t in items]).nbytes() < 16 * size
+    given = spark.createDataFrame(items + [items[0]] * 5000, "item_id long, text string")
+    tables, n = pattern_tables(given, "item_id", "text", 10, size // 8, False)
+    assert n == size // (size // 8) + 1 and tables.count() == n
+    longest = tables.selectExpr("max(octet_length(tables)) AS n").first().n
+    assert longest < 16 * 2 * size / n
+
+
+def test_one_pass_for_many_parts(spark, monkeypatch):
+    """Documents are rewritten only for items beyond ``parts`` tables; results do not depend on either."""
+    from glotsieve.llm import wu_manber
+
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(40)]
+    docs = spark.createDataFrame([(i, f"a {items[i][1]} b {items[-i][1]}") for i in range(40)], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    written = []
+    monkeypatch.setattr(wu_manber, "settle", lambda df, name, inner=wu_manber.settle: written.append(name) or inner(df, name))
+    size = sum(len(t) for _, t in items)
+    results = []
+    for part_bytes, parts in ((10**6, 8), (size // 7, 8), (size // 7, 3)):
+        results.append(sorted(map(tuple, benchmark_overlaps(docs, table, part_bytes=part_bytes, parts=parts).collect())))
+    assert results[0] == results[1] == results[2] and all(len(r[3]) == min(2, 1 + (r[0] > 0) * (r[0] != 20)) for r in results[0])
+    assert written.count("overlaps") == 2
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
