@@ -11,9 +11,12 @@ pair whose product lies further below the threshold is no link, one as far
 above it is one, and only those between are computed in double precision.
 
 Rows are dealt into blocks, and every pair of blocks meets in one group, whose
-size is fixed: a task never gets more as the table grows. A group returns, for
-each vector with links there, their number and one edge to the group's own
-component, so many copies of one vector do not become pairs.
+size is fixed: a task never gets more as the table grows. What meets there are
+the int8 values, scales and errors, settled once. A group returns, for each
+vector with links there, their number and one edge to the group's own
+component, so many copies of one vector do not become pairs; and it marks the
+vectors of pairs that the bound leaves open. Only these are fetched in double
+precision, for that pair of blocks, and only their open pairs are computed.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ from glotsieve.llm.common import components
 from glotsieve.session import settle
 
 THRESHOLD = 0.95
-BLOCK = 8192
+BLOCK = 16_384
 TILE = 1024
 SLACK = 1e-6  # of single-precision scaling
 
@@ -44,13 +48,13 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return unit, values, scale, error
 
 
-def links(left, right, threshold: float, tile: int = TILE, same: bool = False):
-    """Yields (i, j) index arrays of the links between two quantised sides, tile by tile.
+def bounded(left, right, threshold: float, tile: int = TILE, same: bool = False):
+    """Yields (i, j, sure): pairs of two quantised sides that may reach the threshold, and whether they do for certain.
 
-    ``same``: both sides are one, and i < j is asked for.
+    A side is (int8 values, scales, errors). ``same``: both sides are one, and i < j is asked for.
     """
-    unit_l, q_l, s_l, e_l = left
-    unit_r, q_r, s_r, e_r = right
+    q_l, s_l, e_l = left
+    q_r, s_r, e_r = right
     # products of int8 are whole numbers; they are exact in the float type as long as sums fit
     kind = np.float32 if q_l.shape[1] * 127 * 127 < 1 << 24 else np.float64
     for a in range(0, len(q_l), tile):
@@ -63,18 +67,20 @@ def links(left, right, threshold: float, tile: int = TILE, same: bool = False):
             i, j = np.nonzero(about >= threshold - widest)
             if same and a == b:
                 i, j = i[i < j], j[i < j]
-            if not len(i):
-                continue
             bound = ea[i] + (1 + ea[i]) * eb[j] + SLACK
             value = about[i, j].astype(np.float64)
-            sure = value - bound >= threshold
-            open_ = np.flatnonzero(~sure & (value + bound >= threshold))
-            for k in range(0, len(open_), 1 << 16):
-                part = open_[k : k + (1 << 16)]
-                exact = np.einsum("nd,nd->n", unit_l[a + i[part]], unit_r[b + j[part]])
-                sure[part] = exact >= threshold
-            if sure.any():
-                yield a + i[sure], b + j[sure]
+            some = value + bound >= threshold
+            if some.any():
+                yield a + i[some], b + j[some], (value - bound >= threshold)[some]
+
+
+def reach(unit_l: np.ndarray, unit_r: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether pairs of unit vectors reach the threshold in double precision."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        at = slice(k, k + (1 << 16))
+        out[at] = np.einsum("nd,nd->n", unit_l[i[at]], unit_r[j[at]]) >= threshold
+    return out
 
 
 def join_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -91,26 +97,84 @@ def join_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             labels = deeper
 
 
-def _pair(threshold: float):
+TILES = "uid bigint, d int, q binary, scale double, error double"
+FOUND = "a int, b int, uid bigint, first boolean, n bigint, root bigint, open boolean"
+
+
+def _units(vectors: pa.Array) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1).astype(np.float64)
+
+
+def tiles(vectors: DataFrame) -> DataFrame:
+    """(uid, d, q, scale, error) of usable ``vectors(uid, vec)``: what products need, a byte for each component."""
+
+    def work(batches):
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch["vec"])
+            for d in pa.compute.unique(sizes).to_pylist():
+                part = batch.filter(pa.compute.equal(sizes, d))
+                _, q, scale, error = quantise(_units(part["vec"]))
+                values = pa.array([row.tobytes() for row in q], pa.binary())
+                yield pa.record_batch(
+                    [part["uid"], pa.array([d] * len(part), pa.int32()), values, pa.array(scale), pa.array(error)],
+                    names=["uid", "d", "q", "scale", "error"],
+                )
+
+    return vectors.mapInArrow(work, TILES)
+
+
+def _compare(threshold: float, late: bool):
+    """Links of a pair of blocks: the certain ones, or ``late`` those of open pairs, in double precision."""
+
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        block = rows["block"].to_numpy()
-        uid = rows["uid"].to_numpy()
-        flat = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        side = quantise(flat.reshape(len(rows), -1).astype(np.float64))
-        first, last = key[0].as_py(), key[1].as_py()
-        at_l, at_r = np.flatnonzero(block == first), np.flatnonzero(block == last)
+        a, b = key[0].as_py(), key[1].as_py()
+        uid, first = rows["uid"].to_numpy(), rows["first"].to_numpy()
+        q = np.frombuffer(b"".join(rows["q"].to_pylist()), np.int8).reshape(len(rows), -1)
+        side = q, rows["scale"].to_numpy(), rows["error"].to_numpy()
+        at_l, at_r = np.flatnonzero(first), np.flatnonzero(~first) if a != b else np.flatnonzero(first)
         count, labels = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        open_ = np.zeros(len(rows), bool)
+        if late:
+            unit = quantise(_units(rows["vec"].combine_chunks()))[0]
         parts = [[x[at] for x in side] for at in (at_l, at_r)]
-        for i, j in links(*parts, threshold, same=first == last):
+        for i, j, sure in bounded(*parts, threshold, same=a == b):
             i, j = at_l[i], at_r[j]
+            if late:
+                i, j = i[~sure], j[~sure]
+                linked = reach(unit, unit, i, j, threshold)
+            else:
+                linked = sure
+                open_[i[~sure]] = open_[j[~sure]] = True
+            i, j = i[linked], j[linked]
             count += np.bincount(i, minlength=len(rows)) + np.bincount(j, minlength=len(rows))
             labels = join_labels(labels, i, j)
-        some = np.flatnonzero(count)
-        return pa.table({"uid": uid[some], "n": count[some], "root": uid[labels[some]]})
+        some = np.flatnonzero((count > 0) | open_)
+        blocks = [pa.array(np.full(len(some), x, np.int32)) for x in (a, b)]
+        return pa.table(
+            [*blocks, uid[some], first[some], count[some], uid[labels[some]], open_[some]],
+            names=["a", "b", "uid", "first", "n", "root", "open"],
+        )
 
     return compare
 
 
+def _block_links(vectors: DataFrame, tile: DataFrame, d: int, blocks: int, threshold: float) -> DataFrame:
+    """Number of links and an edge for each vector with links in a pair of blocks of vectors of ``d`` components."""
+    own = F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = tile.filter(F.col("d") == d).select("uid", "q", "scale", "error", own.alias("own"), other.alias("other"))
+    dealt = dealt.select(
+        "uid", "q", "scale", "error",
+        F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("first"),
+    )
+    certain = settle(dealt.groupBy("a", "b").applyInArrow(_compare(threshold, False), FOUND), "certain-links")
+    left_open = certain.filter("open").select("a", "b", "uid", "first")
+    fetched = left_open.join(vectors.select("uid", "vec"), "uid").join(tile.select("uid", "q", "scale", "error"), "uid")
+    late = fetched.groupBy("a", "b").applyInArrow(_compare(threshold, True), FOUND)
+    return certain.union(late).filter("n > 0").select("uid", "n", "root")
+
+
 def near_duplicates(
     vectors: DataFrame,
     key: str = "vec_id",
@@ -139,13 +203,10 @@ def near_duplicates(
     usable = rows.filter("vec is not null").filter(finite & F.exists("vec", lambda x: x != 0))
     sizes = usable.groupBy(F.size("vec").alias("d")).count().collect()  # a row for each length in use
     compared = []
+    tile = settle(tiles(usable.select("uid", "vec")), "tiles")
     for d, n in sizes:
         blocks = max(math.ceil(n / block), min(8, math.ceil(n / TILE)))
-        own = F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        dealt = usable.filter(F.size("vec") == d).select("uid", "vec", own.alias("block"), other.alias("other"))
-        dealt = dealt.select("uid", "vec", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-        compared.append(dealt.groupBy("a", "b").applyInArrow(_pair(threshold), "uid bigint, n bigint, root bigint"))
+        compared.append(_block_links(usable, tile, d, blocks, threshold))
     if not compared:
         none = F.lit(0).cast("bigint")
         out = rows.select("key", none.alias("n_links"), F.col("key").alias("component_id"))

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 
 from conftest import DATA
-from glotsieve.llm import queries
-from glotsieve.llm.embedding_tiles import join_labels, links, near_duplicates, quantise
+from glotsieve.llm import embedding_tiles, queries
+from glotsieve.llm.embedding_tiles import bounded, join_labels, near_duplicates, quantise, reach
 from parity import connect, differences
 
 
@@ -38,12 +38,17 @@ def test_bounds_hold(dims):
     rng = np.random.default_rng(dims)
     x = rng.normal(size=(300, dims))
     x[100:200] = x[:100] + rng.normal(size=(100, dims)) * rng.uniform(0.1, 0.5, (100, 1))
-    unit, q, scale, error = side = quantise(x)
+    unit, q, scale, error = quantise(x)
+    side = q, scale, error
     true = unit @ unit.T
     about = (q.astype(float) @ q.T.astype(float)) * scale[:, None] * scale
     assert (np.abs(true - about) <= error[:, None] + (1 + error[:, None]) * error + 1e-12).all()
     for t in (0.3, 0.9, 0.95):
-        got = {(a, b) for i, j in links(side, side, t, tile=64, same=True) for a, b in zip(i.tolist(), j.tolist())}
+        got = set()
+        for i, j, sure in bounded(side, side, t, tile=64, same=True):
+            linked = sure | reach(unit, unit, i, j, t)
+            assert (true[i, j][sure] >= t).all()
+            got |= set(zip(i[linked].tolist(), j[linked].tolist()))
         assert got == {(a, b) for a, b in zip(*np.nonzero(true >= t)) if a < b}
 
 
@@ -65,6 +70,30 @@ def test_against_brute_force(spark, block):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, brute(rows, 0.95)))
 
 
+def test_doubles_are_fetched_for_open_pairs_only(spark, monkeypatch):
+    """Vectors whose pairs the bound settles are compared as int8 values alone."""
+    rng = np.random.default_rng(11)
+    near = [(v / np.linalg.norm(v)) for v in rng.normal(size=(4, 32))]
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(300)]
+    rows += [(1000 + i, (near[i % 4] + rng.normal(size=32) * 1e-3).tolist()) for i in range(60)]
+    mixed = near[0] * 0.95 + near[1] * np.sqrt(1 - 0.95**2)
+    rows += [(2000, mixed.tolist()), (2001, near[0].tolist())]
+    seen = []
+
+    def settle(df, name, inner=embedding_tiles.settle):
+        out = inner(df, name)
+        if name == "certain-links":
+            seen.append(out)
+        return out
+
+    monkeypatch.setattr(embedding_tiles, "settle", settle)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = near_duplicates(df, block=50).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows, 0.95)))
+    assert len(seen) == 1 and "vec" not in seen[0].columns
+    assert 0 < seen[0].filter("open").select("uid").distinct().count() < 60
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_duplicates(df).count() == 0
