@@ -3,19 +3,24 @@
 Every rule is stored under the labels of its host, last label first, and below
 them under the whole segments of its path; what follows its last slash is kept
 at the node as a beginning. A url walks down the trie once and meets all rules
-that fit. The trie is built on the driver and broadcast: its size follows the
-rule list, which is bounded by ``max_rules``, never the pages.
+that fit. A trie is built on the driver and broadcast: it holds up to
+``max_rules`` rules, whatever the pages. A longer list is taken in parts, one
+trie after the other, and the longest rule of all parts wins.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import islice
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glotsieve.session import settle
+
 #: (action, host, path) of the rules of the registered query
 RULES = (
     ("allow", "org", "/"),
@@ -50,18 +55,20 @@ class UrlTrie:
             if action not in ("allow", "block"):
                 raise ValueError(f"unknown action {action!r}")
             node = self.root
-            for label in reversed(host.translate(_LOWER).split(".")):
+            labels = host.translate(_LOWER).split(".")
+            for label in reversed(labels):
                 node = node.setdefault("hosts", {}).setdefault(label, {})
             *whole, rest = path.split("/")
             node = node.setdefault("paths", {})
             for segment in whole:
                 node = node.setdefault("next", {}).setdefault(segment, {})
-            found = node.setdefault("begins", {})
+            # by length: a segment is looked up once for each length there is
+            found = node.setdefault("begins", {}).setdefault(len(rest), {})
             if found.get(rest, ("", ""))[1] != "block":
-                found[rest] = (host.translate(_LOWER) + path, action)
+                found[rest] = (host.translate(_LOWER) + path, action, len(labels))
 
-    def match(self, host: str, path: str) -> tuple[str, str] | None:
-        """The longest rule that fits, and its action; at equal length the one of more labels."""
+    def match(self, host: str, path: str) -> tuple[str, str, int] | None:
+        """The longest rule that fits, its action and number of labels; at equal length that of more labels."""
         best = None
         node = self.root
         segments = path.split("/")
@@ -73,8 +80,9 @@ class UrlTrie:
             for segment in segments:
                 if below is None:
                     break
-                for beginning, rule in below.get("begins", {}).items():
-                    if segment.startswith(beginning) and (best is None or len(rule[0]) >= len(best[0])):
+                for size, beginnings in below.get("begins", {}).items():
+                    rule = beginnings.get(segment[:size])
+                    if rule is not None and (best is None or len(rule[0]) >= len(best[0])):
                         best = rule
                 below = below.get("next", {}).get(segment)
         return best
@@ -94,26 +102,46 @@ def filter_urls(
     that of the rule; the longest wins, whatever its action. ``rule`` is null
     and ``verdict`` is ``default`` where none fits. A null url, and one without
     ``://``, has an empty host and path. Repeated rows are judged each; other
-    columns are not read. More than ``max_rules`` rules are refused: they would
-    not be a small broadcast, and belong in several lists applied in turn.
+    columns are not read. ``rules`` may be of any number and is read once: each
+    ``max_rules`` of them are one broadcast trie and one pass over the urls,
+    written before the next, so that a worker holds one trie at a time. Without
+    rules all urls have the default.
     """
-    rules = list(rules)
-    if len(rules) > max_rules:
-        raise ValueError(f"{len(rules)} rules; the trie is broadcast and holds up to {max_rules}")
-    trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
-
-    @F.arrow_udf("host string, path string, rule string, verdict string")
+    spark = pages.sparkSession
+    best = "struct<size: int, labels: int, action: string, rule: string>"
+    rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.lit(None).cast(best).alias("_best"))
+    rules = iter(rules)
+    part = list(islice(rules, max_rules))
+    while True:
+        trie = spark.sparkContext.broadcast(UrlTrie(part))
+        rows = rows.withColumn("_found", _judge(trie)(F.col("_url")))
+        # longest first, then of most labels, then block before allow; null where no rule fits
+        rows = rows.withColumn("_best", F.greatest("_best", F.col("_found.best")))
+        part = list(islice(rules, max_rules))
+        if not part:
+            break
+        rows = settle(rows.select("_key", "_url", "_best"), "judged-urls")
+        trie.destroy()
+    return rows.select(
+        F.col("_key").alias(key), "_found.host", "_found.path", F.col("_best.rule").alias("rule"),
+        F.coalesce("_best.action", F.lit(default)).alias("verdict"),
+    )
+
+
+def _judge(trie: Broadcast):
+    """Host and path of urls, and the best rule of one trie."""
+    best = pa.struct([("size", pa.int32()), ("labels", pa.int32()), ("action", pa.string()), ("rule", pa.string())])
+
+    @F.arrow_udf("host string, path string, best struct<size: int, labels: int, action: string, rule: string>")
     def judge(urls: pa.Array) -> pa.Array:
-        hosts, paths, found, verdicts = [], [], [], []
+        hosts, paths, found = [], [], []
         for value in urls.to_pylist():
             host, path = split_url(value)
-            rule = trie.value.match(host, path)
             hosts.append(host)
             paths.append(path)
-            found.append(rule[0] if rule else None)
-            verdicts.append(rule[1] if rule else default)
-        columns = [pa.array(x, pa.string()) for x in (hosts, paths, found, verdicts)]
-        return pa.StructArray.from_arrays(columns, ["host", "path", "rule", "verdict"])
+            rule = trie.value.match(host, path)
+            found.append(rule and {"size": len(rule[0]), "labels": rule[2], "action": rule[1], "rule": rule[0]})
+        columns = [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(found, best)]
+        return pa.StructArray.from_arrays(columns, ["host", "path", "best"])
 
-    judged = pages.select(F.col(key), judge(F.col(url)).alias("_url"))
-    return judged.select(key, "_url.host", "_url.path", "_url.rule", "_url.verdict")
+    return judge
