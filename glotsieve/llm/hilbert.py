@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glotsieve.session import settle
@@ -63,29 +63,56 @@ def curve(classes: list[Column], bits: int) -> Column:
     return place(F.array(*classes))
 
 
-def ordered_number(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column: itself, or the first 7 bytes of a string. Null is first."""
-    if df.schema[name].dataType.typeName() == "string":
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-    number = F.col(name).cast("double")
-    return F.when(number.isNull() | F.isnan(number), float("-inf")).otherwise(number)
+def string_borders(df: DataFrame, name: str, shares: list[float]) -> list[str]:
+    """Whole values of a string column at the given shares of all rows, nulls first.
+
+    Values are counted, dealt by ranges and summed within each, so the borders
+    are exact, a value that fills a third of the table is one row, and values of
+    a long common beginning are told apart. One number a range and one value a
+    share come to the driver. Where a share falls among nulls the border is the
+    empty string, which all values reach.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    ranged = counts.repartitionByRange(tasks, F.col("value").asc_nulls_first())
+    ranged = settle(ranged.withColumn("task", F.spark_partition_id()), "shard-values")
+    total, starts = 0, []
+    for task, n in sorted(tuple(r) for r in ranged.groupBy("task").agg(F.sum("n")).collect()):
+        starts.append((task, total))
+        total += n
+    if not total:
+        return []
+    places = F.array(*[F.lit(int(s * total)) for s in shares])
+    starts = df.sparkSession.createDataFrame(starts, "task int, start bigint")
+    within = Window.partitionBy("task").orderBy(F.col("value").asc_nulls_first())
+    placed = ranged.withColumn("upto", F.sum("n").over(within)).join(F.broadcast(starts), "task")
+    placed = placed.select(
+        F.coalesce("value", F.lit("")).alias("value"),
+        F.filter(places, lambda p: p.between(F.col("start") + F.col("upto") - F.col("n"), F.col("start") + F.col("upto") - 1)).alias("p"),
+    )
+    # a place that several shares fall on is a border of each
+    return [r.value for r in placed.select("value", F.explode("p").alias("p")).orderBy("p").collect()]
 
 
 def quantise(df: DataFrame, names: list[str], bits: int) -> list[Column]:
-    """Class of every column: how many of its borders lie below. All rows decide on the borders."""
+    """Class of every column: how many of its borders lie below. All rows decide on the borders. Null is first."""
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    numbers = [ordered_number(df, n) for n in names]
-    borders = df.agg(
-        *[F.percentile_approx(x, shares, ACCURACY).alias(f"b{i}") for i, x in enumerate(numbers)]
-    ).first()
+    strings = [n for n in names if df.schema[n].dataType.typeName() == "string"]
+    columns, borders = {n: F.col(n) for n in strings}, {n: string_borders(df, n, shares) for n in strings}
+    for n in set(names) - set(strings):
+        number = F.col(n).cast("double")
+        columns[n] = F.when(number.isNull() | F.isnan(number), float("-inf")).otherwise(number)
+    numbers = [n for n in names if n not in strings]
+    if numbers:
+        found = df.agg(*[F.percentile_approx(columns[n], shares, ACCURACY) for n in numbers]).first()
+        borders.update(zip(numbers, found))
     classes = []
-    for i, x in enumerate(numbers):
+    for n in names:
         # borders of many equal values fall together: such a value takes their whole range of
         # numbers, so a column of few values still reaches the high bits of the curve
         class_of = F.lit(0)
-        for k, border in enumerate(borders[i] or []):
-            class_of = F.when(x >= F.lit(border), k + 1).otherwise(class_of)
+        for k, border in enumerate(borders[n] or []):
+            class_of = F.when(columns[n] >= F.lit(border), k + 1).otherwise(class_of)
         classes.append(class_of.cast("bigint"))
     return classes
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import DATA
 from glotsieve.llm import queries
-from glotsieve.llm.hilbert import curve_index, hilbert_shards, read_shards, write_shards
+from glotsieve.llm.hilbert import curve_index, hilbert_shards, read_shards, string_borders, write_shards
 
 
 @pytest.mark.parametrize("n, bits", [(1, 4), (2, 1), (2, 5), (3, 3), (4, 2)])
@@ -87,3 +87,23 @@ def test_clashing_names_are_refused(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     with pytest.raises(ValueError):
         write_shards(docs.withColumn("_slot", F.lit(1)), f"file://{tmp_path}/refused")
+
+
+def test_strings_of_a_long_common_beginning_are_told_apart(spark):
+    rows = [(i, "x" * (i % 50), f"https://host.example/a/{i % 64:04}" if i % 9 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string")
+    got = hilbert_shards(df, dimensions=("url", "_size")).collect()
+    check(got, 16)
+    url = {i: u for i, _, u in rows}
+    for wanted in ("https://host.example/a/0003", "https://host.example/a/0060", None):
+        assert len({r.shard for r in got if url[r.doc_id] == wanted}) <= 6, wanted
+
+
+def test_string_borders_are_exact(spark):
+    values = ["hot"] * 700 + [f"a{i:03}" for i in range(200)] + ["é🙂", ""] + [None] * 98
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(9)
+    shares = [i / 32 for i in range(1, 32)]
+    ordered = sorted(values, key=lambda v: (v is not None, (v or "").encode()))
+    expected = [ordered[int(s * len(values))] or "" for s in shares]
+    assert string_borders(df, "v", shares) == expected
+    assert string_borders(df.limit(0), "v", shares) == []
