@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glotsieve.session import settle
@@ -14,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def kept(keep: Iterable[str], own: Iterable[str]) -> list[Column]:
+    """Columns to carry along; one named as a column of the result (``own``) is ``kept_`` and its name there."""
+    taken = {name.lower() for name in own}
+    return [F.col(c).alias(f"kept_{c}") if c.lower() in taken else F.col(c) for c in keep]
+
+
 def held_out(key: str):
     """True for the fifth of the rows whose labels nothing may learn from."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % LEARN_FOLDS == 0

@@ -28,10 +28,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glotsieve.llm.common import kept
+
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, DEPTH, RATE = 30, 3, 0.3
 PRECISION = 0.98  # of the spans a threshold selects, on the calibration half
-SUPPORT = 20  # candidates a threshold must select there at least
 
 #: marks around matches; a text's own are exchanged for a character no pattern knows
 MARK, SPARE = "\ue000", "\ue001"
@@ -311,17 +312,20 @@ def boost(x: np.ndarray, good: np.ndarray, bad: np.ndarray, rounds: int = ROUNDS
 
 
 def calibrate(model: Boosted, x: np.ndarray, good: np.ndarray, bad: np.ndarray, precision: float = PRECISION) -> None:
-    """The lowest threshold of each kind above which counts still keep the precision."""
+    """The lowest threshold of each kind above which counts keep the precision, however few they are.
+
+    A kind without such a threshold, or without candidates, has none.
+    """
     value = model.values(x)
     for kind in range(len(KINDS)):
         of = np.flatnonzero(x[:, 0] == kind)
-        for score in sorted(set(value[of].tolist()), reverse=True):
-            above = of[value[of] >= score]
-            a, b = good[above].sum(), bad[above].sum()
-            if (a + 1) / (a + b + 2) < precision and a + b >= SUPPORT:
-                break
-            if a + b >= SUPPORT and (a + 1) / (a + b + 2) >= precision:
-                model.least[kind] = score - 1e-9  # sums in another order may differ by less
+        of = of[np.argsort(-value[of], kind="stable")]
+        a, n = good[of].cumsum(), (good[of] + bad[of]).cumsum()
+        # descriptions of one score are selected together
+        last = np.append(value[of][1:] < value[of][:-1] - 1e-9, True)[: len(of)]
+        fits = np.flatnonzero(last & (n > 0) & (a >= precision * n))
+        if len(fits):
+            model.least[kind] = float(value[of][fits[-1]]) - 1e-9  # sums in another order may differ by less
 
 
 def targets(x: np.ndarray, base: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -387,13 +391,15 @@ def personal_data(docs: DataFrame, model: Boosted, key: str = "doc_id", text: st
     points and the end is exclusive. ``spans`` holds the base spans and the
     candidates selected that overlap none of them, the longest first of those
     that begin together and the first of those that overlap. A null text is an
-    empty one and has no spans. Repeated rows have equal spans.
+    empty one and has no spans. Repeated rows have equal spans. A ``keep``
+    column named ``base`` or ``spans`` comes back with ``kept_`` before it.
     """
     given = F.coalesce(F.col(text), F.lit(""))
     base = F.flatten(F.array(*[F.transform(base_spans(given, k), _of_kind(i)) for i, k in enumerate(KINDS)])).cast(_OUT)
     chosen = F.filter(candidates(given), lambda c: model.selected(c["d"]))
     more = F.transform(chosen, lambda c: F.struct(c["start"], (-c["end"]).alias("less"), c["d"]["kind"].alias("kind")))
-    rows = docs.select(F.struct(key, *keep).alias("_row"), base.alias("_base"), F.array_sort(more).alias("_more"))
+    carried = F.struct(F.col(key), *kept(keep, ("base", "spans")))
+    rows = docs.select(carried.alias("_row"), base.alias("_base"), F.array_sort(more).alias("_more"))
 
     def add(out: Column, c: Column) -> Column:
         span = F.struct(c["kind"], c["start"], (-c["less"]).alias("end"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glotsieve.llm.common import class_counts, labelled_sample
+from glotsieve.llm.common import class_counts, kept, labelled_sample
 
 SAMPLE = 1_500  # labelled rows of each class that training takes, at most
 TRAIN_BYTES = 6_000  # texts longer than this are scored, but not learned from
@@ -188,7 +188,8 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text",
     """(key, *keep, score), one row for each row: the probability of class 1 by the whole text.
 
     A null text counts as an empty one, which is two half chunks of padding.
-    Repeated rows get equal scores. Rows stay in their tasks.
+    Repeated rows get equal scores. Rows stay in their tasks. A ``keep`` column
+    named ``score`` comes back as ``kept_score``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -197,4 +198,4 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text",
         for texts in batches:
             yield pa.array([probability(sent.value, t.as_py()) for t in texts], pa.float64())
 
-    return docs.select(F.col(key), *keep, judge(F.col(text)).alias("score"))
+    return docs.select(F.col(key), *kept(keep, ("score",)), judge(F.col(text)).alias("score"))

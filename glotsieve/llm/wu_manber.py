@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glotsieve.llm.common import kept
 from glotsieve.session import settle
 
 WINDOW = 10
@@ -313,10 +314,11 @@ def benchmark_overlaps(
     shuffle. One pass over the documents searches for ``parts * part_bytes`` of
     item text, which bounds what is broadcast; the driver holds one table of
     ``part_bytes`` at a time. Items beyond that take further passes, each over
-    a settled table.
+    a settled table. A ``keep`` column with the name of a column of the result
+    comes back with ``kept_`` before it.
     """
     spark = docs.sparkSession
-    out = docs.select(F.struct(key, *keep).alias("_row"), F.col(text).alias("_text"))
+    out = docs.select(F.struct(F.col(key), *kept(keep, ("n_words", "spans", "items"))).alias("_row"), F.col(text).alias("_text"))
     tables, n = pattern_tables(items, item_key, item_text, size, part_bytes, unnamed)
     found = None
     for k in range(0, n, parts):

@@ -126,6 +126,34 @@ def test_scores_agree():
     assert model.least == {}
 
 
+def test_thresholds_of_small_tables():
+    """Counts a hundredth as large give the same thresholds; ties are selected together or not at all."""
+    x = np.zeros((4, len(pb.CLASSES)), int)
+    x[:, 1] = [0, 1, 2, 3]
+    model = pb.Boosted(trees=[(1, 2, 0.0, (1, 3, 1.0, 2.0))])
+    for many in (1, 100):
+        model.least = {}
+        pb.calibrate(model, x, many * np.array([0.0, 0.0, 1.0, 3.0]), many * np.array([1.0, 0.0, 0.0, 0.0]))
+        assert model.least == {0: pytest.approx(1.0)}
+        model.least = {}
+        # two descriptions of score 0, one of them bad: both would be selected, 98 of 100 are good
+        pb.calibrate(model, x, many * np.array([0.0, 0.0, 49.0, 49.0]), many * np.array([1.0, 1.0, 0.0, 0.0]))
+        assert model.least == {0: pytest.approx(0.0, abs=1e-6)}
+    model.least = {}
+    pb.calibrate(model, x, np.zeros(4), np.zeros(4))
+    assert model.least == {}
+
+
+def test_few_rows_select_as_many_do(spark):
+    """Three texts of each half are enough: what is announced as often as the base has it is selected."""
+    rows = [(i, f"Tel. +49 30 123456{i % 10}{i // 10}. Phone: 030 765432{i % 10}{i // 10}. Order 8812{i:04} came.", "x") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    found = pb.personal_data(docs, pb.fit(docs), keep=("text", "spans")).collect()
+    for r in found:
+        assert r.kept_spans == "x"
+        assert {r.text[s.start : s.end][:3] for s in r.spans} == {"+49", "030"}
+
+
 def test_cases(spark):
     from pyspark.sql import functions as F
 

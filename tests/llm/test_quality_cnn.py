@@ -87,3 +87,10 @@ def test_cases(spark):
         text = dict((k, t) for k, t, _ in rows)[r.doc_id]
         assert abs(r.score - qc.probability(model, text)) < 1e-9
     assert qc.score(docs.limit(0), qc.fit(docs.limit(0), mixed)).count() == 0
+
+
+def test_kept_columns_of_the_results_names(spark):
+    docs = spark.createDataFrame([(1, "a", 9), (1, None, 8)], "doc_id long, text string, Score int")
+    rows = qc.score(docs, qc.initial(3), keep=("Score", "text"))
+    assert rows.columns == ["doc_id", "kept_Score", "text", "score"]
+    assert sorted(r.kept_Score for r in rows.collect()) == [8, 9]

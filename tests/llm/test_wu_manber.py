@@ -136,3 +136,12 @@ def test_queries(spark):
     db = connect(DATA)
     for name in ("op5_url_trie", "op8_wu_manber"):
         assert differences(queries.QUERIES[name](spark, DATA), db, queries.SQL[name]) is None
+
+
+def test_kept_columns_of_the_results_names(spark):
+    docs = spark.createDataFrame([(1, "one two", "s", 5)], "doc_id long, text string, spans string, items int")
+    items = spark.createDataFrame([(7, "two")], "item_id long, text string")
+    rows = benchmark_overlaps(docs, items, keep=("spans", "items", "text"))
+    assert rows.columns == ["doc_id", "kept_spans", "kept_items", "text", "n_words", "spans", "items"]
+    (r,) = rows.collect()
+    assert (r.kept_spans, r.kept_items, r["items"], [tuple(s) for s in r.spans]) == ("s", 5, ["7"], [(1, 2)])
