@@ -107,18 +107,20 @@ def _to(alphabet: str) -> str:
 
 
 def _gaps(source: str, columns: str) -> str:
-    return f"""(SELECT {columns}, CASE doc_id % 97 WHEN 3 THEN '_ _' WHEN 4 THEN substr(text, 1, 2)
-    ELSE text END AS text FROM {source})"""
+    copy = columns.replace("doc_id", "-doc_id AS doc_id")
+    return f"""(SELECT {columns}, text FROM {source}
+    UNION ALL SELECT {copy}, CASE doc_id % 97 WHEN 3 THEN '_ _' ELSE substr(text, 1, 2) END AS text
+    FROM {source} WHERE doc_id % 97 IN (3, 4))"""
 
 
 def _scripts(source: str, extra: str = "") -> str:
     other = _by_language(_to(q.GREEK), _to(q.THAI), _to(q.DEVANAGARI), _to(q.HEBREW))
     return f"""
   SELECT doc_id, source {extra},
-    CASE doc_id % 10 WHEN 5 THEN {_to(q.CYRILLIC)} WHEN 6 THEN {_to(q.ARABIC)}
+    CASE abs(doc_id) % 10 WHEN 5 THEN {_to(q.CYRILLIC)} WHEN 6 THEN {_to(q.ARABIC)}
       WHEN 7 THEN {_to(q.HAN)} WHEN 8 THEN {other} WHEN 9 THEN {_to(q.ACCENTED)}
       ELSE text END AS text,
-    CASE doc_id % 10
+    CASE abs(doc_id) % 10
       WHEN 5 THEN {_by_language("'Russian'", "'Bulgarian'", "'Bulgarian'", "'Russian'")}
       WHEN 6 THEN {_by_language("'Arabic'", "'Urdu'", "'Pushto'", "'Persian'")}
       WHEN 7 THEN {_by_language("'Chinese'", "'Japanese'", "'Korean'", "'Chinese'")}

@@ -86,16 +86,23 @@ def _by_language(english: str, french: str, german: str, spanish: str) -> Column
 
 
 def with_gaps(df: DataFrame) -> DataFrame:
-    """Some documents without letters, and some of two characters, by a rule on the key."""
+    """All documents, and beside them copies of some without letters or of two characters, with keys below zero."""
     rest = F.col(KEY) % 97
-    text = F.when(rest == 3, "_ _").when(rest == 4, F.substring("text", 1, 2)).otherwise(F.col("text"))
-    return df.withColumn("text", text)
+    texts = (
+        F.when(rest == 3, F.array("text", F.lit("_ _")))
+        .when(rest == 4, F.array("text", F.substring("text", 1, 2)))
+        .otherwise(F.array("text"))
+    )
+    others = [c for c in df.columns if c != "text"]
+    both = df.select(*others, F.posexplode(texts).alias("_copy", "text"))
+    key = F.when(F.col("_copy") == 1, -F.col(KEY)).otherwise(F.col(KEY))
+    return both.select(*[key.alias(c) if c == KEY else c for c in df.columns])
 
 
 def in_scripts(df: DataFrame) -> DataFrame:
     """Documents in eight scripts, half of them, with languages to match."""
     df = with_gaps(df)
-    kind = F.col(KEY) % 10
+    kind = F.abs(KEY) % 10
 
     def to(alphabet: str) -> Column:
         return F.translate("text", LATIN, alphabet)
