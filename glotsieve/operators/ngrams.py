@@ -2,16 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import sys
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glotsieve.functions import text as tx
-from glotsieve.session import attach, settle
+from glotsieve.session import settle
 from glotsieve.values import CANDIDATES, GRAM_SIZE, TEMPLATE_SIZE
 
+# Tasks get the helpers below along with the functions that use them, so that
+# workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+HELD = 1 << 18  # grams a task gathers before it hands them over
+
+
+def count_grams(counts: Counter[str], text: str | None, n: int) -> None:
+    """Add the overlapping n-grams of a text, by code points."""
+    if text:
+        counts.update([text[i : i + n] for i in range(len(text) - n + 1)])
+
+
+def falling(counts: Counter[str]) -> list[str]:
+    """Grams by falling count, equal ones by gram: the second sort keeps the order of equals."""
+    return sorted(sorted(counts), key=counts.__getitem__, reverse=True)
+
+
+def _ranked_texts(by: int, n: int):
+    """Grams of one group after the other, in pieces of a bounded number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [*batch.schema.names[:by], "gram", "n", "rank"]
+
+            def rows() -> pa.RecordBatch:
+                which = pa.array(np.repeat(owners, sizes))
+                ranks = np.concatenate([np.arange(1, size + 1, dtype=np.int32) for size in sizes])
+                keys = [c.take(which) for c in batch.columns[:by]]
+                return pa.record_batch(
+                    [*keys, pa.array(grams, pa.string()), pa.array(ns, pa.int64()), pa.array(ranks)], names
+                )
+
+            owners, sizes, grams, ns = [], [], [], []
+            for i, texts in enumerate(batch.column(by)):
+                counts: Counter[str] = Counter()
+                for text in texts.as_py():
+                    count_grams(counts, text, n)
+                order = falling(counts)
+                owners.append(i)
+                sizes.append(len(order))
+                grams += order
+                ns += [counts[g] for g in order]
+                if len(grams) > HELD:
+                    yield rows()
+                    owners, sizes, grams, ns = [], [], [], []
+            if grams:
+                yield rows()
+
+    return run
+
 
 def char_ngrams(
     df: DataFrame,
@@ -25,19 +81,21 @@ def char_ngrams(
     Equal counts are ordered by gram. Counts are combined within tasks, and
     with a limit each task first drops what cannot rank, so a class that holds
     a third of the corpus still sends a few hundred grams a task to its window.
+    Without one, groups are texts: they move once, and a task counts, ranks and
+    hands over the grams of one after the other.
     """
     texts = df.select(*by, F.col(text).alias("_text"))
     if limit is None:
-        # Groups are texts here: they move once, and their grams not at all.
-        texts = texts.repartition(*by)
+        grouped = texts.repartition(*by).groupBy(*by).agg(F.collect_list("_text").alias("_texts"))
+        kinds = texts.select(*by, F.lit("").alias("gram"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("rank"))
+        return grouped.mapInArrow(_ranked_texts(len(by), n), kinds.schema)
     counts = (
         texts.select(*by, F.explode(tx.char_ngrams("_text", n)).alias("gram"))
         .groupBy(*by, "gram")
         .agg(F.count("*").alias("n"))
     )
     order = Window.partitionBy(*by).orderBy(F.desc("n"), "gram")
-    ranked = counts.withColumn("rank", F.row_number().over(order))
-    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
 @dataclass(frozen=True)
@@ -85,11 +143,31 @@ def candidate_languages(df: DataFrame, script: str = "script") -> DataFrame:
     return df.withColumn("candidates", column)
 
 
+def text_distances(
+    texts: Iterable[str | None], ranks: Mapping[str, list[tuple[int, int]]], sizes: list[int], n: int, k: int
+) -> tuple[list[int], bool]:
+    """Rank distances of some texts, taken as one, to the templates of their group.
+
+    ``ranks`` holds ``(place, rank)`` of a gram by candidate, and ``sizes`` how
+    many grams each has. A gram the texts lack costs k: rather than listing the
+    missing ones, each match lowers k times the template's size. The second
+    value tells whether the texts have any gram.
+    """
+    counts: Counter[str] = Counter()
+    for text in texts:
+        count_grams(counts, text, n)
+    found = [k * size for size in sizes]
+    for rank, gram in enumerate(falling(counts), 1):
+        for place, expected in ranks.get(gram, ()):
+            found[place] += abs(rank - expected) - k
+    return found, bool(counts)
+
+
 def rank_distances(
     df: DataFrame,
     by: list[str],
     script: str,
-    grams: Column,
+    text: Column,
     templates: Templates,
     groups: Mapping[str, list[str]] = CANDIDATES,
     bare: bool = False,
@@ -97,64 +175,50 @@ def rank_distances(
     """``(*by, distances)`` with ``ARRAY<STRUCT<language, distance>>``.
 
     ``by`` identifies a text, by its key first, and includes its ``script``
-    group. All grams of the text are ranked, then matched with the templates,
-    which are broadcast (at most k rows a candidate). A gram the text lacks costs k: rather than listing the
-    missing ones, each match lowers k times the template's size. A text with
-    null grams keeps its row; one without any grams has null distances, or with
-    ``bare`` those of a text that lacks every gram.
+    group. The grams of a text stay in its row: they are counted, ranked and
+    matched with the templates there, which are broadcast (at most k rows a
+    candidate), so a task holds one text's grams at a time, whatever the
+    partition. A text that is null keeps its row; one without any grams has null
+    distances, or with ``bare`` those of a text that lacks every gram.
     """
-    usable = candidates_with_template(templates, groups)
-    width = max((len(names) for names in usable.values()), default=0)
-    places = [(g, c, i) for g, names in usable.items() for i, c in enumerate(names)]
-    spark = df.sparkSession
-    places_table = spark.createDataFrame(places, f"{script} STRING, language STRING, place INT")
-    # One row a gram and a column a candidate, so a match never multiplies rows.
-    lookup = (
-        templates.table.join(F.broadcast(places_table), "language")
-        .groupBy(script, "gram")
-        .agg(
-            *[
-                F.max(F.when(F.col("place") == i, F.col("rank"))).alias(f"rank{i}")
-                for i in range(width)
-            ]
-        )
-    )
-    counts = (
-        df.select(*by, F.explode_outer(grams).alias("gram"))
-        .groupBy(*by, "gram")
-        .agg(F.count("*").alias("n"))
-    )
-    order = Window.partitionBy(*by).orderBy(F.desc("n"), "gram")
-    matched = attach(
-        counts.withColumn("rank", F.row_number().over(order)),
-        lookup,
-        [script, "gram"],
-        spread_by=by[0],
-        rows=sum(templates.sizes[language] for _, language, _ in places),
-    )
-    gains = [
-        F.sum(F.abs(F.col("rank") - F.col(f"rank{i}")) - F.lit(templates.k)).alias(f"gain{i}")
-        for i in range(width)
-    ]
-    summed = matched.groupBy(*by).agg(F.count("gram").alias("n_grams"), *gains)
+    usable = {g: names for g, names in candidates_with_template(templates, groups).items() if names}
+    places: dict[str, list[tuple[str, int]]] = {}
+    for group, names in usable.items():
+        for place, language in enumerate(names):
+            places.setdefault(language, []).append((group, place))
+    ranks: dict[str, dict[str, list[tuple[int, int]]]] = {g: {} for g in usable}
+    # At most k rows a candidate.
+    for row in templates.table.filter(F.col("language").isin(list(places))).collect():
+        for group, place in places[row.language]:
+            ranks[group].setdefault(row.gram, []).append((place, row.rank))
+    sizes = {g: [templates.sizes[language] for language in names] for g, names in usable.items()}
+    shared = df.sparkSession.sparkContext.broadcast((ranks, sizes))
+    n, k = templates.n, templates.k
+
+    @F.arrow_udf("array<bigint>")
+    def measure(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        ranks, sizes = shared.value
+        for texts, scripts in batches:
+            found = []
+            for given, group in zip(texts, scripts.to_pylist()):
+                if group not in sizes:
+                    found.append(None)
+                    continue
+                distances, some = text_distances(given.as_py(), ranks[group], sizes[group], n, k)
+                found.append(distances if some or bare else None)
+            yield pa.array(found, pa.list_(pa.int64()))
+
+    texts = df.select(*by, text.alias("_text")).groupBy(*by).agg(F.collect_list("_text").alias("_texts"))
+    measured = texts.select(*by, measure("_texts", F.col(script)).alias("_found"))
     distances = F.lit(None).cast("array<struct<language:string,distance:bigint>>")
     for group, names in usable.items():
         row = [
-            F.struct(
-                F.lit(language).alias("language"),
-                (
-                    F.lit(templates.k * templates.sizes[language])
-                    + F.coalesce(F.col(f"gain{i}"), F.lit(0))
-                ).cast("long").alias("distance"),
-            )
+            F.struct(F.lit(language).alias("language"), F.get("_found", F.lit(i)).alias("distance"))
             for i, language in enumerate(names)
         ]
-        if row:
-            wanted = F.col(script) == group
-            if not bare:
-                wanted = wanted & (F.col("n_grams") > 0)
-            distances = F.when(wanted, F.array(*row)).otherwise(distances)
-    return summed.select(*by, distances.alias("distances"))
+        wanted = (F.col(script) == group) & F.col("_found").isNotNull()
+        distances = F.when(wanted, F.array(*row)).otherwise(distances)
+    return measured.select(*by, distances.alias("distances"))
 
 
 def ngram_distance(
@@ -168,7 +232,7 @@ def ngram_distance(
     names = languages or sorted(templates.sizes)
     keyed = df.select(key, text, F.lit("any").alias("script")).repartition(key)
     found = rank_distances(
-        keyed, [key, "script"], "script", tx.char_ngrams(text, templates.n), templates,
+        keyed, [key, "script"], "script", F.col(text), templates,
         {"any": names}, bare=True,
     )
     return found.select(key, F.inline("distances"))

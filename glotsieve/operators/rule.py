@@ -27,7 +27,7 @@ def closest_distance(
     """
     texts = df.select(key, script, text).repartition(key)
     found = rank_distances(
-        texts, [key, script], script, tx.char_ngrams(text, templates.n), templates
+        texts, [key, script], script, F.col(text), templates
     )
     return found.select(key, nearest_language("distances", margin).alias("closest"))
 
@@ -80,7 +80,7 @@ def rule_inputs(
         labelled,
         [*by, "script", "decided"],
         "script",
-        F.when(F.col("decided").isNull(), tx.char_ngrams(text, templates.n)),
+        F.when(F.col("decided").isNull(), F.col(text)),
         templates,
     ).select(*by, "decided", "distances")
     settled = predictions.filter(~unknown).withColumn("decided", F.col("nb_predict"))
