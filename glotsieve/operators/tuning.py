@@ -19,7 +19,7 @@ from glotsieve.operators.naive_bayes import MAX_CELLS, count_terms
 from glotsieve.operators.rule import rule_label
 from glotsieve.operators.sampling import fold_of
 from glotsieve.operators.vocabulary import word_counts
-from glotsieve.session import attach, settle
+from glotsieve.session import attach, settle, spread
 from glotsieve.values import (
     ALPHA,
     ALPHAS,
@@ -42,16 +42,19 @@ def cv_predictions(
     alphas: list[float],
     folds: int = FOLDS,
     seed: int = SEED,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``(key, truth, text_length, part, model, alpha, best_predict, best_prob)``.
 
     ``model`` is the fold left out; ``part`` tells whether the text was in it
-    (test) or trained on (train).
+    (test) or trained on (train). ``counts``: ``fold_counts``, if they were made
+    before.
     """
     spark = df.sparkSession
     fold = fold_of(key, folds, seed).alias("fold")
     texts = df.select(key, F.col(language).alias("language"), F.col(text).alias("text"), fold)
-    counts = word_counts(texts, "text", ["language", "fold"])
+    if counts is None:
+        counts = word_counts(texts, "text", ["language", "fold"])
     terms = settle(count_terms(counts, ["language", "fold"], vocabulary), "fold-terms")
     docs = texts.groupBy("language", "fold").agg(F.count("*").alias("docs"))
     tokens = terms.groupBy("language", "fold").agg(F.sum("n").alias("tokens"))
@@ -61,15 +64,15 @@ def cv_predictions(
         _model_rows(classes, names, vocabulary.size, alphas, folds),
         "model INT, alpha DOUBLE, place INT, classes ARRAY<STRUCT<id: INT, prior: DOUBLE, base: DOUBLE>>",
     )
-    known = _held_out_counts(terms, names, folds)
+    known = _held_out_gains(terms, names, alphas, folds)
 
     # One exchange of texts serves the counts of tokens, the sums by class and the sizes.
-    moved = texts.repartition(key)
+    moved = spread(texts, key, "text")
     units = moved.select(key, F.explode(vocabulary.units("text")).alias("unit"))
     counted = vocabulary.with_tokens(units, key).groupBy(key, "token").agg(
         F.count("*").alias("m")
     )
-    cells = vocabulary.size * folds * len(names)
+    cells = vocabulary.size * folds * len(names) * len(alphas)
     found = attach(
         counted, known, "token", key, how="inner",
         rows=vocabulary.size,
@@ -77,11 +80,10 @@ def cv_predictions(
     )
 
     # A class and a text meet once; models and values tried are columns.
-    def gain(model: int, alpha: float) -> Column:
-        logs = F.log(F.col(f"n{model}") + alpha) - F.lit(math.log(alpha))
-        return F.sum(F.col("m") * logs)
+    def gain(model: int, place: int) -> Column:
+        return F.sum(F.col("m") * F.get("logs", F.lit(model * len(alphas) + place)))
 
-    gains = F.array(*[F.array(*[gain(m, a) for a in alphas]) for m in range(folds)])
+    gains = F.array(*[F.array(*[gain(m, i) for i in range(len(alphas))]) for m in range(folds)])
     matched = (
         found.select(key, "m", F.inline("entries"))
         .groupBy(key, "id")
@@ -148,26 +150,40 @@ def _model_rows(classes, names, size: int, alphas, folds: int) -> list[tuple]:
     return rows
 
 
-def _held_out_counts(terms: DataFrame, names: list[str], folds: int) -> DataFrame:
-    """``(token, entries)``: for each class of a token, its count by held-out model.
+def fold_counts(
+    df: DataFrame, key: str, text: str, language: str, folds: int = FOLDS, seed: int = SEED
+) -> DataFrame:
+    """``(language, fold, word, n)``, from which a vocabulary can be trained as well."""
+    fold = fold_of(key, folds, seed).alias("fold")
+    texts = df.select(F.col(language).alias("language"), F.col(text).alias("text"), fold)
+    return word_counts(texts, "text", ["language", "fold"])
+
+
+def _held_out_gains(terms: DataFrame, names: list[str], alphas: list[float], folds: int) -> DataFrame:
+    """``(token, entries)``: for each class of a token, what it adds to a score.
 
-    One row a token and at most one entry a class in it, so never more than
-    the vocabulary times the number of classes.
+    ``logs`` has a value for each held-out model and smoothing, in this order, so
+    no logarithm is taken for a text. One row a token and at most one entry a
+    class in it, so never more than the vocabulary times the number of classes.
     """
     by_fold = [
         F.coalesce(F.sum(F.when(F.col("fold") == m, F.col("n"))), F.lit(0)).alias(f"f{m}")
         for m in range(folds)
     ]
     ids = F.create_map(*[F.lit(x) for pair in ((n, i) for i, n in enumerate(names)) for x in pair])
-    left = [(F.col("total") - F.col(f"f{m}")).alias(f"n{m}") for m in range(folds)]
+    logs = F.array(
+        *[
+            F.log(F.col("total") - F.col(f"f{m}") + alpha) - F.lit(math.log(alpha))
+            for m in range(folds)
+            for alpha in alphas
+        ]
+    )
     return (
         terms.groupBy("token", "language")
         .agg(F.sum("n").alias("total"), *by_fold)
-        .select("token", F.try_element_at(ids, F.col("language")).alias("id"), *left)
+        .select("token", F.try_element_at(ids, F.col("language")).alias("id"), logs.alias("logs"))
         .groupBy("token")
-        .agg(
-            F.collect_list(F.struct("id", *[f"n{m}" for m in range(folds)])).alias("entries")
-        )
+        .agg(F.collect_list(F.struct("id", "logs")).alias("entries"))
     )
 
 
@@ -205,8 +221,9 @@ def nb_tune_alpha(
     vocabulary,
     alphas: list[float] = ALPHAS,
     t: float = TUNING_THRESHOLD,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    scored = cv_predictions(df, key, text, language, vocabulary, alphas)
+    scored = cv_predictions(df, key, text, language, vocabulary, alphas, counts=counts)
     label = _verdict(confidence_threshold("text_length", t))
     return cv_table(scored.withColumn("label", label), "alpha", "truth", "label")
 
@@ -219,8 +236,9 @@ def nb_tune_threshold(
     vocabulary,
     alpha: float = ALPHA,
     thresholds: list[float] = THRESHOLDS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    scored = cv_predictions(df, key, text, language, vocabulary, [alpha])
+    scored = cv_predictions(df, key, text, language, vocabulary, [alpha], counts=counts)
     tried = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("t")
     each = scored.select("truth", "part", "model", "text_length", "best_predict", "best_prob", tried)
     label = _verdict(confidence_threshold("text_length", F.col("t")))
@@ -257,6 +275,9 @@ def unicode_tune_margin(
     )
     names = ["all", "right", "english", "missed", "other", "taken"]
     model = F.explode(F.array(*[F.lit(m) for m in range(folds)])).alias("model")
+    # Read twice below: a row for each margin and fold, written once, so that
+    # texts are judged once.
+    counts = settle(counts, "margin-counts")
     # A margin may have no text of a fold; that model is tested on nothing.
     totals = counts.groupBy("margin").agg(*[F.sum(n).alias(f"t_{n}") for n in names])
     own = counts.withColumnRenamed("fold", "model")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glotsieve.functions.text import words
 from glotsieve.operators.topk import largest_rows
-from glotsieve.session import attach, settle
+from glotsieve.session import attach, settle, spread
 from glotsieve.values import VOCABULARY_SIZE
 
 OUT_OF_VOCABULARY = 0
@@ -80,7 +80,7 @@ def tokenize(df: DataFrame, key: str, text: str, vocabulary) -> DataFrame:
 
     Texts are exchanged once, by key; their tokens stay in the task.
     """
-    texts = df.select(key, F.col(text).alias("_text")).repartition(key)
+    texts = spread(df.select(key, F.col(text).alias("_text")), key, "_text")
     units = texts.select(
         key, F.posexplode_outer(vocabulary.units("_text")).alias("position", "unit")
     )

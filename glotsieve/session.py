@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+PART = 4 << 20  # characters of text in a partition whose tokens are grouped there
 
 
 def build_session(master: str | None = None, name: str = "glotsieve", **conf: str) -> SparkSession:
@@ -59,6 +61,17 @@ def settle(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def spread(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Move texts by key, into partitions of a bounded size, which costs a pass to add up lengths.
+
+    Partitions that Spark merges by the size of the texts are too large where
+    each text is taken apart and grouped by key: its tokens take many times that.
+    """
+    chars = df.agg(F.sum(F.length(text))).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / PART))
+    return df.repartition(parts, key)
+
+
 def attach(
     big: DataFrame,
     small: DataFrame,
