@@ -86,22 +86,27 @@ def char_ngrams(col: Column | str, n: int = 3) -> Column:
 def letter_runs(col: Column | str) -> Column:
     """Letters in order, runs within one frequent block kept together.
 
-    A run counts as many letters as it is long, so a Latin text yields a few
-    rows per word boundary or accent rather than one per letter.
+    A run counts as many letters as it is long. Spaces are taken out after
+    composition, so that a Latin text yields a run at each change of block, such
+    as an accent, rather than one a word or a letter.
     """
     runs = "|".join(
         [
             r"[A-Za-z]+",
             r"[\x{C0}-\x{FF}&&\p{L}]+",
+            r"[\x{370}-\x{3FF}&&\p{L}]+",
             r"[\x{400}-\x{4FF}&&\p{L}]+",
+            r"[\x{590}-\x{5FF}&&\p{L}]+",
             r"[\x{600}-\x{6FF}&&\p{L}]+",
+            r"[\x{900}-\x{97F}&&\p{L}]+",
             r"[\x{E00}-\x{E7F}&&\p{L}]+",
             r"[\x{4E00}-\x{9FFF}&&\p{L}]+",
             r"[\x{AC00}-\x{D7AF}&&\p{L}]+",
             r"\p{L}",
         ]
     )
-    return F.regexp_extract_all(compose_letters(col), F.lit(runs), F.lit(0))
+    letters = F.replace(compose_letters(col), F.lit(" "), F.lit(""))
+    return F.regexp_extract_all(letters, F.lit(runs), F.lit(0))
 
 
 @lru_cache(maxsize=1)

@@ -88,15 +88,15 @@ def _by_language(english: str, french: str, german: str, spanish: str) -> Column
 def with_gaps(df: DataFrame) -> DataFrame:
     """All documents, and beside them copies of some without letters or of two characters, with keys below zero."""
     rest = F.col(KEY) % 97
-    texts = (
-        F.when(rest == 3, F.array("text", F.lit("_ _")))
-        .when(rest == 4, F.array("text", F.substring("text", 1, 2)))
-        .otherwise(F.array("text"))
-    )
-    others = [c for c in df.columns if c != "text"]
-    both = df.select(*others, F.posexplode(texts).alias("_copy", "text"))
-    key = F.when(F.col("_copy") == 1, -F.col(KEY)).otherwise(F.col(KEY))
-    return both.select(*[key.alias(c) if c == KEY else c for c in df.columns])
+    copies = F.when(rest.isin(3, 4), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    # Numbers are exploded, not texts: who reads no text does not clean it.
+    both = df.select("*", F.explode(copies).alias("_copy"))
+    copy = F.col("_copy") == 1
+    changed = {
+        KEY: F.when(copy, -F.col(KEY)).otherwise(F.col(KEY)),
+        "text": F.when(copy & (rest == 3), "_ _").when(copy, F.substring("text", 1, 2)).otherwise(F.col("text")),
+    }
+    return both.select(*[changed[c].alias(c) if c in changed else c for c in df.columns])
 
 
 def in_scripts(df: DataFrame) -> DataFrame:
@@ -616,7 +616,8 @@ def candidate_languages(spark, sf):
 
 def closest_distance(spark, sf):
     texts = _with_script(spark, sf)
-    templates = _templates(texts)
+    # Templates need no script; a row without a key has none and is left out.
+    templates = _templates(in_scripts(labelled(spark, sf)).filter(F.col(KEY).isNotNull()))
     return rl.closest_distance(texts, KEY, "text", "script", templates)
 
 
@@ -695,15 +696,22 @@ CV_COLUMNS = [
 ]
 
 
+def _with_folds(spark, sf):
+    """The train split, and its words counted once: for the vocabulary and for the held-out models."""
+    train = ds.filter_split(labelled(spark, sf), "train")
+    counts = settle(tn.fold_counts(train, KEY, "text", "language"), "fold-counts")
+    return train, vo.train_word_vocabulary(counts), counts
+
+
 def nb_tune_alpha(spark, sf):
-    docs, words = _with_vocabulary(spark, sf)
-    tuned = tn.nb_tune_alpha(ds.filter_split(docs, "train"), KEY, "text", "language", words)
+    train, words, counts = _with_folds(spark, sf)
+    tuned = tn.nb_tune_alpha(train, KEY, "text", "language", words, counts=counts)
     return tuned.select("alpha", *_six(*CV_COLUMNS))
 
 
 def nb_tune_threshold(spark, sf):
-    docs, words = _with_vocabulary(spark, sf)
-    tuned = tn.nb_tune_threshold(ds.filter_split(docs, "train"), KEY, "text", "language", words)
+    train, words, counts = _with_folds(spark, sf)
+    tuned = tn.nb_tune_threshold(train, KEY, "text", "language", words, counts=counts)
     return tuned.select("t", *_six(*CV_COLUMNS))
 
 

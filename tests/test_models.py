@@ -292,3 +292,57 @@ def _bayes_fixed(train, test, ids, size, alpha):
         norm = sum(math.exp(j - top) for j in joint.values())
         results.append({c: math.exp(j - top) / norm for c, j in joint.items()})
     return results
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_of_a_text_stay_in_its_row(spark):
+    rows = [(1, "abcabcab\ud55c\uae00"), (1, "bca"), (2, "ab"), (None, "xyz"), (None, "xyzx"), (3, None)]
+    df = spark.createDataFrame(rows, "key LONG, text STRING")
+    grams = ng.char_ngrams(df, ["key"], limit=None)
+    assert "Window" not in _plan(grams) and "Generate" not in _plan(grams)
+    expected = set()
+    for key in {k for k, _ in rows}:
+        texts = [t or "" for k, t in rows if k == key]
+        counts = Counter(t[i : i + 3] for t in texts for i in range(len(t) - 2))
+        order = sorted(counts, key=lambda g: (-counts[g], g))
+        expected |= {(key, g, counts[g], i + 1) for i, g in enumerate(order)}
+    assert {tuple(r) for r in grams.collect()} == expected
+    templates = ng.train_ngrams(spark.createDataFrame([("x", "abcab"), ("y", "xyz")], "language STRING, text STRING"))
+    distances = ng.ngram_distance(df, "key", "text", templates)
+    assert "Window" not in _plan(distances) and "char_ngrams" not in _plan(distances)
+    assert {(r.key, r.language): r.distance for r in distances.collect()}[(2, "y")] == 300
+
+
+def test_margins_are_judged_once(spark):
+    near = [("English", 10), ("French", 12)]
+    rows = [(i, "English" if i % 3 else "French", None, near) for i in range(40)]
+    inputs = spark.createDataFrame(
+        rows, "key LONG, language STRING, decided STRING, distances ARRAY<STRUCT<language: STRING, distance: LONG>>"
+    )
+    tuned = tn.unicode_tune_margin(inputs, "key", "language")
+    # The figures come from the settled counts; the texts' rows are not read again.
+    assert "decided" not in tuned._jdf.queryExecution().analyzed().toString()
+    assert tuned.count() == 10
+
+
+def test_texts_are_spread_by_their_size(spark, monkeypatch):
+    from glotsieve import session
+
+    monkeypatch.setattr(session, "PART", 100)
+    df = spark.createDataFrame([(i, "a" * 50) for i in range(64)], "key LONG, text STRING")
+    assert session.spread(df, "key", "text").rdd.getNumPartitions() == 32
+    words = vo.train_word_vocabulary(vo.word_counts(spark.createDataFrame([("a b",)], "text STRING")), 4)
+    assert ", 32)" in _plan(vo.tokenize(df, "key", "text", words)).replace("REPARTITION_BY_NUM", "")
+
+
+def test_vocabulary_of_fold_counts(spark):
+    train = _table(spark, TRAIN, "language STRING, text STRING")
+    counts = tn.fold_counts(train, "key", "text", "language").cache()
+    words = vo.train_word_vocabulary(counts, 4)
+    assert {r.unit: r.token for r in words.table.collect()} == {"der": 1, "the": 2, "hund": 3}
+    alone = tn.nb_tune_alpha(train, "key", "text", "language", words, [0.1, 1.0])
+    given = tn.nb_tune_alpha(train, "key", "text", "language", words, [0.1, 1.0], counts=counts)
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, given.collect()))

@@ -92,3 +92,9 @@ def test_seeded_hash_depends_on_seed_and_key_only(spark):
     a, b = _column(spark, ["x", "x"], F.concat(tx.seeded_hash("text", 1)))
     assert a == b
     assert _column(spark, ["x"], tx.seeded_hash("text", 2)) != [a]
+
+
+def test_words_of_one_block_are_one_run(spark):
+    values = ["the quick brown fox", "\u03b1\u03b2 \u03b3 \u05d0\u05d1 \u05d2 \u0905 \u0906", "\u1100 \u1161"]
+    runs = _column(spark, values, tx.letter_runs("text"))
+    assert [len(r) for r in runs] == [1, 3, 2]
