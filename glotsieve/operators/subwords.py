@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import math
 import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ FIRST_MAPPED_ID = 4
 LONGEST_PIECE = 16
 COVERAGE = 0.9995
 _UNKNOWN_PENALTY = 10.0
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 50_000
 _UNIT = 1_000_000  # counts are summed in millionths
 
 # Tasks get the helpers below along with the functions that use them, so that
@@ -136,8 +138,8 @@ class SubwordVocabulary:
         """Ids of a cleaned text, in order; no shuffle, and words are cached."""
         shared = self._shared
 
-        @F.pandas_udf("array<int>")
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<int>")
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             ids = {piece: token for piece, (token, _) in shared.value.items()}
             scores = {piece: score for piece, (_, score) in shared.value.items()}
             floor, longest = _floor(scores), _longest(scores)
@@ -152,8 +154,16 @@ class SubwordVocabulary:
                         found.append(token)
                 return tuple(found)
 
+            # Texts are turned one at a time into one flat array of a batch.
             for texts in batches:
-                yield texts.map(lambda t: [i for w in (t or "").split() for i in of_word(w)])
+                tokens, ends = array("i"), array("i", [0])
+                for value in texts:
+                    for word in (value.as_py() or "").split():
+                        tokens.extend(of_word(word))
+                    ends.append(len(tokens))
+                yield pa.ListArray.from_arrays(
+                    pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(tokens), pa.int32())
+                )
 
         return encode(F.col(text) if isinstance(text, str) else text)
 
