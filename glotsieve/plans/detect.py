@@ -81,7 +81,8 @@ def label_texts(
     """
     blocks = blocks if blocks is not None else jvm_blocks(df.sparkSession)
     texts = df.select(text_digest(text).alias(_DIGEST), clean_text(text).alias("_clean"))
-    texts = texts.groupBy(_DIGEST).agg(F.first("_clean").alias("_clean"))
+    # Written once: naive Bayes and the script rule both read the texts.
+    texts = settle(texts.groupBy(_DIGEST).agg(F.first("_clean").alias("_clean")), "texts")
     predictions = nb_predict(texts, _DIGEST, "_clean", detector.bayes, detector.threshold)
     found = rule_inputs(texts, predictions, _DIGEST, "_clean", blocks, detector.templates)
     return found.select(_DIGEST, rule_label(detector.margin).alias("predicted_language"))
