@@ -41,8 +41,8 @@ from glotsieve.session import settle
 LENGTH = 50
 GRAM = 20
 PACK = 1 << 16  # bytes hashed at a time
-AT_ONCE = 1 << 21  # pieces a task gathers before it hands them over
-BUCKET = 16 << 20  # bytes of text whose grams meet in one group
+AT_ONCE = 1 << 19  # pieces a task gathers before it hands them over
+BUCKET = 8 << 20  # bytes of text whose grams meet in one group
 SHARD = 2 << 20  # bytes of pieces in a shard
 OFTEN = 2048  # pieces of one gram that count as very many, at least
 GRAMS = 4_000_000  # at most so many grams of very many pieces, whatever the size of the corpus
@@ -343,7 +343,7 @@ def _ship(often, length: int, gram: int, longer: int, bits: int):
                 place = start + part.at[some] - part.starts[owner]
                 found.append((part.content(some), part.key[some], ids, digest, place, part.bytes_of(some)))
                 held += len(some)
-            if held > AT_ONCE // 8:
+            if held > AT_ONCE // 4:
                 yield rows(found)
                 found, held = [], 0
         if found:

@@ -140,3 +140,15 @@ def test_empty(spark):
 def test_query(spark):
     name = "op11_suffix_dedup"
     assert differences(queries.QUERIES[name](spark, DATA), connect(DATA), queries.SQL[name]) is None
+
+
+def test_grams_are_handed_over_before_they_are_many():
+    import numpy as np
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 1 << 16))) for _ in range(160)]
+    batch = pa.record_batch([pa.array(texts), pa.array(range(160), pa.int64())], ["text", "key"])
+    run = sd._grams(SimpleNamespace(value=np.empty(0, np.uint64)), sd.LENGTH, sd.GRAM, 4)
+    assert sum(1 for _ in run([batch])) > 1
