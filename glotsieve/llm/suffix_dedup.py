@@ -343,7 +343,7 @@ def _ship(often, length: int, gram: int, longer: int, bits: int):
                 place = start + part.at[some] - part.starts[owner]
                 found.append((part.content(some), part.key[some], ids, digest, place, part.bytes_of(some)))
                 held += len(some)
-            if held > AT_ONCE // 4:
+            if held > AT_ONCE // 2:
                 yield rows(found)
                 found, held = [], 0
         if found:
