@@ -6,7 +6,8 @@ under the current piece scores, expected piece counts are summed by a grouped
 aggregation, and new scores follow. Counts are rounded to millionths and summed
 as whole numbers, so that a rerun agrees however tasks are ordered. The piece
 table has ``seed_size`` rows and the characters needed, which bounds what is
-sent to the tasks. Only the walk over the pieces of a single word is Python.
+sent to the tasks. Tasks walk over the pieces of many words at a time, in
+arrays whose last axis is the word.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import sys
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -37,7 +39,10 @@ LONGEST_PIECE = 16
 COVERAGE = 0.9995
 _UNKNOWN_PENALTY = 10.0
 _CACHED_WORDS = 50_000
+_HELD_WORDS = 1 << 16  # words of texts that are cut into pieces together
 _UNIT = 1_000_000  # counts are summed in millionths
+_CELLS = 1 << 18  # edges of the words that are walked together
+_DENSE = 1 << 24  # steps from prefix to prefix that are held as one table
 
 # Tasks get the helpers below along with the functions that use them, so that
 # workers need no copy of this package.
@@ -78,35 +83,172 @@ def best_pieces(
     return pieces[::-1], best[-1]
 
 
-def expected_pieces(
-    word: str, scores: dict[str, float], floor: float, longest: int = LONGEST_PIECE
-):
-    """``(piece, probability)`` over all segmentations of a word.
+class Lattice:
+    """The pieces of many words at a time, found by a walk over all prefixes of pieces.
 
-    Sums are relative to the best path up to each position, so that neither
-    long words nor unlikely ones underflow.
+    A prefix is a number: 0 is none, 1 the empty one. Words of about equal
+    length are walked together, filled up with characters that are no pieces.
     """
-    edges = _edges(word, scores, floor, longest)
-    size = len(word) + 1
-    best = [0.0] + [-math.inf] * (size - 1)
-    for start, end, score, _ in edges:
-        if best[start] + score > best[end]:
-            best[end] = best[start] + score
-    weighed = [
-        (start, end, math.exp(best[start] + score - best[end]), known)
-        for start, end, score, known in edges
-    ]
-    ahead = [1.0] + [0.0] * (size - 1)
-    for start, end, weight, _ in weighed:
-        ahead[end] += ahead[start] * weight
-    behind = [0.0] * (size - 1) + [1.0]
-    # Edges come by end position, so backwards every end is complete.
-    for start, end, weight, _ in reversed(weighed):
-        behind[start] += weight * behind[end]
+
+    def __init__(self, scores: dict[str, float], floor: float | None = None):
+        self.floor = _floor(scores) if floor is None else floor
+        letters = sorted({ord(c) for piece in scores for c in piece})
+        # Letters are numbered from 1; all other characters are 0.
+        self.letter = np.zeros(max(letters, default=0) + 2, np.int32)
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        number = {"": 1}
+        steps: dict[int, int] = {}
+        for piece in scores:
+            for end in range(1, len(piece) + 1):
+                if piece[:end] not in number:
+                    number[piece[:end]] = len(number) + 1
+                    at = number[piece[: end - 1]] * self.width + int(self.letter[ord(piece[end - 1])])
+                    steps[at] = number[piece[:end]]
+        self.prefixes = ["", *number]
+        self.score = np.array([-math.inf, *(scores.get(prefix, -math.inf) for prefix in number)])
+        self.longest = _longest(scores)
+        self.froms = np.array(sorted(steps), np.int64)
+        self.tos = np.array([steps[at] for at in self.froms.tolist()], np.int32)
+        self.table = None
+        if (cells := len(self.prefixes) * self.width) <= _DENSE:
+            self.table = np.zeros(cells, np.int32)
+            self.table[self.froms] = self.tos
+
+    def _next(self, prefix: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        at = prefix * np.int64(self.width) + letter
+        if self.table is not None:
+            return self.table[at]
+        if not len(self.froms):
+            return np.zeros_like(prefix)
+        place = np.minimum(np.searchsorted(self.froms, at), len(self.froms) - 1)
+        return np.where(self.froms[place] == at, self.tos[place], np.int32(0))
+
+    def blocks(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Places of the words, shortest first, in blocks of a bounded number of edges."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        start = 0
+        while start < len(order):
+            # The words after the first are no shorter, so a block is cut twice.
+            length = max(int(sizes[order[start]]), 1)
+            end = start + max(1, _CELLS // (length * min(length, self.longest)))
+            length = max(int(sizes[order[min(end, len(order)) - 1]]), 1)
+            end = min(end, start + max(1, _CELLS // (length * min(length, self.longest))))
+            yield order[start:end]
+            start = end
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(prefix, score)`` by end, start and word; starts end at the end itself.
+
+        With ``k`` starts, place ``j`` is the start ``end - k + j``. A character
+        that is no piece has the prefix 0 and the lowest score.
+        """
+        # Two words at least: sums over starts then run from start to start.
+        words = words if len(words) > 1 else [*words, ""]
+        length = max(1, max(map(len, words)))
+        codes = np.frombuffer("".join(w.ljust(length, "\0") for w in words).encode("utf-32-le"), np.uint32)
+        letters = self.letter[np.minimum(codes, len(self.letter) - 1)].reshape(len(words), length).T.copy()
+        letters[np.arange(length)[:, None] >= np.fromiter(map(len, words), np.int64, len(words))] = 0
+        found = [self._next(np.ones_like(letters), letters)]
+        while len(found) < min(self.longest, length):
+            longer = self._next(found[-1][:-1], letters[len(found) :])
+            if not longer.any():
+                break
+            found.append(longer)
+        prefix = np.zeros((length + 1, len(found), len(words)), np.int32)
+        for size, numbers in enumerate(found, 1):
+            prefix[size:, len(found) - size] = numbers
+        score = self.score[prefix]
+        prefix[score == -math.inf] = 0
+        last = score[1:, -1]
+        last[last == -math.inf] = self.floor
+        return prefix, score
+
+    def best(self, score: np.ndarray) -> np.ndarray:
+        """The best score up to each position, after ``k`` rows without any."""
+        positions, k, n = score.shape
+        best = np.full((k + positions, n), -math.inf)
+        best[k] = 0.0
+        for end in range(1, positions):
+            np.max(best[end : end + k] + score[end], axis=0, out=best[end + k])
+        return best
+
+    def expected(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(word, prefix, probability)`` of all pieces over all segmentations, block by block.
+
+        Sums are relative to the best path up to each position, so that neither
+        long words nor unlikely ones underflow.
+        """
+        for block in self.blocks(words):
+            prefix, weight = self.edges([words[i] for i in block])
+            positions, k, n = weight.shape
+            best = self.best(weight)
+            for end in range(1, positions):
+                weight[end] += best[end : end + k]
+                weight[end] -= best[end + k]
+            weight[0] = 0.0
+            np.exp(weight[1:], out=weight[1:])
+            behind = np.zeros((k + positions, n))
+            behind[-1] = 1.0
+            # From the last end backwards every end is complete.
+            for end in range(positions - 1, 0, -1):
+                behind[end : end + k] += weight[end] * behind[end + k]
+            ahead = np.zeros((k + positions, n))
+            ahead[k] = 1.0
+            for end in range(1, positions):
+                weight[end] *= ahead[end : end + k]
+                np.sum(weight[end], axis=0, out=ahead[end + k])
+                weight[end] *= behind[end + k]
+            weight /= ahead[-1]
+            known = np.flatnonzero(prefix)
+            yield block[known % n], prefix.ravel()[known], weight.ravel()[known]
+
+    def add_expected(self, words: list[str], ns: np.ndarray, sums: np.ndarray) -> None:
+        """Add the expected counts of the words' pieces, in millionths, by prefix."""
+        for word, prefix, probability in self.expected(words):
+            np.add.at(sums, prefix, np.rint(probability * _UNIT).astype(np.int64) * ns[word])
+
+    def best_tokens(self, words: list[str], tokens: np.ndarray) -> Iterator[tuple[str, list[int]]]:
+        """Every word with the tokens of its best segmentation, given by prefix.
+
+        Neighbouring unknown characters are one unknown token.
+        """
+        for block in self.blocks(words):
+            given = [words[i] for i in block]
+            prefix, score = self.edges(given)
+            positions, k, n = score.shape
+            best = self.best(score)
+            back = np.zeros((positions, n), np.int64)
+            for end in range(1, positions):
+                # Of equal ones the longest last piece.
+                back[end] = np.argmax(best[end : end + k] + score[end], axis=0)
+            place = np.arange(n)
+            end = np.zeros(n, np.int64)
+            end[: len(given)] = [len(word) for word in given]
+            found = []
+            while end.any():
+                start = back[end, place]
+                token = tokens[prefix[end, start, place]]
+                found.append(np.where(end > 0, token, -1))
+                end = np.where(end > 0, end - k + start, 0)
+            by_word = np.array(found[::-1], np.int32).reshape(len(found), n).T
+            before = np.hstack([np.full((n, 1), -1, np.int32), by_word[:, :-1]])[:, : len(found)]
+            kept = (by_word >= 0) & ~((by_word == UNKNOWN_ID) & (before == UNKNOWN_ID))
+            ends = np.cumsum(kept.sum(axis=1)).tolist()
+            flat = by_word[kept].tolist()
+            yield from ((word, flat[a:b]) for word, a, b in zip(given, [0, *ends], ends))
+
+
+def expected_pieces(
+    word: str, scores: dict[str, float], floor: float, longest: int = LONGEST_PIECE
+) -> list[tuple[str, float]]:
+    """``(piece, probability)`` over all segmentations of a word."""
+    lattice = Lattice({p: score for p, score in scores.items() if len(p) <= longest}, floor)
     return [
-        (word[start:end], ahead[start] * weight * behind[end] / ahead[-1])
-        for start, end, weight, known in weighed
-        if known
+        (lattice.prefixes[i], p)
+        for which, prefix, probability in lattice.expected([word])
+        for i, p in zip(prefix.tolist(), probability.tolist())
     ]
 
 
@@ -140,29 +282,37 @@ class SubwordVocabulary:
 
         @F.arrow_udf("array<int>")
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            ids = {piece: token for piece, (token, _) in shared.value.items()}
-            scores = {piece: score for piece, (_, score) in shared.value.items()}
-            floor, longest = _floor(scores), _longest(scores)
-
-            @lru_cache(maxsize=_CACHED_WORDS)
-            def of_word(word: str) -> tuple[int, ...]:
-                found: list[int] = []
-                for piece, known in best_pieces(WORD_START + word, scores, floor, longest)[0]:
-                    token = ids[piece] if known else UNKNOWN_ID
-                    # Neighbouring unknown characters are one unknown token.
-                    if known or not found or found[-1] != UNKNOWN_ID:
-                        found.append(token)
-                return tuple(found)
-
-            # Texts are turned one at a time into one flat array of a batch.
+            lattice = Lattice({piece: score for piece, (_, score) in shared.value.items()})
+            tokens = np.array([shared.value.get(prefix, (UNKNOWN_ID,))[0] for prefix in lattice.prefixes])
+            cached: dict[str, list[int]] = {}
+
+            def flush(texts: list[list[str]], into: array, ends: array) -> None:
+                """Add the tokens of some texts; all words not met before are cut together."""
+                if len(cached) > _CACHED_WORDS:
+                    cached.clear()
+                new = {word for words in texts for word in words if word not in cached}
+                marked = lattice.best_tokens([WORD_START + word for word in sorted(new)], tokens)
+                cached.update((word[len(WORD_START) :], found) for word, found in marked)
+                for words in texts:
+                    for word in words:
+                        into.extend(cached[word])
+                    ends.append(len(into))
+                texts.clear()
+
+            # Texts are turned a few at a time into one flat array of a batch.
             for texts in batches:
-                tokens, ends = array("i"), array("i", [0])
+                into, ends = array("i"), array("i", [0])
+                held: list[list[str]] = []
+                n = 0
                 for value in texts:
-                    for word in (value.as_py() or "").split():
-                        tokens.extend(of_word(word))
-                    ends.append(len(tokens))
+                    held.append((value.as_py() or "").split())
+                    n += len(held[-1])
+                    if n > _HELD_WORDS:
+                        flush(held, into, ends)
+                        n = 0
+                flush(held, into, ends)
                 yield pa.ListArray.from_arrays(
-                    pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(tokens), pa.int32())
+                    pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(into), pa.int32())
                 )
 
         return encode(F.col(text) if isinstance(text, str) else text)
@@ -242,18 +392,18 @@ def _expectation(words: DataFrame, pieces: DataFrame, least: float) -> DataFrame
     """One EM step: ``(piece, required, n, score)`` with new expected counts."""
     shared = _share_scores(pieces)
 
-    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = shared.value
-        floor, longest = _floor(scores), _longest(scores)
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(shared.value)
+        # One row a piece and task.
+        sums = np.zeros(len(lattice.prefixes), np.int64)
         for batch in batches:
-            sums: dict[str, int] = {}
-            for word, n in zip(batch["word"], batch["n"]):
-                for piece, p in expected_pieces(word, scores, floor, longest):
-                    sums[piece] = sums.get(piece, 0) + int(n) * round(p * _UNIT)
-            yield pd.DataFrame({"piece": list(sums), "n": list(sums.values())})
+            lattice.add_expected(batch.column(0).to_pylist(), batch.column(1).to_numpy(), sums)
+        found = np.flatnonzero(sums)
+        pieces = pa.array([lattice.prefixes[i] for i in found], pa.string())
+        yield pa.record_batch([pieces, pa.array(sums[found])], ["piece", "n"])
 
     expected = (
-        words.mapInPandas(expect, "piece STRING, n BIGINT")
+        words.select("word", "n").mapInArrow(expect, "piece STRING, n BIGINT")
         .groupBy("piece")
         .agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
     )

@@ -93,3 +93,63 @@ def test_seeds_of_a_very_long_word(spark):
     counts = {r.piece: r.n for r in substring_counts(spark.createDataFrame([(word, 2)], "word STRING, n LONG")).collect()}
     assert time.perf_counter() - start < 20
     assert counts["a"] == 2000 and counts["tab"] == 2 * 999 and max(map(len, counts)) == 16
+
+
+def _random_words(n):
+    import random
+
+    rnd = random.Random(1)
+    pieces = ["a", "b", "c", "ab", "bc", "abc", "ca", "cab", "bca", "▁", "▁a", "жж", "😀", "aaaa", "abcabcabc"]
+    scores = {p: math.log(rnd.random()) for p in pieces}
+    sizes = [0, 1, 3, 8, 20, 60]
+    words = ["".join(rnd.choice("abcabcdж😀") for _ in range(rnd.choice(sizes))) for _ in range(n)]
+    return ["▁" + word for word in words] + [""], scores, rnd
+
+
+@pytest.mark.parametrize("dense, cells", [(1 << 24, 1 << 18), (0, 1 << 18), (1 << 24, 50)])
+def test_words_walked_together_give_what_each_gives_alone(monkeypatch, dense, cells):
+    import numpy as np
+
+    monkeypatch.setattr(sw, "_DENSE", dense)
+    monkeypatch.setattr(sw, "_CELLS", cells)
+    words, scores, rnd = _random_words(300)
+    ns = np.array([rnd.randrange(1, 1000) for _ in words])
+    lattice = sw.Lattice(scores)
+    sums = np.zeros(len(lattice.prefixes), np.int64)
+    lattice.add_expected(words, ns, sums)
+    alone = {}
+    for word, n in zip(words, ns.tolist()):
+        for piece, p in sw.expected_pieces(word, scores, lattice.floor):
+            alone[piece] = alone.get(piece, 0) + n * round(p * 1_000_000)
+    assert {lattice.prefixes[i]: int(sums[i]) for i in np.flatnonzero(sums)} == {p: n for p, n in alone.items() if n}
+    ids = {piece: i + 3 for i, piece in enumerate(scores)}
+    tokens = np.array([ids.get(prefix, sw.UNKNOWN_ID) for prefix in lattice.prefixes])
+    found = dict(lattice.best_tokens(words, tokens))
+    for word in words:
+        best = [ids[p] if known else 0 for p, known in sw.best_pieces(word, scores, lattice.floor)[0]]
+        assert found[word] == [t for i, t in enumerate(best) if t or not i or best[i - 1]]
+
+
+def test_a_pass_over_many_words_is_no_walk_over_each():
+    import time
+
+    import numpy as np
+
+    words, scores, _ = _random_words(30_000)
+    start = time.process_time()
+    lattice = sw.Lattice(scores)
+    sums = np.zeros(len(lattice.prefixes), np.int64)
+    lattice.add_expected(words, np.ones(len(words), np.int64), sums)
+    # 460,000 characters, with up to nine starts each.
+    assert time.process_time() - start < 4 and sums.sum() > 0
+
+
+def test_texts_of_more_words_than_are_kept(spark, trained, docs, monkeypatch):
+    rows = [r.text for r in docs.select("text").limit(20).collect()] + ["", None]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id INT, text STRING").coalesce(1)
+    found = []
+    for held, cached in ((1 << 16, 50_000), (1, 0)):
+        monkeypatch.setattr(sw, "_HELD_WORDS", held)
+        monkeypatch.setattr(sw, "_CACHED_WORDS", cached)
+        found.append({r.id: r.t for r in texts.select("id", trained.units("text").alias("t")).collect()})
+    assert found[0] == found[1] and found[0][20] == found[0][21] == [] and all(found[0][i] for i in range(20) if rows[i])
