@@ -22,6 +22,8 @@ DIGITS = r"\p{Nd}+"
 NON_WORD = r"[^\p{L}\p{N}_]+"
 ASCII_ONLY = r"^[\x00-\x7F]*\z"
 NON_ASCII = r"[^\x00-\x7F]+"
+# What cleaning may change. Letters without case, and small ones, stay as they are.
+UNCLEAN = r"[^\p{Ll}\p{Lo}_ ]| (?: |\z)|\A "
 # A lone second half of a surrogate pair: an empty match may land there.
 _HALF_PAIR = r"\x{DC00}-\x{DFFF}"
 
@@ -50,9 +52,11 @@ def clean_text(col: Column | str) -> Column:
     """Lower case, no digits, words joined by single spaces; null becomes ''.
 
     Whitespace lies outside the kept class, so splitting into words also
-    collapses it and no separate pass is needed.
+    collapses it and no separate pass is needed. A text that is clean already
+    is only looked at.
     """
-    return pre_tokenize(remove_digits(lowercase(col)))
+    col = _text(col)
+    return F.when(col.rlike(UNCLEAN), pre_tokenize(remove_digits(lowercase(col)))).otherwise(col)
 
 
 def words(clean: Column | str) -> Column:

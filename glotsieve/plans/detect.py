@@ -48,10 +48,10 @@ def train_detector(
 ) -> Detector:
     """Train on the rows given, usually the train split.
 
-    ``tokens`` is ``subword`` or ``word``. Texts are read twice, to count words
-    and to count n-grams; the rest works on those counts.
+    ``tokens`` is ``subword`` or ``word``. Texts are cleaned and written once, and
+    read twice, to count words and to count n-grams; the rest works on those counts.
     """
-    cleaned = df.select(clean_text(text).alias("text"), F.col(language).alias("language"))
+    cleaned = settle(df.select(clean_text(text).alias("text"), F.col(language).alias("language")), "cleaned")
     train = {"subword": train_subwords, "word": train_word_vocabulary}[tokens]
     counts = settle(word_counts(cleaned, by=["language"]), "word-counts")
     return Detector(
@@ -79,8 +79,15 @@ def label_texts(
     moves once a task. Texts are exchanged by digest, for naive Bayes and again
     for the script rule, which joins those left unknown only.
     """
-    blocks = blocks if blocks is not None else jvm_blocks(df.sparkSession)
-    texts = df.select(text_digest(text).alias(_DIGEST), clean_text(text).alias("_clean"))
+    return _label_cleaned(_cleaned(df, text), detector, blocks)
+
+
+def _cleaned(df: DataFrame, text: str, *columns: str) -> DataFrame:
+    return df.select(*columns, text_digest(text).alias(_DIGEST), clean_text(text).alias("_clean"))
+
+
+def _label_cleaned(texts: DataFrame, detector: Detector, blocks: DataFrame | None = None) -> DataFrame:
+    blocks = blocks if blocks is not None else jvm_blocks(texts.sparkSession)
     # Written once: naive Bayes and the script rule both read the texts.
     texts = settle(texts.groupBy(_DIGEST).agg(F.first("_clean").alias("_clean")), "texts")
     predictions = nb_predict(texts, _DIGEST, "_clean", detector.bayes, detector.threshold)
@@ -108,8 +115,14 @@ def detect_language(
 def detect_labels(
     df: DataFrame, text: str, key: str, detector: Detector, blocks: DataFrame | None = None
 ) -> DataFrame:
-    """``(key, predicted_language)`` of every row: the narrow result, cheapest at scale."""
-    return detect_language(df.select(key, text), text, detector, blocks).select(key, "predicted_language")
+    """``(key, predicted_language)`` of every row: the narrow result, cheapest at scale.
+
+    Texts are cleaned and hashed once; the last join reads keys and digests only.
+    """
+    rows = settle(_cleaned(df, text, key), "rows")
+    labels = _label_cleaned(rows.select(_DIGEST, "_clean"), detector, blocks)
+    joined = rows.select(key, _DIGEST).join(labels.hint("shuffle_hash"), _DIGEST, "left")
+    return joined.select(key, "predicted_language")
 
 
 def save_detector(detector: Detector, path: str) -> None:

@@ -98,3 +98,15 @@ def test_words_of_one_block_are_one_run(spark):
     values = ["the quick brown fox", "\u03b1\u03b2 \u03b3 \u05d0\u05d1 \u05d2 \u0905 \u0906", "\u1100 \u1161"]
     runs = _column(spark, values, tx.letter_runs("text"))
     assert [len(r) for r in runs] == [1, 3, 2]
+
+
+def test_clean_texts_are_only_looked_at_and_others_cleaned_in_full(spark):
+    """Every character, alone and beside letters, gives what the three steps give."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    odd = ["", " ", "  ", "a ", " a", "a  b", "a b", "ab_c d", "straße é", "日本 語", "ΑΣ1Β ΑΣ", "a\n", "a\n b", "\na", None]
+    rows = [(x,) for c in range(0, len(chars), 64) for x in [" b".join(chars[c : c + 64])]]
+    rows += [(f"a{c}b",) for c in chars if c.isalnum() or not c.isprintable()] + [(x,) for x in odd]
+    df = spark.createDataFrame(rows, "text STRING").select("text", tx.clean_text("text").alias("clean"))
+    steps = tx.pre_tokenize(tx.remove_digits(tx.lowercase("text")))
+    assert df.filter(~F.col("clean").eqNullSafe(steps)).count() == 0
+    assert df.filter(~F.col("clean").eqNullSafe(tx.pre_tokenize(tx.remove_digits(tx.lowercase("clean"))))).count() == 0
