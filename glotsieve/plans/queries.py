@@ -432,7 +432,7 @@ def vectorize(spark, sf):
 
 def _subwords(spark, sf):
     docs = labelled(spark, sf)
-    return docs, sw.train_subwords(_counts(docs), SUBWORDS)
+    return docs, sw.train_subwords(_counts(docs))
 
 
 def subword_seeds(spark, sf):

@@ -153,3 +153,18 @@ def test_texts_of_more_words_than_are_kept(spark, trained, docs, monkeypatch):
         monkeypatch.setattr(sw, "_CACHED_WORDS", cached)
         found.append({r.id: r.t for r in texts.select("id", trained.units("text").alias("t")).collect()})
     assert found[0] == found[1] and found[0][20] == found[0][21] == [] and all(found[0][i] for i in range(20) if rows[i])
+
+
+def test_query_trains_the_whole_vocabulary(spark, tmp_path):
+    import random
+
+    from glotsieve.plans.queries import QUERIES
+
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrst", k=9)) for _ in range(3000)]
+    rows = [(i, " ".join(rnd.sample(words, 300)), "en", "src0", 0) for i in range(60)]
+    columns = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["train_tokenizer"](spark, str(tmp_path)).collect()
+    # 3,000 words of nine letters have far more than 2,000 pieces that occur often
+    assert 2_000 < len(found) <= sw.VOCABULARY_SIZE
