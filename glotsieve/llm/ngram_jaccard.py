@@ -16,9 +16,11 @@ on its own, and the partial counts are summed for each pair.
    one of many sets (copies of one text) are linked in a cascade: inside small
    blocks of one n-gram, then one set of each component with those of other
    blocks, and so on up to one block. Then each component meets the largest one
-   of every n-gram that holds several. Only sets of n-grams that still hold
-   different components go on, to pairs of blocks; bitmaps tell there which sets
-   may be similar, and these alone are compared.
+   of every n-gram that holds several. Of n-grams that still hold different
+   components, a set goes on where another one is in reach: an n-gram's place in
+   a set tells how many n-grams can follow in common, and so how large a similar
+   set may be. Such sets meet by pairs of blocks; bitmaps tell there which may be
+   similar, and these alone are compared.
 4. Pairs of few pass an exact bound by bitmaps, before any set is fetched; those
    in one component already are left out.
 
@@ -37,7 +39,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +49,15 @@ from glotsieve.session import settle
 WORDS = 5
 PERCENT = 75
 FRAGMENTS = 8
+COUNTED = 1 << 19  # n-grams counted at a time
 COUNTER_BITS = 21  # of the counters that give the global order
 CHUNKS = 64  # rows in which a task hands over its counters
 FEW = 8  # sets in an n-gram that still become pairs
 BLOCK = 64  # sets in a block
 CROSS = 256  # sets in a block of which only bitmaps meet
 BROADCAST = 300_000  # identifiers of 8 bytes; more are joined by a shuffle
+KEY_BITS = 1 << 24  # bits that tell which texts are wanted, beyond BROADCAST
+MEET = 1 << 13  # sets of one n-gram whose sizes and places are compared together
 PIECE = 1 << 20  # bytes of a text hashed at a time
 AT_ONCE = 1 << 17  # n-grams a task hands over at a time
 
@@ -95,23 +99,25 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
         return np.empty(0, np.uint64)
     width = min(words, len(tokens))
     out = []
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    first = 0
+    whole = np.frombuffer(b" ".join(tokens), np.uint8)
+    ends = np.append(np.flatnonzero(whole == 32), len(whole))  # words hold no blank
+    first = at = 0
     while first <= len(tokens) - width:
         # as many words as fit a piece, and n-grams that begin in it overlap the next one
-        past = int(np.searchsorted(np.cumsum(lengths[first:] + 1), PIECE)) + first
+        past = int(np.searchsorted(ends[first:], at + PIECE - 1)) + first
         past = min(len(tokens), max(past, first + width))
-        data = np.frombuffer(b" ".join(tokens[first:past]), np.uint8)
+        data, stops = whole[at : ends[past - 1]], ends[first:past] - at
         power, inverse = _power_tables(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-        ends = np.cumsum(lengths[first:past] + 1) - 1
-        starts = ends - lengths[first:past]
+        np.cumsum(_BYTE.take(data) * power[: len(data)], out=sums[1:])
         n = past - first - width + 1
-        a, b = starts[:n], ends[width - 1 :]
+        a, b = np.append(0, stops[: n - 1] + 1), stops[width - 1 :]
         out.append((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
         first += n
-    return np.unique(_mix(np.concatenate(out)))
+        at = int(ends[first - 1]) + 1
+    hashes = _mix(out[0] if len(out) == 1 else np.concatenate(out))
+    hashes.sort()
+    return hashes[np.append(True, hashes[1:] != hashes[:-1])]
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -169,50 +175,79 @@ class Order:
 def _first_pass(words: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << bits, np.uint32)
+        places, held = [], 0
+
+        def count() -> None:
+            """Add up the counters of some texts at a time."""
+            counts = np.bincount(np.concatenate(places), minlength=len(counters))
+            np.add(counters, counts, out=counters, casting="unsafe")
+            places.clear()
+
         for batch in batches:
             keys, sizes, ids, maps = batch.column(0), [], [], []
             for text in batch.column(1):
                 hashes = shingles(text.as_py(), words)
-                np.add.at(counters, (hashes >> np.uint64(64 - bits)).astype(np.int64), 1)
+                places.append((hashes >> np.uint64(64 - bits)).astype(np.int64))
+                held += len(hashes)
+                if held > COUNTED:
+                    count()
+                    held = 0
                 sizes.append(len(hashes))
                 ids.append(set_id(hashes))
                 maps.append(bitmap(hashes))
             n = len(sizes)
             yield pa.record_batch(
-                [keys, pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())],
+                [keys, pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(n, pa.int32())],
                 _FIRST_NAMES,
             )
+        if places:
+            count()
         if counters.any():
-            task = TaskContext.get().partitionId()
-            parts = [c.tobytes() for c in np.split(counters, min(CHUNKS, len(counters)))]
+            parts = [_narrow(c) for c in np.split(counters, min(CHUNKS, len(counters)))]
             n = len(parts)
             yield pa.record_batch(
-                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(parts, pa.binary()), pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32())],
+                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(parts, pa.binary()), pa.array(range(n), pa.int32())],
                 _FIRST_NAMES,
             )
 
     return run
 
 
-_FIRST = "key bigint, n bigint, sid bigint, bits binary, chunk int, task int"
-_FIRST_NAMES = ["key", "n", "sid", "bits", "chunk", "task"]
+_FIRST = "key bigint, n bigint, sid bigint, bits binary, chunk int"
+_FIRST_NAMES = ["key", "n", "sid", "bits", "chunk"]
+
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes each as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
 
-def _add(table: pa.Table) -> pa.Table:
-    total = None
-    for value in table["bits"]:
-        counts = np.frombuffer(value.as_py(), np.uint32).astype(np.uint64)
-        total = counts if total is None else total + counts
-    total = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([total.tobytes()], pa.binary())})
 
+def _wide(counts: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(counts, f"u{len(counts) // n}").astype(np.int64)
 
-def _counters(first: DataFrame) -> np.ndarray:
-    """Sums of all tasks' counters, in two levels so that no group holds those of all tasks."""
-    rows = first.filter("chunk is not null")
-    part = rows.groupBy("chunk", F.pmod("task", F.lit(64))).applyInArrow(_add, "chunk int, bits binary")
-    parts = part.groupBy("chunk").applyInArrow(_add, "chunk int, bits binary").collect()
-    return np.concatenate([np.frombuffer(r.bits, np.uint32) for r in sorted(parts)]).astype(np.int64) if parts else None
+
+def _add(n: int):
+    """Sums of the counters of each chunk; one row after the other, so a task holds nothing but sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[chunk] = sums.get(chunk, 0) + _wide(counts.as_py(), n)
+        if sums:
+            parts = [_narrow(np.minimum(x, 0xFFFFFFFF)) for x in sums.values()]
+            yield pa.record_batch([pa.array(sums, pa.int32()), pa.array(parts, pa.binary())], ["chunk", "bits"])
+
+    return run
+
+
+def _counters(first: DataFrame, bits: int) -> np.ndarray | None:
+    """Sums of all tasks' counters."""
+    chunks = min(CHUNKS, 1 << bits)
+    n = (1 << bits) // chunks
+    rows = first.filter("chunk is not null").select("chunk", "bits").repartition(chunks, "chunk")
+    parts = rows.mapInArrow(_add(n), "chunk int, bits binary").collect()
+    return np.concatenate([_wide(r.bits, n) for r in sorted(parts)]) if parts else None
 
 
 def _prefixes(order, words: int, percent: int):
@@ -221,7 +256,7 @@ def _prefixes(order, words: int, percent: int):
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*found)]
-            return pa.record_batch(columns, ["token", "sid", "salt"])
+            return pa.record_batch(columns, ["token", "sid", "place", "salt"])
 
         for batch in batches:
             found, held = [], 0
@@ -233,7 +268,7 @@ def _prefixes(order, words: int, percent: int):
                 seen.add(sid)
                 keys = order.value.keys(hashes)[: n - (-(-percent * n // 100)) + 1]
                 salts = order.value.salts(keys, sid & 0x7FFFFFFF)
-                found.append((keys.view(np.int64), np.full(len(keys), sid), salts))
+                found.append((keys.view(np.int64), np.full(len(keys), sid), np.arange(len(keys), dtype=np.int32), salts))
                 held += len(keys)
                 if held > AT_ONCE:
                     yield rows(found)
@@ -244,6 +279,39 @@ def _prefixes(order, words: int, percent: int):
     return run
 
 
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by n-gram, salt and set: those of n-grams that several sets have, or that are salted, and how many.
+
+    The rows of the last n-gram of a batch wait for the next one; an n-gram of
+    very many sets is salted.
+    """
+    names = ["token", "sid", "place", "salt", "m"]
+    held: list[list[np.ndarray]] = []
+
+    def of(rows: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        token, sid, place, salt = (np.concatenate(x) for x in zip(*rows))
+        new = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
+        once = new | np.append(True, sid[1:] != sid[:-1])
+        token, sid, place, salt, new = (x[once] for x in (token, sid, place, salt, new))
+        m = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1]
+        some = np.flatnonzero((m > 1) | (salt > 0))
+        if len(some):
+            yield pa.record_batch([x[some] for x in (token, sid, place, salt, m)], names)
+
+    for batch in batches:
+        rows = [x.to_numpy() for x in batch.columns]
+        if not len(rows[0]):
+            continue
+        others = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[3] != rows[3][-1]))
+        last = int(others[-1]) + 1 if len(others) else 0  # where the rows of the last n-gram begin
+        if last or held and (held[-1][0][-1] != rows[0][0] or held[-1][3][-1] != rows[3][0]):
+            yield from of([*held, [x[:last] for x in rows]])
+            held = []
+        held.append([x[last:] for x in rows])
+    if held:
+        yield from of(held)
+
+
 def _segments(order, words: int):
     """A row for each fragment in which a set has n-grams."""
 
@@ -378,37 +446,35 @@ def near_duplicates(
     given = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     first = settle(given.mapInArrow(_first_pass(words, counter_bits), _FIRST), "sets")
     sets = first.filter("chunk is null").select("key", "n", "sid", "bits")
-    counters = _counters(first)
+    counters = _counters(first, counter_bits)
     if counters is None:  # no text has a word
         return sets.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
     order = spark.sparkContext.broadcast(Order(counters, counter_bits, fragments))
 
     # n-grams of prefixes that more than one set has
-    prefixes = given.select("text").mapInArrow(_prefixes(order, words, percent), "token bigint, sid bigint, salt int")
-    group = Window.partitionBy("token", "salt")
-    before = F.lag("sid").over(group.orderBy("sid"))
+    prefixes = given.select("text").mapInArrow(_prefixes(order, words, percent), "token bigint, sid bigint, place int, salt int")
     # a set comes once from each task; all of it has one exchange
-    once = prefixes.withColumn("before", before).filter("before is null or before <> sid").drop("before")
-    found = once.withColumn("m", F.count("*").over(group)).filter("m > 1 or salt > 0")
-    found = settle(found, "shared")
-    salted = found.filter("salt > 0").select("token", "sid")
+    sorted_ = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "sid")
+    found = settle(sorted_.mapInArrow(_several, "token bigint, sid bigint, place int, salt int, m bigint"), "shared")
+    salted = found.filter("salt > 0").select("token", "sid", "place")
     sizes = salted.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = found.filter("salt = 0").select("token", "sid", "m").unionByName(salted.join(sizes, "token"))
+    shared = found.filter("salt = 0").select("token", "sid", "place", "m").unionByName(salted.join(sizes, "token"))
 
     # pairs that may be similar, and one text for each set still in question, with its segments
     least = sets.groupBy("sid").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+    least = settle(least, "different-sets")
     pairs = settle(_pairs(shared.filter(F.col("m") <= few), least, percent), "pairs")
     many = shared.filter(F.col("m") > few)
     asked = many.select("sid").union(pairs.select("a")).union(pairs.select("b")).distinct()
     part = settle(asked.join(least.select("sid", "key"), "sid"), "part")
-    wanted = given.join(_small(part.select("key", "sid")), "key").select("sid", "text")
+    wanted = _with_key(given, part.select("key", "sid")).select("sid", "text")
     unkeyed = part.filter("key is null").select("sid")
     # sets whose rows all lack a key are found by the set itself
     wanted = wanted.unionByName(_by_set(given, unkeyed, words))
     segments = wanted.mapInArrow(_segments(order, words), "sid bigint, fragment int, part array<bigint>")
     segments = settle(segments.dropDuplicates(["sid", "fragment"]), "segments")
 
-    member = _hot_components(settle(many.select("token", "sid", "m"), "hot"), least, segments, block, cross, percent)
+    member = _hot_components(settle(many.select("token", "sid", "place", "m"), "hot"), least, segments, block, cross, percent)
     cold = settle(_verified(_apart(pairs, member), segments, percent), "cold-links")
     member = components(member.toDF("b", "a").unionByName(cold))
 
@@ -425,6 +491,24 @@ def near_duplicates(
     )
 
 
+def _with_key(given: DataFrame, part: DataFrame) -> DataFrame:
+    """Texts whose key is wanted. Beyond the bound of a broadcast, most others are left out by bits of hashed keys first."""
+    small = _small(part)
+    if small is not part:
+        return given.join(small, "key")
+    spark = given.sparkSession
+    place = F.pmod(F.xxhash64("key"), F.lit(KEY_BITS))
+    word = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    rows = part.select(place.alias("place")).groupBy(F.expr("cast(place div 64 as int)").alias("i")).agg(F.bit_or(word).alias("word"))
+    rows = rows.toArrow()  # up to KEY_BITS / 64 rows
+    words = np.zeros(KEY_BITS // 64, np.int64)
+    words[rows["i"].to_numpy()] = rows["word"].to_numpy()
+    bits = spark.createDataFrame([(words.tolist(),)], "words array<bigint>")
+    there = F.expr("shiftright(words[cast(place div 64 as int)], cast(place % 64 as int)) & 1L") == 1
+    likely = given.withColumn("place", place).join(F.broadcast(bits), there).select("key", "text")
+    return likely.join(part, "key")
+
+
 def _by_set(given: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """Texts without a key whose set is wanted."""
 
@@ -481,6 +565,43 @@ def _cascade(homes: DataFrame, segments: DataFrame, block: int, percent: int) ->
             return settle(found, "cascade-links")
 
 
+def _in_reach(percent: int):
+    """(sid, block, other): sets with the blocks of sets of other components that may be similar by their places.
+
+    If the n-gram is the first one that two sets share, all they share is in the
+    rest of either set; that bounds the size of the other one. The first n-gram
+    of similar sets is in both prefixes, so no link is lost.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        group, sid, place, component, block, n = (table[c].to_numpy() for c in ("group", "sid", "place", "component", "block", "n"))
+        group = np.unique(group, return_inverse=True)[1]
+        order = np.lexsort((n, group))
+        group, place, component, n = group[order].astype(np.int64), place[order], component[order], n[order]
+        sids, sid = np.unique(sid[order], return_inverse=True)
+        blocks, block = np.unique(block[order], return_inverse=True)
+        reach = np.minimum((n - place) * (100 + percent) // percent - n, 0x7FFFFFFF)
+        by_size = group << 32 | n
+        # of similar sets the smaller one reaches its own size
+        small = np.flatnonzero(reach >= n)
+        start = np.searchsorted(by_size, by_size[small])
+        count = np.searchsorted(by_size, group[small] << 32 | reach[small], side="right") - start
+        found = [np.empty(0, np.int64)]
+        cuts = np.searchsorted(np.cumsum(count), np.arange(AT_ONCE, count.sum() + AT_ONCE, AT_ONCE))
+        for a, b in zip([0, *(cuts[:-1] + 1)], [*(cuts[:-1] + 1), len(small)]):
+            x = np.repeat(small[a:b], count[a:b])
+            y = np.arange(len(x)) + np.repeat(start[a:b] - np.cumsum(count[a:b]) + count[a:b], count[a:b])
+            some = (reach[y] >= n[x]) & (component[y] != component[x])
+            x, y = x[some], y[some]
+            found.append(np.unique(np.concatenate([sid[x] * len(blocks) + block[y], sid[y] * len(blocks) + block[x]])))
+        sid_at, other = np.divmod(np.unique(np.concatenate(found)), max(1, len(blocks)))
+        own = np.zeros(len(sids), np.int64)
+        own[sid] = block
+        return pa.table([sids[sid_at], blocks[own[sid_at]], blocks[other]], ["sid", "block", "other"])
+
+    return run
+
+
 def _may_link(percent: int):
     """Sets of a pair of blocks that may be similar to one of the other block and another component."""
 
@@ -524,8 +645,9 @@ def _cross_links(shared: DataFrame, member: DataFrame, about: DataFrame, segment
     """Links between sets of different components that share an n-gram of many sets.
 
     Only sets of n-grams that hold several components take part. Those of a
-    large component fill blocks of their own, which never meet each other; all
-    others are dealt by the most common n-gram they share.
+    large component fill blocks of their own; all others are dealt by the most
+    common n-gram they share. A set goes to the blocks of sets that are in its
+    reach, by the place of a common n-gram in both.
     """
     known = settle(_with_component(shared, member), "known")
     several = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k"))
@@ -537,16 +659,19 @@ def _cross_links(shared: DataFrame, member: DataFrame, about: DataFrame, segment
     own = F.when(large, F.col("component")).otherwise(F.col("home.token"))
     count = F.ceil(F.when(large, F.col("size")).otherwise(F.col("home.k")) / F.lit(cross)).cast("bigint")
     sets = sets.withColumn("block", F.xxhash64(own, large, F.pmod(F.xxhash64("sid"), count)))
-    sets = settle(sets.select("sid", "component", "block", F.when(large, F.col("component")).alias("large")), "open-sets")
-    met = settle(open_.select("token", "sid").join(sets, "sid").select("token", "block", "large").distinct(), "met")
-    other = met.toDF("token", "other", "large_other")
-    pairs = met.join(other, "token").filter("block <= other and not (large <=> large_other and large is not null)")
-    pairs = settle(pairs.select("block", "other").distinct().withColumn("group", F.xxhash64("block", "other")), "block-pairs")
-    sides = pairs.select("group", F.explode(F.expr(
-        "filter(array(struct(block, false as right), struct(other as block, true as right)), x -> not x.right or block <> other)"
-    )).alias("side")).select("group", "side.*")
-    brief = sets.select("sid", "component", "block").join(about.select("sid", "n", "bits"), "sid")
-    rows = sides.join(brief, "block").select("group", "right", "sid", "component", "n", "bits")
+    sets = sets.join(about.select("sid", "n", "bits"), "sid")
+    sets = settle(sets.select("sid", "component", "block", "n", "bits"), "open-sets")
+    # all of one n-gram together, or pairs of blocks of them
+    row = open_.select("token", "sid", "place", F.ceil(F.col("k") / F.lit(MEET)).cast("bigint").alias("of"))
+    row = row.join(sets.drop("bits"), "sid").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("of")))
+    row = row.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1)))
+    group = F.xxhash64("token", F.least("i", "j"), F.greatest("i", "j")).alias("group")
+    row = settle(row.select(group, "sid", "place", "component", "block", "n"), "places")
+    buckets = max(1, row.count() // AT_ONCE)
+    met = row.groupBy(F.pmod("group", F.lit(buckets))).applyInArrow(_in_reach(percent), "sid bigint, block bigint, other bigint")
+    met = settle(met.distinct(), "met")
+    side = met.select(F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("group"), (F.col("block") > F.col("other")).alias("right"), "sid")
+    rows = side.join(sets.select("sid", "component", "n", "bits"), "sid")
     near = settle(rows.groupBy("group").applyInArrow(_may_link(percent), "group bigint, sid bigint"), "may-link")
     return _linked(near, segments, percent)
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import DATA
@@ -158,3 +159,62 @@ def test_empty(spark):
 def test_query(spark):
     name = "op1_ngram_jaccard"
     assert differences(queries.QUERIES[name](spark, DATA), connect(DATA), queries.SQL[name]) is None
+
+
+def _passages(n, seed=5):
+    """Texts of their own words around one of a few passages that very many have, not quite similar."""
+    rng = random.Random(seed)
+    passages = [[f"common{p}x{i}" for i in range(120)] for p in range(3)]
+    own = lambda: [f"own{rng.randrange(10**9)}" for _ in range(rng.randint(7, 13))]
+    return [" ".join(own() + rng.choice(passages) + own()) for _ in range(n)]
+
+
+def test_sets_with_a_common_passage_meet_only_in_reach(spark, monkeypatch, tmp_path):
+    may_link, folder = nj._may_link, str(tmp_path)
+
+    def spied(percent):
+        run = may_link(percent)
+
+        def counted(table):
+            with open(f"{folder}/{table['group'][0].as_py()}-{table.num_rows}", "w"):
+                return run(table)
+
+        return counted
+
+    monkeypatch.setattr(nj, "_may_link", spied)
+    rows = list(enumerate(_passages(600)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = nj.near_duplicates(df, cross=8).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in found) == brute(rows)
+    # 11,159 with every pair of blocks that share an n-gram
+    assert sum(int(f.name.rpartition("-")[2]) for f in tmp_path.iterdir()) <= 8 * len(rows)
+
+
+@pytest.mark.parametrize("bounds", [{"BROADCAST": 3, "KEY_BITS": 64}, {"MEET": 4, "AT_ONCE": 50, "COUNTED": 20}])
+def test_small_bounds(spark, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(nj, name, value)
+    rows = list(enumerate(corpus(5, 90) + _passages(60))) + [(None, "no key here at all"), (7, "w w w w w w w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = nj.near_duplicates(df, few=2, block=8, cross=8, counter_bits=12).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in found) == brute(rows)
+
+
+def test_counters_of_any_size():
+    counts = [np.array([0, 1, 255], np.uint32), np.array([0, 70000, 2], np.uint32), np.array([0, 0, 0xFFFFFFFF], np.uint32)]
+    assert [len(nj._narrow(c)) for c in counts] == [3, 12, 12]
+    batch = pa.record_batch([pa.array([4, 4, 4], pa.int32()), pa.array(map(nj._narrow, counts), pa.binary())], ["chunk", "bits"])
+    (found,) = nj._add(3)(iter([batch]))
+    assert found["chunk"].to_pylist() == [4] and nj._wide(found["bits"][0].as_py(), 3).tolist() == [0, 70001, 0xFFFFFFFF]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_rows_of_an_n_gram_in_several_batches(size):
+    rows = [(1, 5, 0, 0), (2, 3, 1, 0), (2, 3, 1, 0), (2, 4, 2, 0), (2, 9, 0, 1), (3, 4, 0, 2), (3, 4, 0, 2), (4, 1, 0, 0), (4, 1, 0, 0), (5, 1, 3, 0), (5, 2, 4, 0), (5, 7, 0, 0)]
+    kinds = [np.int64, np.int64, np.int32, np.int32]
+    batches = (
+        pa.record_batch([np.array(c, k) for c, k in zip(zip(*rows[i : i + size]), kinds)], ["token", "sid", "place", "salt"])
+        for i in range(0, len(rows), size)
+    )
+    found = [tuple(r.values()) for b in nj._several(batches) for r in b.to_pylist()]
+    assert found == [(2, 3, 1, 0, 2), (2, 4, 2, 0, 2), (2, 9, 0, 1, 1), (3, 4, 0, 2, 1), (5, 1, 3, 0, 3), (5, 2, 4, 0, 3), (5, 7, 0, 0, 3)]
